@@ -147,9 +147,18 @@ def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray = ALNUM) -> tuple
     return starts, ends, h, np.diff(bounds)
 
 
-def word_hash(word: bytes, kind: np.ndarray = ALNUM) -> int:
-    data = np.frombuffer(word, np.uint8)
-    return int(words(lower_ascii(data), np.array([0, len(data)]), np.ones(256, bool))[2][0])
+def word_features(data: np.ndarray, offs: np.ndarray, kind: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, list]:
+    """Words per document, and (which words or None for all, hashes) for the words and for their beginnings of so many bytes."""
+    starts, ends, h, per = words(data, offs, kind)
+    out: list = [(None, h)]
+    if len(starts):
+        pw, inv = _powers(len(data) + 1)
+        c = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * pw[: len(data)]))
+        for n in prefixes:
+            has = np.flatnonzero(ends - starts >= n)
+            s = starts[has]
+            out.append((has, mix((c[s + n] - c[s]) * inv[s] + np.uint64(n << 40))))
+    return per, out
 
 
 def record_batch(names_types: list[tuple[str, pa.DataType]], *cols) -> pa.RecordBatch:

@@ -5,8 +5,11 @@ risk of Kiryo et al. (2017): pi * R_p^+ + max(0, R_u^- - pi * R_p^-). Positives
 rows are drawn from all rows that training may see, whatever their labels say. Training is done at the driver on a bounded
 sample (``MAX_POSITIVE``, ``MAX_UNLABELLED``, ``MAX_TRAIN_BYTES``); every document is scored, in whole.
 
-Features are the distinct words of a text (A-Z lower-cased, letters, digits and non-ASCII), hashed to 2**BITS. The score of a
-text is a calibrated sigmoid of its summed weights. Null and empty texts have no features and get the score of the bias.
+Features are the distinct words of a text (A-Z lower-cased, letters, digits and non-ASCII) and their first 4, 5 and 6 bytes,
+hashed to 2**BITS. Of these, training keeps those that stand in more positives than chance explains and whose
+prior-corrected precision (prior * share among positives / share among unlabelled) is high. A text's score is a calibrated
+sigmoid of its summed weights.
+Null and empty texts have no features and get the score of the bias.
 Repeated rows are scored alike; extra columns are ignored; with no toxic row to learn from, all scores are 0.
 """
 
@@ -20,20 +23,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, chunks, column_bytes, lower_ascii, words
+from .common import ALNUM, chunks, column_bytes, lower_ascii, word_features
 
-BITS = 20
+BITS = 22
+#: Bytes of word beginnings that are features.
+PREFIXES = (4, 5, 6)
 #: Bounds of the training sample.
 MAX_POSITIVE = 4000
 MAX_UNLABELLED = 12000
 MAX_TRAIN_BYTES = 64 << 20
-EPOCHS = 40
-RATE = 0.5
-DECAY = 1e-4
-BATCH = 512
+STEPS = 300
+RATE = 0.05
+DECAY = 1e-3
 THRESHOLD = 0.7
-#: A word must stand in as many training texts to have a weight.
-MIN_TEXTS = 3
+#: A feature must stand in as many positives, at as many standard deviations above chance, with such a precision.
+MIN_TEXTS = 4
+MIN_DEVIATIONS = 4.5
+MIN_PRECISION = 0.35
 
 
 @dataclass
@@ -44,20 +50,28 @@ class Model:
 
     def scores(self, col: pa.Array) -> np.ndarray:
         data, offs = column_bytes(col)
+        known = self.weights != 0
         out = [np.zeros(0)]
         for i, j in chunks(offs):
-            doc, feat = features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            doc, feat = features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], known)
             raw = np.bincount(doc, weights=self.weights[feat], minlength=j - i)
             out.append(1 / (1 + np.exp(-np.clip(self.scale * raw + self.offset, -40, 40))))
         return np.concatenate(out)
 
 
-def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature) pairs, each once."""
-    _, _, h, per = words(lower_ascii(data), offs, ALNUM)
-    feat = (h >> np.uint64(64 - BITS)).astype(np.int64)
+def features(data: np.ndarray, offs: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature) pairs, each once; known: a mask of the features to keep."""
+    per, hashes = word_features(lower_ascii(data), offs, ALNUM, PREFIXES)
     doc = np.repeat(np.arange(len(per)), per)
-    pair = np.unique((doc << BITS) | feat)
+    pairs = []
+    for has, h in hashes:
+        feat = (h >> np.uint64(64 - BITS)).astype(np.int64)
+        owner = doc if has is None else doc[has]
+        if known is not None:
+            keep = np.flatnonzero(known[feat])
+            owner, feat = owner[keep], feat[keep]
+        pairs.append((owner << BITS) | feat)
+    pair = np.unique(np.concatenate(pairs))
     return pair >> BITS, pair & ((1 << BITS) - 1)
 
 
@@ -84,78 +98,75 @@ def sample(docs: DataFrame, labels: DataFrame, usable) -> tuple[list[tuple[str,
     return out, n_pos / n_known
 
 
-def train(rows: list[tuple[str, bool]], prior: float, seed: int = 1) -> Model:
-    """nnPU training with the sigmoid loss."""
+def _select(rows: list[tuple[str, bool]], pos: np.ndarray, prior: float) -> np.ndarray:
+    """A mask of the features that are worth a weight."""
+    df = np.zeros((2, 1 << BITS), np.int32)
+    for i in range(0, len(rows), 128):
+        d, f = features(*column_bytes(pa.array([t for t, _ in rows[i : i + 128]], pa.large_string())))
+        isp = pos[i : i + 128][d]
+        df[0] += np.bincount(f[isp], minlength=1 << BITS).astype(np.int32)
+        df[1] += np.bincount(f[~isp], minlength=1 << BITS).astype(np.int32)
+    n_p, n_u = int(pos.sum()), int((~pos).sum())
+    at = np.flatnonzero(df[0] >= min(MIN_TEXTS, max(2, n_p // 4)))
+    share, rest = df[0][at] / n_p, (df[1][at] + 0.5) / n_u
+    mean = (df[0][at] + df[1][at]) / (n_p + n_u)
+    dev = (share - rest) / np.sqrt(mean * (1 - mean) * (1 / n_p + 1 / n_u) + 1e-12)
+    good = at[(dev >= MIN_DEVIATIONS) & (prior * share / rest >= MIN_PRECISION)]
+    mask = np.zeros(1 << BITS, bool)
+    mask[good] = True
+    return mask
+
+
+def train(rows: list[tuple[str, bool]], prior: float) -> Model:
+    """nnPU training with the sigmoid loss, full-batch, on the selected features."""
+    rows = list(dict(rows[::-1]).items())[::-1]  # copies count once
     w = np.zeros(1 << BITS, np.float32)
     pos = np.array([p for _, p in rows], bool)
     if not pos.any() or pos.all():
         return Model(w, 1.0, -40.0)
-    doc, feat = [], []
+    prior = min(max(prior, 1e-4), 0.5)
+    mask = _select(rows, pos, prior)
+    number = np.cumsum(mask) - 1
+    doc, feat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in range(0, len(rows), 256):
-        part = pa.array([t for t, _ in rows[i : i + 256]], pa.large_string())
-        d, f = features(*column_bytes(part))
+        d, f = features(*column_bytes(pa.array([t for t, _ in rows[i : i + 256]], pa.large_string())), mask)
         doc.append(d + i)
-        feat.append(f)
+        feat.append(number[f])
     doc, feat = np.concatenate(doc), np.concatenate(feat)
-    often = np.bincount(feat, minlength=1 << BITS) >= MIN_TEXTS
-    doc, feat = doc[often[feat]], feat[often[feat]]
-    start = np.searchsorted(doc, np.arange(len(rows) + 1))
-    norm = 1 / np.sqrt(np.maximum(1, np.diff(start)))
-    prior = min(max(prior, 1e-4), 0.5)
-    rng = np.random.default_rng(seed)
-    p_all, u_all = np.flatnonzero(pos), np.flatnonzero(~pos)
-    bias = float(np.log(prior / (1 - prior)))
-    grad2 = np.full(1 << BITS, 1e-6, np.float32)
-    g2b = 1e-6
-    steps = max(1, len(u_all) // BATCH)
-    for _ in range(EPOCHS):
-        p_order = rng.permutation(np.resize(p_all, max(len(p_all), steps)))
-        u_order = rng.permutation(u_all)
-        for k in range(steps):
-            p, u = p_order[k::steps], u_order[k::steps]
-            rows_k = np.concatenate([p, u])
-            n = start[rows_k + 1] - start[rows_k]
-            owner = np.repeat(np.arange(len(rows_k)), n)
-            at = feat[np.repeat(start[rows_k], n) + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)]
-            z = np.bincount(owner, weights=w[at], minlength=len(rows_k)) + bias
-            s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            slope = s * (1 - s)
-            sp, su = s[: len(p)], s[len(p) :]
-            # the sigmoid loss of label +1 is 1 - s, that of label -1 is s
-            negative = su.mean() - prior * sp.mean()
-            g = np.empty(len(rows_k))
-            if negative >= 0:
-                g[: len(p)] = -2 * prior * slope[: len(p)] / len(p)
-                g[len(p) :] = slope[len(p) :] / len(u)
-            else:  # the estimate of the negative part went below zero: step back
-                g[: len(p)] = prior * slope[: len(p)] / len(p)
-                g[len(p) :] = -slope[len(p) :] / len(u)
-            step = np.bincount(at, weights=g[owner], minlength=1 << BITS).astype(np.float32)
-            hot = np.flatnonzero(step)
-            grad2[hot] += step[hot] ** 2
-            w[hot] -= RATE * (step[hot] / np.sqrt(grad2[hot]) + DECAY * w[hot])
-            gb = g.sum()
-            g2b += gb * gb
-            bias -= 0.1 * gb / np.sqrt(g2b)
-    del norm
-    return calibrate(w, bias, doc, feat, pos, prior)
-
-
-def calibrate(w: np.ndarray, bias: float, doc: np.ndarray, feat: np.ndarray, pos: np.ndarray, prior: float) -> Model:
-    """Scale the scores so that 0.7 lies where the unlabelled share above it is what the prior explains."""
-    z = np.bincount(doc, weights=w[feat], minlength=len(pos))
+    k, n_p, n_u = int(mask.sum()), int(pos.sum()), int((~pos).sum())
+    v, bias = np.full(k, 0.5), float(np.log(prior / (1 - prior)))
+    mean, square = np.zeros(k + 1), np.zeros(k + 1)
+    for step in range(1, STEPS + 1):
+        z = np.bincount(doc, weights=v[feat], minlength=len(rows)) + bias
+        s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        slope = s * (1 - s)
+        # the sigmoid loss of label +1 is 1 - s, that of label -1 is s
+        if s[~pos].mean() - prior * s[pos].mean() >= 0:
+            g = np.where(pos, -2 * prior * slope / n_p, slope / n_u)
+        else:  # the estimate of the negative part went below zero: step back
+            g = np.where(pos, prior * slope / n_p, -slope / n_u)
+        grad = np.append(np.bincount(feat, weights=g[doc], minlength=k) + DECAY / max(1, k) * v, g.sum())
+        mean += 0.1 * (grad - mean)
+        square += 0.01 * (grad**2 - square)
+        move = RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
+        v -= move[:-1]
+        bias -= move[-1]
+    w[mask] = np.where(v == 0, 1e-6, v)
+    return calibrate(w, np.bincount(doc, weights=v[feat], minlength=len(rows)), pos, prior)
+
+
+def calibrate(w: np.ndarray, z: np.ndarray, pos: np.ndarray, prior: float) -> Model:
+    """Put the threshold where recall less the prior-corrected false alarms is best, and scale the sigmoid around it."""
     zp, zu = np.sort(z[pos]), np.sort(z[~pos])
-    best, at = -np.inf, float(np.median(zp))
-    for t in np.unique(np.quantile(zp, np.linspace(0.0, 0.6, 121))):
+    best, at = -np.inf, float(zp[-1])
+    for t in np.unique(zp[zp > 0]):
         tpr = 1 - np.searchsorted(zp, t) / len(zp)
-        above = 1 - np.searchsorted(zu, t) / len(zu)
-        fpr = max(0.0, above - prior * tpr) / (1 - prior)
-        if tpr - 20 * fpr > best:
-            best, at = tpr - 20 * fpr, float(t)
-    below = zu[zu < at]
-    low = float(below[-1]) if len(below) else at - 1
-    spread = max(1e-3, float(np.median(zp)) - at, 0.1 * (at - float(np.median(zu))))
-    cut = at - 0.25 * min(at - low, spread)
+        fpr = max(0.0, 1 - np.searchsorted(zu, t) / len(zu) - prior * tpr) / (1 - prior)
+        if tpr - 5 * fpr > best:
+            best, at = tpr - 5 * fpr, float(t)
+    below = max(0.0, float(zu[zu < at].max(initial=0.0)))
+    cut = (at + below) / 2
+    spread = max(1e-3, float(np.median(zp)) - cut)
     scale = 3.0 / spread
     return Model(w, scale, float(np.log(THRESHOLD / (1 - THRESHOLD))) - scale * cut)
 
