@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, pii, simhash, topk, toxicity, warc
+from . import decontam, katz, langid, packing, pii, simhash, topk, toxicity, warc
 from .common import table
 
 
@@ -113,6 +113,10 @@ FROM m
 """
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"), id_crc(7) != 2)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
@@ -131,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_topk": op5_topk,
     "op6_simhash": op6_simhash,
     "op7_warc": op7_warc,
+    "op8_katz": op8_katz,
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
 }
