@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, katz, langid, packing, pii, simhash, topk, toxicity, warc
+from . import decontam, katz, langid, packing, pii, runindex, simhash, topk, toxicity, warc
 from .common import table
 
 
@@ -16,6 +16,10 @@ def id_crc(mod: int, name: str = "doc_id"):
     return F.crc32(F.col(name).cast("string").cast("binary")) % mod
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.duplicate_spans(table(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -129,6 +133,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeats": op1_repeats,
     "op2_decontamination": op2_decontamination,
     "op3_packing": op3_packing,
     "op4_language": op4_language,
