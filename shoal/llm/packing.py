@@ -39,45 +39,70 @@ PIECE_IDS_SCHEMA = PIECE_SCHEMA + ", ids binary"
 PACKED_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 # Below U+0250 (without U+0130) texts are in NFC and these classes are those of the tokenizer's pattern.
-_PLAIN = re.compile("[^\x00-įı-ɏ]|<\\|startoftext\\|>|<\\|endoftext\\|>")
+_PLAIN = re.compile("[^\x00-įı-ɏ]")
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\x09-\x0d\x20\x85\xa0"
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 
 
+class _Ids(dict):
+    """Words to the bytes of their ids; a missing word is taken from the older generation or encoded."""
+
+    def __init__(self, model, old: dict):
+        super().__init__()
+        self.model, self.old = model, old
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            text = word if word.isascii() else word.encode("utf-8").decode("latin-1")
+            got = np.array([t.id for t in self.model.tokenize(text.translate(_BYTE_LEVEL))], "<u4").tobytes()
+        self[word] = got
+        return got
+
+
+#: The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class Encoder:
-    """Texts to little-endian 32-bit ids. The ids of frequent words are kept, in two generations of bounded size."""
+    """Texts to little-endian 32-bit ids. The ids of words are kept, in two generations of bounded size."""
 
-    KEEP = 150_000
+    KEEP = 400_000
+    _made: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = _Ids(self.tok.model, {})
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """One a process, so that later tasks find the words that earlier ones kept."""
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        return cls._made[path]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.new) > self.KEEP:
-            self.old, self.new = self.new, {}
-        plain = [None if t is None or _PLAIN.search(t) else _WORD.findall(t.lower()) for t in texts]
-        known = self.new
-        missing = [w for w in set().union(*(p for p in plain if p)) if w not in known]
-        ask = []
-        for w in missing:
-            got = self.old.get(w)
-            if got is None:
-                ask.append(w)
+        if len(self.known) > self.KEEP:
+            self.known.old = {}
+            self.known = _Ids(self.tok.model, dict(self.known))
+        find, get = _WORD.findall, self.known.__getitem__
+        out: list[bytes] = []
+        odd = []
+        for i, t in enumerate(texts):
+            if not t:
+                out.append(b"")
+            elif "<|" in t or not (t.isascii() or not _PLAIN.search(t)):
+                out.append(b"")
+                odd.append(i)
             else:
-                known[w] = got
-        known.update(zip(ask, self._ids(ask), strict=True))
-        out = [b"" if p is None else b"".join([known[w] for w in p]) for p in plain]
-        odd = [i for i, t in enumerate(texts) if plain[i] is None and t]
-        for i, ids in zip(odd, self._ids([texts[i] for i in odd]), strict=True):
-            out[i] = ids
+                out.append(b"".join(map(get, find(t.lower()))))
+        if odd:
+            for i, e in zip(odd, self.tok.encode_batch([texts[i] for i in odd], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, "<u4").tobytes()
         return out
 
 
@@ -87,7 +112,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = Encoder(tokenizer_path)
+        enc = Encoder.of(tokenizer_path)
         end = np.array([END_ID], "<u4").tobytes()
         count = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         step = 4 * capacity
@@ -233,6 +258,16 @@ def _load(blobs: list[bytes]) -> tuple[dict[str, np.ndarray], list[list[int]]]:
     return {c: np.concatenate(x) for c, x in parts.items()}, bins
 
 
+def _again(base: int, last: bool, capacity: int):
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        k = key[0].as_py()
+        raw = [r for _, r in sorted(zip(t.column("shard").to_pylist(), t.column("rest").to_pylist(), strict=True))]
+        cols, bins = _load(raw)
+        return _emit(cols, local_search(bins, cols["length"].tolist(), capacity), base | (k << 20), k, last, capacity)
+
+    return run
+
+
 def pack(table: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """Pieces(doc_id, piece, start, length, ids_crc32, spread) with the sequence and the offset that each got."""
     n = table.count()
@@ -254,14 +289,8 @@ def pack(table: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Data
         shards = -(-shards // FAN_IN)
         base, last = (level << 56), shards == 1
 
-        def again(key: tuple, t: pa.Table, base: int = base, last: bool = last) -> pa.Table:
-            k = key[0].as_py()
-            raw = [r for _, r in sorted(zip(t.column("shard").to_pylist(), t.column("rest").to_pylist(), strict=True))]
-            cols, bins = _load(raw)
-            return _emit(cols, local_search(bins, cols["length"].tolist(), capacity), base | (k << 20), k, last, capacity)
-
         rest = state.where(F.col("rest").isNotNull()).select("shard", "rest").withColumn("to", F.expr(f"shard div {FAN_IN}"))
-        state = materialise(rest.groupBy("to").applyInArrow(again, _STATE_SCHEMA), "packed")
+        state = materialise(rest.groupBy("to").applyInArrow(_again(base, last, capacity), _STATE_SCHEMA), "packed")
         out = out.unionByName(state.where(F.col("rest").isNull()))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
