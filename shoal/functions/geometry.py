@@ -74,7 +74,8 @@ def project_x(lng: Column) -> Column:
 def project_y(lat: Column) -> Column:
     """Latitude to fixed-point y (Web Mercator)."""
     s = F.sin(F.radians(lat))
-    return _to_world(F.lit(0.5) - F.ln((F.lit(1.0) + s) / (F.lit(1.0) - s)) * 0.25 / math.pi)
+    inside = F.lit(0.5) - F.ln((F.lit(1.0) + s) / (F.lit(1.0) - s)) * 0.25 / math.pi
+    return _to_world(F.when(s >= 1, F.lit(-1.0)).when(s <= -1, F.lit(2.0)).otherwise(inside))
 
 
 def unproject_x(x: Column) -> Column:
