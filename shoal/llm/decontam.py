@@ -217,9 +217,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n:
 
     Items with a null id or no words have no window. The benchmark is read in blocks of about block_windows windows, so
     its size is bounded at the driver and in each task."""
-    n_rows, chars = benchmark.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.length("text"), F.lit(0)))).first()
+    chars = benchmark.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)))).first()[0]
     blocks = max(1, -(-int(chars or 0) // 2 // block_windows))
-    found = None
+    found, ids = None, None
+    if blocks > 1:  # a row's matches come together from all blocks, so rows need numbers of their own
+        ids = materialise(docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.monotonically_increasing_id().alias("doc_id")), "numbered")
+        docs = ids.select("doc_id", "text")
     for k in range(blocks):
         part = benchmark.where(F.col("item_id").isNotNull())
         part = part.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else part
@@ -227,12 +230,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n:
         ph = Phrases.of(phrases, n)
         index = build_index(docs, ph.vocab)
         hits = matches(index, ph, term_counts(index, len(ph.vocab)))
-        if blocks > 1:
-            hits = hits.withColumn("block", F.lit(k))
         found = hits if found is None else found.unionByName(hits)
-    if blocks > 1:  # a document's matches from all blocks; repeated ids share their matches only with equal texts
-        found = found.groupBy("doc_id", "n_words").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")))
-    return found.mapInArrow(_summary, RESULT_SCHEMA)
+    if ids is None:
+        return found.mapInArrow(_summary, RESULT_SCHEMA)
+    found = found.groupBy("doc_id", "n_words").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")))
+    out = found.mapInArrow(_summary, RESULT_SCHEMA).join(ids.select("doc_id", "id"), "doc_id")
+    return out.withColumn("doc_id", F.col("id")).drop("id")
 
 
 def proximity_matches(spark: SparkSession, docs: DataFrame, phrases: list[tuple[int, str]], slack: int) -> DataFrame:

@@ -296,7 +296,7 @@ def _score(buckets: int, base: np.ndarray, starts: int, uni: Order, two: Order,
 def _totals(answers: DataFrame) -> tuple[int, int, np.ndarray, list[tuple[int, int]]]:
     """Sums of the buckets' totals, and each bucket's number of words (a few numbers a bucket)."""
     rows = answers.where("kind = 0").select("bucket", "stats").collect()
-    stats = np.array([r["stats"] for r in rows], np.int64).reshape(len(rows), -1)
+    stats = np.array([r["stats"] for r in rows], np.int64).reshape(len(rows), K + 5)
     sums = stats.sum(0) if len(rows) else np.zeros(K + 5, np.int64)
     return int(sums[0]), int(sums[1]), sums[3:], [(r["bucket"], r["stats"][2]) for r in rows]
 
