@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -16,10 +17,47 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 
 
+#: Rows that travel to Python at once, unless the session says otherwise: texts are long, and memory is what workers lack.
+BATCH_ROWS = 1024
+
+
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: workers live long, and the allocators keep what large arrays have used."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def tidy(f):
+    """A kernel of one to three arguments (Spark looks at their number) after whose calls freed memory is given back."""
+
+    def done(out):
+        release_memory()
+        return out
+
+    n = f.__code__.co_argcount
+    if n == 1:
+        return lambda t: done(f(t))
+    return (lambda key, t: done(f(key, t))) if n == 2 else lambda key, t, u: done(f(key, t, u))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one if that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -32,6 +70,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write a table into the shared folder and read it back: it cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

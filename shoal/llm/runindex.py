@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powers, input_bytes, materialise, mix
+from .common import _powers, input_bytes, materialise, mix, release_memory, tidy
 from .lots import Lot, by_bucket, pack, squeeze, store, table_of, unpack, unsqueeze
 
 LENGTH = 50
@@ -37,7 +37,7 @@ SEED = 24
 #: Bits of a minimizer's hash that travel; a collision only sends text that turns out to be unique.
 HASH_BITS = 48
 #: Input bytes for each bucket.
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 1 << 20
 #: Bytes that one kernel call hashes.
 STEP = 1 << 20
 
@@ -84,17 +84,26 @@ class Stretches:
 
     @classmethod
     def of(cls, lot: Lot, length: int = LENGTH) -> Stretches:
+        # where no string starts: at the last places of each document, and anywhere in one without an id
+        bad_from = np.where(lot.null_ids, lot.offs[:-1], np.maximum(lot.offs[:-1], lot.offs[1:] - length + 1))
+        bad_to = lot.offs[1:]
+        some = bad_to > bad_from
+        step = np.zeros(len(lot.data) + 1, np.int8)
+        step[bad_from[some]] += 1
+        step[bad_to[some]] -= 1
+        bad_all = np.cumsum(step[:-1], dtype=np.int8) > 0
         parts: list[tuple] = []
         for a in range(0, max(0, len(lot.data) - length + 1), STEP):
             m = minimizers(lot.data[a : a + STEP + length - 1], length)
-            doc = np.repeat(np.arange(len(lot.ids)), np.diff(np.clip(lot.offs, a, a + len(m))))
-            ok = (np.arange(len(m)) + a + length <= lot.offs[doc + 1]) & ~lot.null_ids[doc]
-            new = np.ones(len(m), bool)
-            new[1:] = (m[1:] != m[:-1]) | (doc[1:] != doc[:-1]) | ~ok[:-1]
-            first = np.flatnonzero(new & ok)
-            edge = np.flatnonzero(new | ~ok)
-            after = np.append(edge, len(m))[np.searchsorted(edge, first, side="right")]
-            parts.append((m[first], doc[first], first + a, after - first))
+            bad = bad_all[a : a + len(m)]
+            edge = np.ones(len(m), bool)
+            edge[1:] = m[1:] != m[:-1]
+            edge[1:] |= bad[1:] | bad[:-1]
+            at = np.flatnonzero(edge)
+            size = np.diff(np.append(at, len(m)))
+            good = ~bad[at]
+            first = at[good]
+            parts.append((m[first], np.searchsorted(lot.offs, first + a, side="right") - 1, first + a, size[good]))
         if not parts:
             z = np.zeros(0, np.int64)
             return cls(np.zeros(0, np.uint64), z, z, z)
@@ -105,14 +114,17 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(HASH_BITS - 24)) * np.uint64(buckets)) >> np.uint64(24)
 
 
-def _distinct(lot: Lot, s: Stretches) -> tuple[np.ndarray, np.ndarray]:
-    """The lot's minimizers, sorted, and whether more than one document of the lot has each."""
+def _distinct(lot: Lot, s: Stretches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lot's minimizers, sorted; whether more than one document of the lot has each; and which of them each stretch has."""
     order = np.argsort(s.hash, kind="stable")
     h, ids = s.hash[order], lot.ids[s.doc[order]]
-    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-    if not len(first):
-        return h, np.zeros(0, bool)
-    return h[first], np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
+    if not len(h):
+        return h, np.zeros(0, bool), order
+    new = np.append(True, h[1:] != h[:-1])
+    first = np.flatnonzero(new)
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return h[first], np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first), which
 
 
 def _ask(buckets: int, length: int):
@@ -120,10 +132,11 @@ def _ask(buckets: int, length: int):
         for b in batches:
             for row in b.to_pylist():
                 lot = Lot(row)
-                keys, many = _distinct(lot, Stretches.of(lot, length))
+                keys, many, _ = _distinct(lot, Stretches.of(lot, length))
                 bucket = _bucket(keys, buckets)  # grows with the key
                 rows = [(k, row["lot"], pack(np.diff(keys[s], prepend=np.uint64(0))), squeeze(np.packbits(many[s]).tobytes())) for k, s in by_bucket(bucket, buckets)]
                 yield from table_of(rows, ASK).to_batches()
+                release_memory()
 
     return run
 
@@ -155,14 +168,14 @@ class Sent:
     @classmethod
     def of(cls, lot: Lot, answers: pa.Table, buckets: int, length: int) -> Sent:
         s = Stretches.of(lot, length)
-        keys, _ = _distinct(lot, s)
+        keys, _, of = _distinct(lot, s)
         cut = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
         shared = np.zeros(len(keys), bool)
         for r in answers.select(["kind", "bucket", "first"]).to_pylist():
             if r["kind"] == 1:
                 a, b = cut[r["bucket"]], cut[r["bucket"] + 1]
                 shared[a:b] = np.unpackbits(np.frombuffer(unsqueeze(r["first"]), np.uint8), count=int(b - a))
-        keep = np.flatnonzero(shared[np.searchsorted(keys, s.hash)]) if len(keys) else np.zeros(0, np.int64)
+        keep = np.flatnonzero(shared[of]) if len(keys) else np.zeros(0, np.int64)
         s = Stretches(s.hash[keep], s.doc[keep], s.start[keep], s.count[keep])
         content = text_hashes(lot.data, s.start, s.count + length - 1)
         order = np.lexsort((lot.ids[s.doc], content, _bucket(s.hash, buckets)))
@@ -209,7 +222,22 @@ def _send(buckets: int, length: int):
                 rows.append((k, row["lot"], pack(s.doc[sl]), pack(size[sl]), squeeze(data.tobytes())))
         return table_of(rows, TEXT)
 
-    return run
+    return tidy(run)
+
+
+class Marks:
+    """Marked ranks as a bit vector with counts: which mark is the last one up to a rank."""
+
+    def __init__(self, marked: np.ndarray, n: int):
+        bits = np.zeros((n // 64 + 1) * 64, bool)
+        bits[marked] = True
+        self.words = np.packbits(bits, bitorder="little").view(np.uint64)
+        self.before = np.append(0, np.cumsum(np.bitwise_count(self.words), dtype=np.int64)) - 1
+
+    def last(self, rank: np.ndarray) -> np.ndarray:
+        word = rank >> 6
+        upto = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(63) - (rank & 63).astype(np.uint64))
+        return self.before[word] + np.bitwise_count(self.words[word] & upto)
 
 
 class RunIndex:
@@ -240,7 +268,7 @@ class RunIndex:
         self.run_target = target[self.run_start]
         ends = np.append(self.run_start[1:], n) - 1
         self.head_sample, self.tail_sample = place[sa[self.run_start]], place[sa[ends]]
-        self.threshold = heads
+        self.runs, self.threshold = Marks(self.run_start, n), Marks(heads, n)
         self.threshold_sample = place[sa[heads]]
         last = np.searchsorted(place, start + count - 1)
         self.entry = rank_of[last]  # of each stretch, the rank of its last suffix
@@ -248,7 +276,7 @@ class RunIndex:
 
     def lf(self, rank: np.ndarray) -> np.ndarray:
         """The rank of the suffix one byte further left; equal neighbours in a run stay neighbours."""
-        run = np.searchsorted(self.run_start, rank, side="right") - 1
+        run = self.runs.last(rank)
         return self.run_target[run] + rank - self.run_start[run]
 
     def sources(self) -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +284,7 @@ class RunIndex:
         rank, at, left = self.entry.copy(), self.start + self.count - 1, self.count.copy()
         places, found = [], []
         while len(rank):
-            head = np.searchsorted(self.threshold, rank, side="right") - 1
+            head = self.threshold.last(rank)
             places.append(at)
             found.append(self.threshold_sample[head])
             more = left > 1
@@ -272,12 +300,11 @@ def _sort(text: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray,
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    word = np.zeros(len(text), np.uint64)
-    for k in range(8):
-        word = (word << np.uint64(8)) | padded[k : k + len(text)]
-    order = np.argsort(word[place], kind="stable")
-    key = word[place[order]]
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    word = np.ndarray(len(text), ">u8", padded, strides=(1,))  # the eight bytes from each place on
+    key = word[place].astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
     new = np.append(True, key[1:] != key[:-1])
     for at in range(8, length, 8):
         group = np.cumsum(new) - 1
@@ -285,7 +312,7 @@ def _sort(text: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray,
         tied = np.flatnonzero(size[group] > 1)
         if not len(tied):
             break
-        key = word[place[order[tied]] + at]
+        key = word[place[order[tied]] + at].astype(np.uint64)
         if at + 8 > length:
             key = key >> np.uint64(8 * (at + 8 - length))
         by = np.lexsort((key, group[tied]))
@@ -342,7 +369,7 @@ def _match(length: int):
             rows.append((2, lot, bucket, pack(n_runs), pack(run_len[inner]), pack(owner[head[r]] - np.repeat(d, n_runs))))
         return table_of(rows, ANSWER)
 
-    return run
+    return tidy(run)
 
 
 def _mark(buckets: int, length: int):
@@ -376,13 +403,13 @@ def _mark(buckets: int, length: int):
                 b = a + run_len[r[hit]] + length - 1
                 np.add.at(cover, a, 1)
                 np.add.at(cover, b, -1)
-            gone = np.cumsum(cover[:-1]) > 0
+            gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
             edge = np.zeros(len(gone), bool)
             edge[lot.offs[:-1][np.diff(lot.offs) > 0]] = True
             begins = np.flatnonzero(gone & (edge | ~np.append(False, gone[:-1])))
             stops = np.flatnonzero(gone & np.append(edge[1:] | ~gone[1:], True)) + 1
             at = np.searchsorted(begins, lot.offs)
-            total = np.append(0, np.cumsum(gone))[lot.offs]
+            total = np.append(0, np.cumsum(gone, dtype=np.int32))[lot.offs].astype(np.int64)
             kept = lot.data[~gone].tobytes()
             keep_at = lot.offs - total
             sha = [hashlib.sha256(kept[i:j]).hexdigest() for i, j in zip(keep_at[:-1].tolist(), keep_at[1:].tolist(), strict=True)]
@@ -392,7 +419,7 @@ def _mark(buckets: int, length: int):
             out.append(pa.Table.from_arrays(cols, names=[c.split()[0] for c in RESULT_SCHEMA.split(", ")]))
         return pa.concat_tables(out)
 
-    return run
+    return tidy(run)
 
 
 def duplicate_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -402,7 +429,7 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     buckets = max(8, -(-input_bytes(docs) // BUCKET_BYTES))
     lots = store(docs, F.lit(False))
     asked = lots.mapInArrow(_ask(buckets, length), ASK_SCHEMA)
-    shared = materialise(asked.groupBy("bucket").applyInArrow(_shared, ANSWER_SCHEMA), "shared-minimizers")
+    shared = materialise(asked.groupBy("bucket").applyInArrow(tidy(_shared), ANSWER_SCHEMA), "shared-minimizers")
     texts = lots.groupBy("lot").cogroup(shared.groupBy("lot")).applyInArrow(_send(buckets, length), TEXT_SCHEMA)
     found = materialise(texts.groupBy("bucket").applyInArrow(_match(length), ANSWER_SCHEMA), "matches")
     answers = shared.unionByName(found)
