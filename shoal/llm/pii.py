@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import materialise, release_memory
 
 KINDS = ("email", "ip", "card", "phone")
 EM_ROUNDS = 60
@@ -38,6 +38,8 @@ _DIGIT = re.compile("[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_LONG_NUMBER = re.compile("[0-9]{13,19}")
+_PHONE_HEAD = re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])")
 _DOT = re.compile(r"\s?(?:[\[(]dot[\])]|\sdot\s)\s?", re.IGNORECASE)
 _SPELLED = re.compile(r"\s?(?:[\[(]at[\])]|\sat\s)\s?([A-Za-z0-9-]+(?:\s?(?:[\[(]dot[\])]|\sdot\s|\.)\s?[A-Za-z0-9-]+)+)", re.IGNORECASE)
 _AT = re.compile(r"[\[(]at[\])]|\sat\s", re.IGNORECASE)
@@ -110,9 +112,19 @@ def candidates(text: str) -> list[tuple[int, int, int, bool]]:
             if m.end() - m.start() >= 13:
                 n = _only_digits(m.group())
                 if len(n) >= 13:
-                    cards.append((2, m.start(), m.end(), 16 <= len(n) <= 19 and _luhn(n)))
+                    base = 16 <= len(n) <= 19 and _luhn(n)
+                    cards.append((2, m.start(), m.end(), base))
+                    if not base and len(n) > 19:  # neighbouring numbers that ran into one match
+                        cards += [(2, x.start(), x.end(), False) for x in _LONG_NUMBER.finditer(text, m.start(), m.end()) if _luhn(x.group())]
         found += cards
         phones = [(3, m.start(), m.end(), 8 <= len(_only_digits(m.group())) <= 15) for m in _PHONE.finditer(text)] if "+" in text else []
+        for _, s, e, base in list(phones):
+            if not base and (x := _PHONE_HEAD.match(text, s, e)):  # a number that ran into the next one
+                head = x.group()
+                while len(_only_digits(head)) > 12:
+                    head = re.sub("[ .-]?[0-9]+$", "", head)
+                if 8 <= len(_only_digits(head)) and head[-1:].isdigit():
+                    phones.append((3, s, s + len(head), False))
         taken = [(s, e) for _, s, e, _ in [*cards, *phones]]
         found += phones
         found += [(3, m.start(), m.end(), False) for m in _LOOSE_PHONE.finditer(text) if not any(s < m.end() and m.start() < e for s, e in taken)]
@@ -141,11 +153,11 @@ def votes(text: str, kind: int, start: int, end: int, base: bool) -> int:
         shape = 2 if any(len(p) > 3 or (len(p) > 1 and p[0] == "0") for p in s.split(".")) else 1
     elif name == "card":
         valid = _luhn(digits)
-        pattern = 1 if base else (0 if valid and len(digits) < 16 else 2)
+        pattern = 1 if base else (0 if valid else 2)
         gazetteer = 1 if _ISSUER.match(digits) else 2
         shape = 1 if len(digits) in (15, 16) else 2 if len(digits) > 19 else 0
     else:
-        pattern = 1 if base else (2 if s.startswith("+") else 0)
+        pattern = 1 if base else (2 if s.startswith("+") and not 8 <= len(digits) <= 15 else 0)
         gazetteer = 1 if s.startswith("+") and digits.startswith(_CALLING) else 0
         shape = 1 if 9 <= len(digits) <= 13 else 2
     context = 1 if _CONTEXT[name].search(before) else 2 if _AGAINST.search(before) else 0
@@ -332,5 +344,6 @@ def mask(docs: DataFrame, model: np.ndarray) -> DataFrame:
             if "n_chars" in names:
                 new["n_chars"] = pa.array([n if t is None else len(t) for t, n in zip(texts, b.column("n_chars").to_pylist(), strict=True)], b.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in names], names=names)
+            release_memory()
 
     return docs.mapInArrow(run, T.StructType(copy.deepcopy(docs.schema.fields)))
