@@ -20,6 +20,26 @@ def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runindex.duplicate_spans(table(spark, sf_dir, "documents")).drop("starts", "ends")
 
 
+OP1_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+block AS (SELECT r, doc_id, k, substring(h, 512 * k + 1, 610) AS part FROM (SELECT r, doc_id, h, unnest(range(0, 1 + length(h) // 512)) AS k FROM d WHERE doc_id IS NOT NULL)),
+s AS (SELECT r, doc_id, 256 * k + p AS p, substring(part, 2 * p + 1, 100) AS t FROM (SELECT r, doc_id, k, part, unnest(range(0, greatest(0, length(part) // 2 - 49))) AS p FROM block)),
+first AS (SELECT t, min(doc_id) AS least FROM s GROUP BY t),
+hit AS (SELECT r, p FROM s JOIN first USING (t) WHERE least < doc_id),
+mark AS (SELECT r, p, CASE WHEN p > lag(p) OVER (PARTITION BY r ORDER BY p) + 50 THEN 1 ELSE 0 END AS fresh FROM hit),
+span AS (
+  SELECT r, min(p) AS a, max(p) + 50 AS b
+  FROM (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p ROWS UNBOUNDED PRECEDING) AS g FROM mark) GROUP BY r, g),
+part AS (
+  SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS x, a AS y FROM span
+  UNION ALL SELECT d.r, coalesce(max(b), 0), any_value(length(h) // 2) FROM d LEFT JOIN span ON span.r = d.r GROUP BY d.r),
+kept AS (SELECT part.r, sha256(unhex(string_agg(substring(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x))) AS sha FROM part JOIN d ON d.r = part.r GROUP BY part.r),
+gone AS (SELECT r, sum(b - a) AS n, count(*) AS k FROM span GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(k, 0) AS BIGINT) AS n_spans, sha AS kept_sha256
+FROM d JOIN kept ON kept.r = d.r LEFT JOIN gone ON gone.r = d.r
+"""
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -145,4 +165,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op5_topk": OP5_SQL, "op7_warc": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_repeats": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_topk": OP5_SQL, "op7_warc": OP7_SQL}
