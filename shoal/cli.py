@@ -6,12 +6,13 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.functions.features import feature_collection
 from shoal.functions.geometry import EngineError, Options, parse_box
 from shoal.operators import net
+from shoal.operators.state import number_rows
 from shoal.plans import catalog, reads, verify
 from shoal.sources import reports as ingest
 from shoal.sources import snapshot
@@ -37,8 +38,8 @@ def _import(spark: SparkSession, a: argparse.Namespace, opts: Options) -> DataFr
     """The newest sound report of every device in a file becomes a snapshot."""
     ok = ingest.accepted(ingest.parse(ingest.read_lines(spark, a.file)), opts)
     last = ok.groupBy("id").agg(F.max_by(F.struct("qx", "qy", "cat", "props"), F.struct("batch", "at")).alias("r"), F.min(F.struct("batch", "at")).alias("first"))
-    num = F.row_number().over(Window.orderBy("first")) - 1
-    d = last.select(F.lit(a.collection).alias("collection"), num.cast("bigint").alias("num"), "id", "r.qx", "r.qy", "r.cat", F.current_timestamp().alias("last_seen"), "r.props")
+    numbered = number_rows(last.withColumn("collection", F.lit(a.collection)), "collection", "first")
+    d = numbered.select("collection", "num", "id", "r.qx", "r.qy", "r.cat", F.current_timestamp().alias("last_seen"), "r.props")
     snapshot.write(d, a.path, {a.collection: opts})
     return d.agg(F.count(F.lit(1)).alias("devices"))
 

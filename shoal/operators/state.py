@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoal.sources.tables import materialise
+
 _DEVICE = ("collection", "id")
 
 
@@ -17,11 +19,25 @@ def micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+def number_rows(df: DataFrame, by: str, order: str) -> DataFrame:
+    """df with ``num``: the rank from 0 of a row within its ``by``, in ``order``.
+
+    Rows are dealt by ranges and ranked within a range; the ranges' sizes, a row each, then give the offsets. So one large
+    group is ranked by many tasks."""
+    ranged = df.repartitionByRange(by, order).withColumn("_range", F.spark_partition_id())
+    ranged = materialise(ranged, "ranges")
+    sizes = ranged.groupBy(by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(by, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy(by, "_range").orderBy(order))
+    both = ranged.withColumn("_rank", rank).join(offsets, [by, "_range"])
+    return both.select(*df.columns, (F.col("_offset") + F.col("_rank") - 1).cast("bigint").alias("num"))
+
+
 def intern_ids(reports: DataFrame) -> DataFrame:
     """(collection, id, num): numbers from 0 in the order in which a collection first saw its devices, never used again."""
     first = reports.where("op = 'upsert'").groupBy(*_DEVICE).agg(F.min("seq").alias("first_seq"))
-    w = Window.partitionBy("collection").orderBy("first_seq")
-    return first.select(*_DEVICE, (F.row_number().over(w) - 1).cast("bigint").alias("num"))
+    return number_rows(first, "collection", "first_seq").select(*_DEVICE, "num")
 
 
 def lives(reports: DataFrame, ttl_seconds: int) -> DataFrame:

@@ -6,11 +6,11 @@ import dataclasses
 import json
 from urllib.parse import quote, unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.functions.geometry import EngineError, Options
-from shoal.operators.state import micros
+from shoal.operators.state import micros, number_rows
 
 COLUMNS = ("collection", "num", "id", "qx", "qy", "cat", "last_seen", "props")
 
@@ -53,9 +53,9 @@ def restore(devices: DataFrame, opts: Options, as_of) -> DataFrame:
     if opts.ttl_seconds:
         fresh = devices.where(micros(F.col("last_seen")) >= micros(as_of) - opts.ttl_seconds * 1_000_000)
     known = max(1, len(opts.categories))
-    w = Window.partitionBy("collection").orderBy("num")
     kept = F.when((F.col("cat") >= 0) & (F.col("cat") < known), F.col("cat")).otherwise(F.lit(0)) if opts.categories else F.col("cat")
-    return fresh.withColumn("cat", kept).withColumn("num", (F.row_number().over(w) - 1).cast("bigint"))
+    old = fresh.withColumn("cat", kept).withColumnRenamed("num", "old_num")
+    return number_rows(old, "collection", "old_num").select(devices.columns)
 
 
 def encode_name(name: str) -> str:
