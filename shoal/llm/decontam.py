@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, chunks, column_bytes, list_array, lower_ascii, materialise, words
+from .common import ALNUM, chunks, column_bytes, list_array, lower_ascii, materialise, release_memory, words
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Windows that are sent to the tasks at once; more are evaluated block by block.
@@ -105,6 +105,7 @@ def build_index(docs: DataFrame, vocab: np.ndarray) -> DataFrame:
                 one = lambda a: list_array(a, np.array([0, len(a)]))
                 docs_col = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), cut[0])
                 yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([j - i], pa.int32()), docs_col, *map(one, cut[1:])], names=["doc_id", "n_docs", "docs", "n_words", "terms", "counts", "places"])
+            release_memory()
 
     return materialise(docs.select("doc_id", "text").mapInArrow(build, INDEX_SCHEMA), "positional-index")
 
@@ -191,6 +192,7 @@ def matches(index: DataFrame, ph: Phrases, df: np.ndarray, slack: int = 0) -> Da
                 s = (start - base[doc]).astype(np.int32)
                 item = list_array(ph.item[phrase], offs)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(per.astype(np.int64)), list_array(s, offs), list_array((s + ph.length[phrase]).astype(np.int32), offs), item], names=["doc_id", "n_words", "starts", "ends", "items"])
+            release_memory()
 
     return index.select("docs", "n_words", "terms", "counts", "places").mapInArrow(find, HIT_SCHEMA)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NONSPACE, input_bytes, lower_ascii, materialise, mix, words
+from .common import NONSPACE, input_bytes, lower_ascii, materialise, mix, release_memory, tidy, words
 from .lots import Lot, by_bucket, pack, store, table_of, unpack
 
 #: Counts above K are not discounted.
@@ -120,6 +120,7 @@ def _ask_words(buckets: int):
                 bucket = _bucket(t.keys, buckets)  # grows with the key
                 rows = [(k, row["lot"], pack(np.diff(t.keys[s], prepend=np.uint64(0))), pack(counts[s])) for k, s in by_bucket(bucket, buckets)]
                 yield from table_of(rows, WORD_ASK).to_batches()
+                release_memory()
 
     return run
 
@@ -215,7 +216,7 @@ def _ask_pairs(buckets: int, base: np.ndarray, starts: int):
                 rows.append((k, row["lot"], pack(np.diff(contexts, prepend=0)), pack(runs), pack(pairs[p, 1]), pack(counts[p]), pack(totals[p])))
         return table_of(rows, PAIR_ASK)
 
-    return run
+    return tidy(run)
 
 
 def _count_pairs(uni: Order):
@@ -251,7 +252,7 @@ def _count_pairs(uni: Order):
         rows.append((0, None, bucket, None, None, None, [int(total.sum()), int(seen.sum()), 0, *of_counts.tolist()]))
         return table_of(rows, ANSWER)
 
-    return run
+    return tidy(run)
 
 
 def _score(buckets: int, base: np.ndarray, starts: int, uni: Order, two: Order, rest: float):
@@ -290,7 +291,7 @@ def _score(buckets: int, base: np.ndarray, starts: int, uni: Order, two: Order,
             out.append(pa.Table.from_arrays(cols, names=[c.split()[0] for c in SCORE_SCHEMA.split(", ")]))
         return pa.concat_tables(out) if out else pa.table({c.split()[0]: [] for c in SCORE_SCHEMA.split(", ")})
 
-    return run
+    return tidy(run)
 
 
 def _totals(answers: DataFrame) -> tuple[int, int, np.ndarray, list[tuple[int, int]]]:
@@ -306,7 +307,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     buckets = max(8, -(-input_bytes(docs) // BUCKET_BYTES))
     lots = store(docs, train)
     asked = lots.mapInArrow(_ask_words(buckets), WORD_ASK_SCHEMA)
-    words_out = materialise(asked.groupBy("bucket").applyInArrow(_count_words, ANSWER_SCHEMA), "word-counts")
+    words_out = materialise(asked.groupBy("bucket").applyInArrow(tidy(_count_words), ANSWER_SCHEMA), "word-counts")
     tokens, types, of_counts, sizes = _totals(words_out)
     uni = Order.of(tokens, types, of_counts)
     base = np.zeros(buckets + 1, np.int64)

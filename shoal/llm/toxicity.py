@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, chunks, column_bytes, lower_ascii, word_features
+from .common import ALNUM, chunks, column_bytes, lower_ascii, release_memory, word_features
 
 BITS = 22
 #: Bytes of word beginnings that are features.
@@ -44,17 +44,21 @@ MIN_PRECISION = 0.35
 
 @dataclass
 class Model:
+    """The features that have a weight, ascending, and their weights; the sigmoid's scale and offset."""
+
+    known: np.ndarray
     weights: np.ndarray
     scale: float
     offset: float
 
     def scores(self, col: pa.Array) -> np.ndarray:
         data, offs = column_bytes(col)
-        known = self.weights != 0
+        known = np.zeros(1 << BITS, bool)
+        known[self.known] = True
         out = [np.zeros(0)]
         for i, j in chunks(offs):
             doc, feat = features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], known)
-            raw = np.bincount(doc, weights=self.weights[feat], minlength=j - i)
+            raw = np.bincount(doc, weights=self.weights[np.searchsorted(self.known, feat)], minlength=j - i)
             out.append(1 / (1 + np.exp(-np.clip(self.scale * raw + self.offset, -40, 40))))
         return np.concatenate(out)
 
@@ -120,10 +124,9 @@ def _select(rows: list[tuple[str, bool]], pos: np.ndarray, prior: float) -> np.n
 def train(rows: list[tuple[str, bool]], prior: float) -> Model:
     """nnPU training with the sigmoid loss, full-batch, on the selected features."""
     rows = list(dict(rows[::-1]).items())[::-1]  # copies count once
-    w = np.zeros(1 << BITS, np.float32)
     pos = np.array([p for _, p in rows], bool)
     if not pos.any() or pos.all():
-        return Model(w, 1.0, -40.0)
+        return Model(np.zeros(0, np.int64), np.zeros(0), 1.0, -40.0)
     prior = min(max(prior, 1e-4), 0.5)
     mask = _select(rows, pos, prior)
     number = np.cumsum(mask) - 1
@@ -151,11 +154,10 @@ def train(rows: list[tuple[str, bool]], prior: float) -> Model:
         move = RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
         v -= move[:-1]
         bias -= move[-1]
-    w[mask] = np.where(v == 0, 1e-6, v)
-    return calibrate(w, np.bincount(doc, weights=v[feat], minlength=len(rows)), pos, prior)
+    return calibrate(np.flatnonzero(mask), v, np.bincount(doc, weights=v[feat], minlength=len(rows)), pos, prior)
 
 
-def calibrate(w: np.ndarray, z: np.ndarray, pos: np.ndarray, prior: float) -> Model:
+def calibrate(known: np.ndarray, v: np.ndarray, z: np.ndarray, pos: np.ndarray, prior: float) -> Model:
     """Put the threshold where recall less the prior-corrected false alarms is best, and scale the sigmoid around it."""
     zp, zu = np.sort(z[pos]), np.sort(z[~pos])
     best, at = -np.inf, float(zp[-1])
@@ -168,7 +170,7 @@ def calibrate(w: np.ndarray, z: np.ndarray, pos: np.ndarray, prior: float) -> Mo
     cut = (at + below) / 2
     spread = max(1e-3, float(np.median(zp)) - cut)
     scale = 3.0 / spread
-    return Model(w, scale, float(np.log(THRESHOLD / (1 - THRESHOLD))) - scale * cut)
+    return Model(known, v, scale, float(np.log(THRESHOLD / (1 - THRESHOLD))) - scale * cut)
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable) -> Model:
@@ -188,5 +190,6 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
         for b in batches:
             s = sent.value.scores(b.column("text"))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, column])
+            release_memory()
 
     return docs.mapInArrow(run, schema)
