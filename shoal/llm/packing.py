@@ -3,8 +3,8 @@
 ``pieces`` tokenises whole documents, ends each with id 0 and cuts those longer than a sequence. ``pack`` deals the pieces
 evenly into small shards, whatever their ids. A shard packs its pieces best-fit decreasing and then runs the local search:
 pieces move, or change places one for one or two for one, between underfull bins, always increasing the sum of squared
-fills, until bins run empty. Full bins are done; the underfull bins of a shard travel on as one row, and ``FAN_IN`` such
-rows at a time are searched again until one row is left, so no task ever holds more than a bounded number of bins.
+fills, until bins run empty. The ``PASS_ON`` emptiest bins of a shard travel on as one row, the others are done; ``FAN_IN``
+such rows at a time are searched again until one row is left, so no task ever holds more than a bounded number of bins.
 
 A null or empty text is the single id 0. Repeated rows are packed each on its own; extra columns are ignored; an empty table
 gives no rows.
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise
+from .common import chunks, materialise, release_memory, tidy
 
 CAPACITY = 2048
 #: Pieces in a shard, about.
@@ -31,8 +31,13 @@ SHARD = 2000
 #: Shards whose underfull bins are searched together.
 FAN_IN = 32
 END_ID = 0
-#: Tries of the local search for each bin that it wants to empty.
-TRIES = 400
+#: Bins that the local search fails to empty before it stops, its passes over the others for each, and pieces of a bin of
+#: which it tries pairs.
+FAILURES = 4
+PASSES = 3
+#: Underfull bins that a group of shards passes on to the next search; the fuller ones of the others are done.
+PASS_ON = 64
+PAIR_ITEMS = 40
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, spread long"
 PIECE_IDS_SCHEMA = PIECE_SCHEMA + ", ids binary"
@@ -68,7 +73,7 @@ _BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not i
 class Encoder:
     """Texts to little-endian 32-bit ids. The ids of words are kept, in two generations of bounded size."""
 
-    KEEP = 400_000
+    KEEP = 150_000
     _made: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
@@ -132,6 +137,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "spread", "ids"]
                 n = 7 if with_ids else 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], types[:n], strict=True)], names=names[:n])
+            release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, PIECE_IDS_SCHEMA if with_ids else PIECE_SCHEMA)
 
@@ -159,54 +165,79 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def _transfer(give: list[int], take: list[int], lengths: list[int], room: int) -> tuple[int, tuple, tuple]:
-    """The most that can pass from one bin to a fuller one with so much room: (gain, given, taken back)."""
-    best: tuple[int, tuple, tuple] = (0, (), ())
-    back = [(0, ())] + [(lengths[b], (b,)) for b in take]
-    two = [(lengths[a] + lengths[b], (a, b)) for i, a in enumerate(take) for b in take[:i]]
-    for a in give:
-        for m, out in (*back, *two):  # move, one for one, one for two
-            gain = lengths[a] - m
-            if best[0] < gain <= room:
-                best = (gain, (a,), out)
-    for i, a in enumerate(give):
-        for b in give[:i]:
-            for m, out in back:  # two moves, two for one
-                gain = lengths[a] + lengths[b] - m
-                if best[0] < gain <= room:
-                    best = (gain, (a, b), out)
-    return best
+class _Bins:
+    """Bins of pieces with, as long as they do not change, the sorted sums of what one exchange can take out of them."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int]):
+        self.items = [list(b) for b in bins]
+        self.lengths = np.asarray(lengths, np.int64)
+        self.fill = [int(self.lengths[b].sum()) for b in self.items]
+        self._sums: dict[tuple[int, bool], tuple[np.ndarray, list[tuple[int, ...]]]] = {}
+
+    def sums(self, k: int, pairs: bool) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+        """Sums of one piece of bin k (of up to two, with pairs), ascending, and whose they are."""
+        if (k, pairs) not in self._sums:
+            own = list({int(self.lengths[i]): i for i in self.items[k]}.values()) if not pairs else self.items[k]
+            sets = [(i,) for i in own]
+            if pairs:
+                sets += [(a, b) for n, a in enumerate(own[:PAIR_ITEMS]) for b in own[:n]]
+            total = np.array([self.lengths[list(x)].sum() for x in sets], np.int64)
+            order = np.argsort(total, kind="stable")
+            self._sums[k, pairs] = total[order], [sets[i] for i in order.tolist()]
+        return self._sums[k, pairs]
+
+    def transfer(self, giver: int, taker: int, room: int) -> int:
+        """The exchange that passes most, but no more than the room: one for none, one or two, two for none or one. What it passed."""
+        best: tuple[int, tuple, tuple] = (0, (), ())
+        for two_given in (False, True):
+            give, given = self.sums(giver, two_given)
+            back, taken = self.sums(taker, not two_given)
+            back = np.append(0, back)
+            at = np.searchsorted(back, give - room)
+            ok = at < len(back)
+            gain = np.where(ok, give - back[np.minimum(at, len(back) - 1)], 0)
+            i = int(gain.argmax()) if len(gain) else -1
+            if i >= 0 and gain[i] > best[0]:
+                j = int(at[i])
+                best = (int(gain[i]), given[i], taken[j - 1] if j else ())
+        gain, given_items, taken_items = best
+        if gain:
+            for k, out, come, d in ((giver, given_items, taken_items, -gain), (taker, taken_items, given_items, gain)):
+                self.items[k] = [x for x in self.items[k] if x not in out] + list(come)
+                self.fill[k] += d
+                self._sums.pop((k, False), None)
+                self._sums.pop((k, True), None)
+        return gain
 
 
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Empty the least filled bins into the others; each step increases the sum of squared fills."""
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
+    """Empty the least filled bins into the others; each exchange goes to a fuller bin, so the sum of squared fills grows."""
+    s = _Bins(bins, lengths)
+    live = {k for k, f in enumerate(s.fill) if f}
+    least = -(-sum(s.fill) // capacity)
     stuck: set[int] = set()
-    live = {k for k in range(len(bins)) if fill[k]}
-    while len(live) > least:
-        open_bins = sorted((k for k in live if fill[k] < capacity), key=lambda k: (fill[k], k))
-        donor = next((k for k in open_bins if k not in stuck), None)
-        if donor is None or len(open_bins) < 2:
+    while len(live) > least and len(stuck) < FAILURES:
+        takers = sorted((k for k in live if s.fill[k] < capacity), key=lambda k: (s.fill[k], k))
+        donor = next((k for k in takers if k not in stuck), None)
+        if donor is None:
             break
-        tries = 0
-        for k in reversed(open_bins):
-            if k == donor or fill[k] < fill[donor] or not bins[donor] or tries >= TRIES:
-                continue
-            while bins[donor] and fill[k] < capacity:
-                tries += 1
-                gain, given, taken = _transfer(bins[donor], bins[k], lengths, capacity - fill[k])
-                if not gain:
+        others = [k for k in takers if k != donor and s.fill[k] >= s.fill[donor]]  # the emptiest first: they take most
+        if sum(capacity - s.fill[k] for k in others) < s.fill[donor]:
+            break
+        for _ in range(PASSES):
+            before = s.fill[donor]
+            for k in others:
+                while s.items[donor] and s.fill[k] < capacity and s.transfer(donor, k, capacity - s.fill[k]):
+                    pass
+                if not s.items[donor]:
                     break
-                bins[k] = [x for x in bins[k] if x not in taken] + list(given)
-                bins[donor] = [x for x in bins[donor] if x not in given] + list(taken)
-                fill[k] += gain
-                fill[donor] -= gain
-        if bins[donor]:
+            if s.fill[donor] in (0, before):
+                break
+        if s.items[donor]:
             stuck.add(donor)
         else:
             live.discard(donor)
-    return [bins[k] for k in sorted(live)]
+    return [s.items[k] for k in sorted(live)]
 
 
 _COLS = ("doc_id", "piece", "start", "length", "ids_crc32")
@@ -216,11 +247,11 @@ _NULL = np.iinfo(np.int64).min
 
 
 def _emit(cols: dict[str, np.ndarray], bins: list[list[int]], first_id: int, shard: int, last: bool, capacity: int) -> pa.Table:
-    """Rows of the full bins (of all bins, if last), and one row that carries the others."""
+    """Rows of the bins that are done (all, if last), and one row that carries the emptiest ones on."""
     length = cols["length"]
-    done, rest = [], []
-    for b in bins:
-        (done if last or int(length[b].sum()) == capacity else rest).append(b)
+    by_fill = sorted(bins, key=lambda b: int(length[b].sum()))
+    open_bins = 0 if last else min(PASS_ON, sum(int(length[b].sum()) < capacity for b in bins))
+    done, rest = by_fill[open_bins:], by_fill[:open_bins]
     order = np.array([i for b in done for i in b], np.int64)
     seq = np.repeat(first_id + np.arange(len(done), dtype=np.int64), [len(b) for b in done])
     offset = np.concatenate([np.cumsum(length[b]) - length[b] for b in done]) if done else np.zeros(0, np.int64)
@@ -265,7 +296,7 @@ def _again(base: int, last: bool, capacity: int):
         cols, bins = _load(raw)
         return _emit(cols, local_search(bins, cols["length"].tolist(), capacity), base | (k << 20), k, last, capacity)
 
-    return run
+    return tidy(run)
 
 
 def pack(table: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
@@ -281,7 +312,7 @@ def pack(table: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Data
         return _emit(cols, bins, k << 20, k, shards == 1, capacity)
 
     dealt = table.withColumn("shard", F.pmod(F.xxhash64("spread"), F.lit(shards)))
-    state = materialise(dealt.groupBy("shard").applyInArrow(first, _STATE_SCHEMA), "packed")
+    state = materialise(dealt.groupBy("shard").applyInArrow(tidy(first), _STATE_SCHEMA), "packed")
     out = state.where(F.col("rest").isNull())
     level = 0
     while shards > 1:
