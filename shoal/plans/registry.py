@@ -13,7 +13,7 @@ from shoal.functions.geometry import Options
 from shoal.operators import net, replay, search, state
 from shoal.plans import catalog, reads, tiles, verify
 from shoal.sources import reports as ingest
-from shoal.sources import snapshot, views
+from shoal.sources import fleet, snapshot, views
 from shoal.sources.tables import built, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,6 +128,18 @@ def mvt_scalar_tags(spark, sf):
     return feat.scalar_tags(e).select("event_id", "key", "kind", "value")
 
 
+@query("synthetic_fleet", f"SELECT o_orderkey AS num, {fleet.fleet_sql('o_orderkey')[0]} AS qx, {fleet.fleet_sql('o_orderkey')[1]} AS qy, {fleet.fleet_sql('o_orderkey')[2]} AS cat FROM orders")
+def synthetic_fleet(spark, sf):
+    x, y, cat = fleet.fleet_sql("o_orderkey")
+    return spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey AS num", f"{x} AS qx", f"{y} AS qy", f"{cat} AS cat")
+
+
+@query("fleet_clusters")
+def fleet_clusters(spark, sf):
+    nodes = net.build_nodes(fleet.fleet(spark, 3000), OPTS)
+    return reads.features(reads.clusters(net.segments(nodes, OPTS), OPTS, 7))
+
+
 # --- reports as JSON
 
 def _bodies(spark: SparkSession, sf: str, extra: str = "''") -> DataFrame:
@@ -495,6 +507,19 @@ _verified("separation", lambda n, s: verify.bad_separation(n, OPTS))
 _verified("partition", lambda n, s: verify.bad_partition(n, s, OPTS))
 _verified("radius", lambda n, s: verify.bad_radius(n, s, OPTS))
 _verified("slices", lambda n, s: verify.bad_slices(s))
+_verified("reachable", verify.unreachable)
+_verified("grid", lambda n, s: verify.bad_grid(n, s, OPTS))
+
+
+@query("partition_fingerprint", nodes_sql("SELECT zoom, count(*) AS points, CAST(sum(CAST('0x' || substr(md5(CAST(num AS VARCHAR) || '>' || CAST(rep AS VARCHAR)), 1, 10) AS BIGINT)) AS BIGINT) AS fingerprint FROM assignment GROUP BY zoom"))
+def partition_fingerprint(spark, sf):
+    return net.fingerprints(segments_of(spark, sf)).select("zoom", "points", "fingerprint")
+
+
+@query("point_positions", nodes_sql("SELECT num, cat, round(qx / 1073741824e0 * 360 - 180, 6) AS lng, round(atan(exp((0.5e0 - qy / 1073741824e0) * 2 * pi())) * 360 / pi() - 90, 6) AS lat FROM nodes"))
+def point_positions(spark, sf):
+    n = nodes_of(spark, sf)
+    return n.select("num", "cat", F.round(geo.unproject_x(F.col("qx")), 6).alias("lng"), F.round(geo.unproject_y(F.col("qy")), 6).alias("lat"))
 
 
 # --- catalog
@@ -568,5 +593,27 @@ def fast_move_share(spark, sf):
     return catalog.fast_share(replay.replay_counts(views.reports(spark, sf), OPTS))
 
 
+@query("stream_equals_batch", "SELECT CAST(0 AS BIGINT) AS differences")
+def stream_equals_batch(spark, sf):
+    """Runs the live engine over the reports in three files and compares its last nodes with the batch replay's."""
+    import uuid
+
+    from shoal.streaming import live
+
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    r = views.reports(spark, sf).select("collection", "seq", "ts", "op", "id", "qx", "qy", "cat")
+    top = r.agg(F.max("seq")).first()[0] or 0
+    for k in range(3):
+        part = r.where((F.col("seq") * 3 >= k * (top + 1)) & (F.col("seq") * 3 < (k + 1) * (top + 1)))
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = live.keep(live.read_reports(spark, f"{base}/in", r.schema), OPTS, "nodes")
+    live.run_available(stream, lambda batch, k: batch.withColumn("batch", F.lit(k)).write.mode("append").parquet(f"{base}/out"), f"{base}/state")
+    out = spark.read.parquet(f"{base}/out")
+    newest = out.groupBy("collection").agg(F.max("batch").alias("batch"))
+    kept = out.join(newest, ["collection", "batch"]).select("collection", "id", "tz", "parent")
+    want = replay.replay_nodes(r, OPTS).select("collection", "id", "tz", "parent")
+    return kept.exceptAll(want).union(want.exceptAll(kept)).agg(F.count(F.lit(1)).alias("differences"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return QUERIES["clusters_world_z4"](spark, sf)

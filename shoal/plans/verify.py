@@ -62,6 +62,19 @@ def bad_slices(segs: DataFrame) -> DataFrame:
     return whole.join(parts, ["collection", "zoom", "rep"], "left").where(~same).select("collection", "zoom", "rep")
 
 
+def unreachable(nodes: DataFrame, segs: DataFrame) -> DataFrame:
+    """Nodes whose walk up the parents does not end at a root: nothing represents them at the coarsest zoom."""
+    home = segs.where("low = 0").select("collection", "num").distinct()
+    return nodes.join(home, ["collection", "num"], "left_anti").select("collection", "num")
+
+
+def bad_grid(nodes: DataFrame, segs: DataFrame, opts: Options) -> DataFrame:
+    """Collections whose centers, counted by levels, are not those that the zooms' assignments use."""
+    want = nodes.groupBy("collection").agg(F.sum(F.greatest(F.lit(opts.max_zoom + 1) - F.col("tz"), F.lit(0)).cast("bigint")).alias("want"))
+    used = assignment(segs).groupBy("collection", "zoom").agg(F.count_distinct("rep").alias("n")).groupBy("collection").agg(F.sum("n").alias("used"))
+    return want.join(used, "collection", "left").where(F.col("want") != F.coalesce("used", F.lit(0))).select("collection")
+
+
 def verify(nodes: DataFrame, segs: DataFrame, opts: Options) -> DataFrame:
     """(invariant, violations), one row for each invariant."""
     checks = {
@@ -70,5 +83,7 @@ def verify(nodes: DataFrame, segs: DataFrame, opts: Options) -> DataFrame:
         "partition": bad_partition(nodes, segs, opts),
         "radius": bad_radius(nodes, segs, opts),
         "slices": bad_slices(segs),
+        "reachable": unreachable(nodes, segs),
+        "grid": bad_grid(nodes, segs, opts),
     }
     return reduce(DataFrame.unionByName, (v.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(k).alias("invariant"), "violations") for k, v in checks.items()))
