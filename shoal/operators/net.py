@@ -118,10 +118,10 @@ def assignment(segs: DataFrame) -> DataFrame:
 def fingerprints(segs: DataFrame) -> DataFrame:
     """(collection, zoom, points, fingerprint): which point has which representative, to compare whole hierarchies.
 
-    A sum of digests, so that it combines in any order and no group is gathered."""
+    An exclusive or of digests, so that it combines in any order and no group is gathered."""
     pair = F.concat(F.col("num").cast("string"), F.lit(">"), F.col("rep").cast("string"))
-    part = F.conv(F.substring(F.md5(pair), 1, 10), 16, 10).cast("bigint")
-    return assignment(segs).groupBy("collection", "zoom").agg(F.count(F.lit(1)).alias("points"), F.sum(part).alias("fingerprint"))
+    part = F.conv(F.substring(F.md5(pair), 1, 15), 16, 10).cast("bigint")
+    return assignment(segs).groupBy("collection", "zoom").agg(F.count(F.lit(1)).alias("points"), F.bit_xor(part).alias("fingerprint"))
 
 
 def cube(segs: DataFrame) -> DataFrame:

@@ -511,7 +511,7 @@ _verified("reachable", verify.unreachable)
 _verified("grid", lambda n, s: verify.bad_grid(n, s, OPTS))
 
 
-@query("partition_fingerprint", nodes_sql("SELECT zoom, count(*) AS points, CAST(sum(CAST('0x' || substr(md5(CAST(num AS VARCHAR) || '>' || CAST(rep AS VARCHAR)), 1, 10) AS BIGINT)) AS BIGINT) AS fingerprint FROM assignment GROUP BY zoom"))
+@query("partition_fingerprint", nodes_sql("SELECT zoom, count(*) AS points, bit_xor(CAST('0x' || substr(md5(CAST(num AS VARCHAR) || '>' || CAST(rep AS VARCHAR)), 1, 15) AS BIGINT)) AS fingerprint FROM assignment GROUP BY zoom"))
 def partition_fingerprint(spark, sf):
     return net.fingerprints(segments_of(spark, sf)).select("zoom", "points", "fingerprint")
 
