@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release_memory, tidy
 
 SHINGLE = 4
 DISTANCE = 4
@@ -29,6 +29,8 @@ SEGMENTS = ((0, 21, True), (21, 21, True), (42, 22, False))
 #: Groups up to this size are compared by shifting; larger ones by breadth-first search.
 SMALL = 48
 SEED = 42
+#: Fingerprints whose table entries are dealt to the buckets together.
+DEAL_ROWS = 1 << 13
 
 
 def simhash(text: bytes, shingle: int = SHINGLE) -> int:
@@ -61,6 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             col = b.column("text")
             fps = np.fromiter((simhash(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in col), np.uint64, len(col))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
@@ -126,22 +129,35 @@ def forest(key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int = DI
     return pair[:, 0], pair[:, 1]
 
 
+def _arrays(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([b.column("fp").to_numpy() for b in held]).view(np.uint64), np.concatenate([b.column("node").to_numpy() for b in held])
+
+
 def link(reps: DataFrame, buckets: int, distance: int = DISTANCE, segments=SEGMENTS) -> DataFrame:
     """reps(node, fp), fp distinct: edges (a, b) between nodes whose components are those of all links."""
     if sum(1 + near for _, _, near in segments) <= distance:
         raise ValueError("the segments are too few for this distance")
 
+    def deal(fps: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        key, who = table_entries(fps, segments)
+        bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        bucket, key, who = bucket[order], key[order], who[order]
+        ids, first = np.unique(bucket, return_index=True)
+        ends = np.append(first[1:], len(bucket))
+        blobs = [[x[i:j].tobytes() for i, j in zip(first, ends, strict=True)] for x in (key, fps[who], node[who])]
+        return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "keys", "fps", "nodes"])
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            fps, node = b.column("fp").to_numpy().view(np.uint64), b.column("node").to_numpy()
-            key, who = table_entries(fps, segments)
-            bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            bucket, key, who = bucket[order], key[order], who[order]
-            ids, first = np.unique(bucket, return_index=True)
-            ends = np.append(first[1:], len(bucket))
-            blobs = [[x[i:j].tobytes() for i, j in zip(first, ends, strict=True)] for x in (key, fps[who], node[who])]
-            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "keys", "fps", "nodes"])
+            held.append(b)
+            if sum(x.num_rows for x in held) >= DEAL_ROWS:
+                yield deal(*_arrays(held))
+                held = []
+                release_memory()
+        if held:
+            yield deal(*_arrays(held))
 
     def meet(t: pa.Table) -> pa.Table:
         join = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
@@ -149,7 +165,7 @@ def link(reps: DataFrame, buckets: int, distance: int = DISTANCE, segments=SEGME
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     entries = reps.select("node", "fp").mapInArrow(spread, "bucket int, keys binary, fps binary, nodes binary")
-    return entries.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    return entries.groupBy("bucket").applyInArrow(tidy(meet), "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -157,7 +173,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     Alternating large-star and small-star steps; each round is written to the shared folder and only counts reach the driver."""
     e = materialise(edges.select("a", "b").where("a <> b").distinct(), "links")
-    last = None
     for _ in range(rounds):
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -166,10 +181,10 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("x"), "m").where("x <> m").union(down.select(F.col("u").alias("x"), "m"))
         e = materialise(small.select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b")).distinct(), "links")
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first())
-        if now == last:
+        # settled once all edges lead straight to a root: no node has two edges down, or one down and one up
+        ends = e.select(F.col("a").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(e.select("b", F.lit(0), F.lit(1)))
+        if not ends.groupBy("x").agg(F.sum("down").alias("d"), F.max("up").alias("u")).where("d > 1 OR (d = 1 AND u = 1)").head(1):
             break
-        last = now
     else:
         raise RuntimeError(f"components did not settle within {rounds} rounds")
     return e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
@@ -183,4 +198,5 @@ def near_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     labels = components(link(reps, buckets))
     of = reps.join(labels, "node", "left").select(F.col("fp"), F.coalesce("component", "node").alias("component_id"))
+    of = materialise(of, "components")  # a plain table, so that the join can split a fingerprint that many documents share
     return fps.join(of, "fp", "left").select("doc_id", "fp", "component_id")
