@@ -213,9 +213,11 @@ def fit(docs: DataFrame, usable: Column, pieces: list[str], max_docs: int = MAX_
     counts: dict[str, Counter] = defaultdict(Counter)
     used: Counter = Counter()
     for lang, text in known.where(pick).select("lang", "text").toLocalIterator():
-        used[lang] += len(text)
-        if used[lang] <= share or not counts[lang]:
+        if used[lang] < share:  # the text that crosses the bound still counts whole
             counts[lang].update(_words_of(text))
+        used[lang] += len(text)
+        if all(used[x] >= share for x in sizes):
+            break
     languages = sorted(x for x in counts if counts[x])
     if not languages:
         return None
