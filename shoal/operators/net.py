@@ -4,8 +4,8 @@ The net of a zoom is the lexicographically first maximal independent set (in the
 two points conflict if they are within the zoom's scale. A point's level ``tz`` is the coarsest zoom whose net has it
 (max_zoom + 1 if none has); its parent is the nearest earlier center of zoom tz - 1. While a collection is large, a net is
 found in rounds of equi-joins on grid cells: a point joins when no earlier undecided point is within the scale, and whatever it
-covers drops out. A collection, or what is left of it at coarser zooms, that has at most ``LOCAL_LIMIT`` points goes through
-the replay kernel in one task.
+covers drops out. A collection, or what is left of it at coarser zooms, that has at most ``LOCAL_LIMIT`` points is done by the
+same rounds in numpy, in one task (shoal.operators.bulk).
 """
 
 from __future__ import annotations
@@ -13,30 +13,31 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.functions.geometry import Options
-from shoal.operators.kernel import Net
+from shoal.operators import bulk
 from shoal.operators.search import squared_distance, with_cell, with_near_cells
 from shoal.sources.tables import materialise
 
-LOCAL_LIMIT = 50_000
+LOCAL_LIMIT = 250_000
 NODE_SCHEMA = "collection string, num bigint, qx bigint, qy bigint, cat int, tz int, parent bigint"
 SEGMENT_SCHEMA = "collection string, num bigint, qx bigint, qy bigint, cat int, rep bigint, low int, high int"
 
 
 def _local(opts: Options):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        net = Net(opts)
-        pdf = pdf.sort_values("num")
-        for num, x, y, cat in pdf[["num", "qx", "qy", "cat"]].itertuples(index=False):
-            net.upsert(int(num), int(x), int(y), int(cat))
-        rows = pd.DataFrame(net.rows(), columns=["num", "qx", "qy", "cat", "tz", "parent"])
-        rows.insert(0, "collection", pdf["collection"].iloc[0])
-        rows["parent"] = rows["parent"].astype("Int64")
-        return rows
+        pdf = pdf.sort_values("num", ignore_index=True)
+        num = pdf["num"].to_numpy(np.int64)
+        level, parent = bulk.build(num, pdf["qx"].to_numpy(np.int64), pdf["qy"].to_numpy(np.int64), opts)
+        out = pdf[["collection", "num", "qx", "qy", "cat"]].copy()
+        out["tz"] = level
+        out["parent"] = pd.array(np.where(parent < 0, 0, num[parent]), "Int64")
+        out.loc[parent < 0, "parent"] = pd.NA
+        return out
 
     return run
 
