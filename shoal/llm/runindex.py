@@ -38,8 +38,9 @@ SEED = 24
 HASH_BITS = 48
 #: Input bytes for each bucket.
 BUCKET_BYTES = 1 << 20
-#: Bytes that one kernel call hashes.
-STEP = 1 << 20
+#: Bytes of a lot, and bytes that one kernel call hashes.
+LOT_BYTES = 4 << 20
+STEP = 1 << 19
 
 ASK = [("bucket", pa.int32()), ("lot", pa.int64()), ("keys", pa.binary()), ("many", pa.binary())]
 ASK_SCHEMA = "bucket int, lot long, keys binary, many binary"
@@ -103,7 +104,8 @@ class Stretches:
             size = np.diff(np.append(at, len(m)))
             good = ~bad[at]
             first = at[good]
-            parts.append((m[first], np.searchsorted(lot.offs, first + a, side="right") - 1, first + a, size[good]))
+            # least hashes are small numbers, so they are mixed again before they are dealt out by their first bits
+            parts.append((mix(m[first]) >> np.uint64(64 - HASH_BITS), np.searchsorted(lot.offs, first + a, side="right") - 1, first + a, size[good]))
         if not parts:
             z = np.zeros(0, np.int64)
             return cls(np.zeros(0, np.uint64), z, z, z)
@@ -427,7 +429,7 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if length < SEED + 2:
         raise ValueError(f"the length must be over {SEED + 1}")
     buckets = max(8, -(-input_bytes(docs) // BUCKET_BYTES))
-    lots = store(docs, F.lit(False))
+    lots = store(docs, F.lit(False), LOT_BYTES)
     asked = lots.mapInArrow(_ask(buckets, length), ASK_SCHEMA)
     shared = materialise(asked.groupBy("bucket").applyInArrow(tidy(_shared), ANSWER_SCHEMA), "shared-minimizers")
     texts = lots.groupBy("lot").cogroup(shared.groupBy("lot")).applyInArrow(_send(buckets, length), TEXT_SCHEMA)
