@@ -7,9 +7,13 @@ broadcast, sort-merge or hash, and to split skewed cells.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoal.sources.tables import materialise
+
 
 def with_cell(df: DataFrame, side: float) -> DataFrame:
     return df.withColumn("cx", F.floor(F.col("qx") / side)).withColumn("cy", F.floor(F.col("qy") / side))
@@ -37,11 +41,25 @@ def within(probes: DataFrame, points: DataFrame, radius: float, side: float | No
     return met.where(F.col("d2").cast("double") <= radius * radius).select("collection", "probe", "other", "d2")
 
 
+#: Shares of the radius that ``nearest`` searches one after another.
+RINGS = (1 / 4096, 1 / 256, 1 / 16, 1.0)
+
+
 def nearest(probes: DataFrame, points: DataFrame, radius: float) -> DataFrame:
-    """For each probe the nearest other point within the radius; ties by the id as text."""
-    found = within(probes, points, radius).where("probe <> other")
-    best = F.min(F.struct("d2", F.col("other").cast("string").alias("text"), "other")).alias("b")
-    return found.groupBy("collection", "probe").agg(best).select("collection", "probe", F.col("b.other").alias("other"), F.col("b.d2").alias("d2"))
+    """For each probe the nearest other point within the radius; ties by the id as text.
+
+    Small discs are searched first and only probes that found nothing go on to the next, so dense places are never paired
+    at the full radius."""
+    out, left = [], probes
+    for share in RINGS:
+        found = within(left, points, radius * share).where("probe <> other")
+        best = F.min(F.struct("d2", F.col("other").cast("string").alias("text"), "other")).alias("b")
+        ring = found.groupBy("collection", "probe").agg(best).select("collection", "probe", F.col("b.other").alias("other"), F.col("b.d2").alias("d2"))
+        if share < RINGS[-1]:
+            ring = materialise(ring, "ring")
+            left = materialise(left.join(ring.select("collection", F.col("probe").alias("num")), ["collection", "num"], "left_anti").select("collection", "num", "qx", "qy"), "left")
+        out.append(ring)
+    return reduce(DataFrame.unionByName, out)
 
 
 def covered(probes: DataFrame, points: DataFrame, radius: float) -> DataFrame:
