@@ -3,8 +3,9 @@
 ``pieces`` tokenises whole documents, ends each with id 0 and cuts those longer than a sequence. ``pack`` deals the pieces
 evenly into small shards, whatever their ids. A shard packs its pieces best-fit decreasing and then runs the local search:
 pieces move, or change places one for one or two for one, between underfull bins, always increasing the sum of squared
-fills, until bins run empty. The ``PASS_ON`` emptiest bins of a shard travel on as one row, the others are done; ``FAN_IN``
-such rows at a time are searched again until one row is left, so no task ever holds more than a bounded number of bins.
+fills, until bins run empty. Full bins are done; all underfull bins of a shard travel on, in rows of at most ``PASS_ON``,
+the emptiest first. About ``FAN_IN`` rows of like rank at a time are searched again, until one task holds all of them or a
+level empties no bin, so no task ever holds more than a bounded number of bins.
 
 A null or empty text is the single id 0. Repeated rows are packed each on its own; extra columns are ignored; an empty table
 gives no rows.
@@ -16,6 +17,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +30,11 @@ from .common import chunks, materialise, release_memory, tidy
 CAPACITY = 2048
 #: Pieces in a shard, about.
 SHARD = 2000
-#: Shards whose underfull bins are searched together.
+#: Rows of underfull bins that are searched together, about.
 FAN_IN = 32
 END_ID = 0
-#: Bins that the local search fails to empty before it stops, its passes over the others for each, and pieces of a bin of
-#: which it tries pairs.
-FAILURES = 4
-PASSES = 3
-#: Underfull bins that a group of shards passes on to the next search; the fuller ones of the others are done.
+#: Underfull bins in a row that travels on; all of them travel.
 PASS_ON = 64
-PAIR_ITEMS = 40
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, spread long"
 PIECE_IDS_SCHEMA = PIECE_SCHEMA + ", ids binary"
@@ -173,19 +170,51 @@ class _Bins:
         self.lengths = np.asarray(lengths, np.int64)
         self.fill = [int(self.lengths[b].sum()) for b in self.items]
         self._sums: dict[tuple[int, bool], tuple[np.ndarray, list[tuple[int, ...]]]] = {}
+        self._bits: dict[int, tuple[int, int]] = {}
+        self._fits: dict[int, tuple[int, int]] = {}
 
     def sums(self, k: int, pairs: bool) -> tuple[np.ndarray, list[tuple[int, ...]]]:
         """Sums of one piece of bin k (of up to two, with pairs), ascending, and whose they are."""
         if (k, pairs) not in self._sums:
-            own = list({int(self.lengths[i]): i for i in self.items[k]}.values()) if not pairs else self.items[k]
-            sets = [(i,) for i in own]
+            of: dict[int, list[int]] = {}  # two pieces a length are enough; a bin has few different lengths
+            for i in self.items[k]:
+                same = of.setdefault(int(self.lengths[i]), [])
+                if len(same) < 2:
+                    same.append(i)
+            sets: dict[int, tuple[int, ...]] = {}
             if pairs:
-                sets += [(a, b) for n, a in enumerate(own[:PAIR_ITEMS]) for b in own[:n]]
-            total = np.array([self.lengths[list(x)].sum() for x in sets], np.int64)
-            order = np.argsort(total, kind="stable")
-            self._sums[k, pairs] = total[order], [sets[i] for i in order.tolist()]
+                for n, (x, a) in enumerate(of.items()):
+                    if len(a) == 2:
+                        sets[2 * x] = (a[0], a[1])
+                    for y, b in islice(of.items(), n):
+                        sets[x + y] = (a[0], b[0])
+            sets.update((x, (a[0],)) for x, a in of.items())
+            order = sorted(sets)
+            self._sums[k, pairs] = np.array(order, np.int64), [sets[x] for x in order]
         return self._sums[k, pairs]
 
+    def bits(self, k: int) -> tuple[int, int]:
+        """The sums of bin k, without and with pairs, as the bits of two integers."""
+        if k not in self._bits:
+            one, two = (sum(1 << n for n in self.sums(k, pairs)[0].tolist()) for pairs in (False, True))
+            self._bits[k] = one, two
+        return self._bits[k]
+
+    def can(self, giver: int, taker: int, room: int) -> bool:
+        """Whether some exchange passes anything: a given sum exceeds one that comes back, or 0, by 1 up to the room."""
+        if taker not in self._fits:
+            fits = []
+            for back in self.bits(taker)[::-1]:
+                reach, n = back | 1, 1
+                while n < room:  # OR of the first n shifts
+                    d = min(n, room - n)
+                    reach |= reach << d
+                    n += d
+                fits.append(reach << 1)
+            self._fits[taker] = fits[0], fits[1]
+        (one, two), (for_one, for_two) = self.bits(giver), self._fits[taker]
+        return bool(one & for_one or two & for_two)
+
     def transfer(self, giver: int, taker: int, room: int) -> int:
         """The exchange that passes most, but no more than the room: one for none, one or two, two for none or one. What it passed."""
         best: tuple[int, tuple, tuple] = (0, (), ())
@@ -207,6 +236,8 @@ class _Bins:
                 self.fill[k] += d
                 self._sums.pop((k, False), None)
                 self._sums.pop((k, True), None)
+                self._bits.pop(k, None)
+                self._fits.pop(k, None)
         return gain
 
 
@@ -216,7 +247,7 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int = CAPA
     live = {k for k, f in enumerate(s.fill) if f}
     least = -(-sum(s.fill) // capacity)
     stuck: set[int] = set()
-    while len(live) > least and len(stuck) < FAILURES:
+    while len(live) > least:
         takers = sorted((k for k in live if s.fill[k] < capacity), key=lambda k: (s.fill[k], k))
         donor = next((k for k in takers if k not in stuck), None)
         if donor is None:
@@ -224,15 +255,14 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int = CAPA
         others = [k for k in takers if k != donor and s.fill[k] >= s.fill[donor]]  # the emptiest first: they take most
         if sum(capacity - s.fill[k] for k in others) < s.fill[donor]:
             break
-        for _ in range(PASSES):
+        before = None
+        while s.fill[donor] not in (0, before):
             before = s.fill[donor]
             for k in others:
-                while s.items[donor] and s.fill[k] < capacity and s.transfer(donor, k, capacity - s.fill[k]):
-                    pass
+                while s.items[donor] and s.fill[k] < capacity and s.can(donor, k, capacity - s.fill[k]):
+                    s.transfer(donor, k, capacity - s.fill[k])
                 if not s.items[donor]:
                     break
-            if s.fill[donor] in (0, before):
-                break
         if s.items[donor]:
             stuck.add(donor)
         else:
@@ -242,32 +272,43 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int = CAPA
 
 _COLS = ("doc_id", "piece", "start", "length", "ids_crc32")
 _KINDS = {"doc_id": np.int64, "piece": np.int32, "start": np.int64, "length": np.int64, "ids_crc32": np.int64}
-_STATE_SCHEMA = PACKED_SCHEMA + ", shard long, rest binary"
+_STATE_SCHEMA = PACKED_SCHEMA + ", shard long, rank int, bins long, rest binary"
 _NULL = np.iinfo(np.int64).min
 
 
 def _emit(cols: dict[str, np.ndarray], bins: list[list[int]], first_id: int, shard: int, last: bool, capacity: int) -> pa.Table:
-    """Rows of the bins that are done (all, if last), and one row that carries the emptiest ones on."""
+    """Rows of the bins that are done (the full ones; all, if last), and rows that carry the others on, the emptiest first."""
     length = cols["length"]
     by_fill = sorted(bins, key=lambda b: int(length[b].sum()))
-    open_bins = 0 if last else min(PASS_ON, sum(int(length[b].sum()) < capacity for b in bins))
+    open_bins = 0 if last else sum(int(length[b].sum()) < capacity for b in bins)
     done, rest = by_fill[open_bins:], by_fill[:open_bins]
     order = np.array([i for b in done for i in b], np.int64)
     seq = np.repeat(first_id + np.arange(len(done), dtype=np.int64), [len(b) for b in done])
     offset = np.concatenate([np.cumsum(length[b]) - length[b] for b in done]) if done else np.zeros(0, np.int64)
     out = {c: cols[c][order] for c in _COLS}
-    left = b""
-    if rest:
-        r = np.array([i for b in rest for i in b], np.int64)
-        sizes = np.array([len(b) for b in rest], np.int64)
-        left = np.array([len(sizes), len(r)], np.int64).tobytes() + sizes.tobytes() + b"".join(cols[c][r].tobytes() for c in _COLS)
+    left: list[bytes] = []
+    held: list[int] = []
+    i = 0
+    while i < len(rest):
+        j, n = i + 1, len(rest[i])
+        while j < len(rest) and j - i < PASS_ON and n + len(rest[j]) <= SHARD:
+            n += len(rest[j])
+            j += 1
+        r = np.array([x for b in rest[i:j] for x in b], np.int64)
+        sizes = np.array([len(b) for b in rest[i:j]], np.int64)
+        left.append(np.array([len(sizes), len(r)], np.int64).tobytes() + sizes.tobytes() + b"".join(cols[c][r].tobytes() for c in _COLS))
+        held.append(len(sizes))
+        i = j
     n = len(order)
     ids = pa.array(out["doc_id"], pa.int64(), mask=out["doc_id"] == _NULL)
-    data = [ids, *(pa.array(out[c]) for c in _COLS[1:]), pa.array(seq), pa.array(offset, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
-    names = [*_COLS, "sequence_id", "offset", "shard", "rest"]
+    data = [ids, *(pa.array(out[c]) for c in _COLS[1:]), pa.array(seq), pa.array(offset, pa.int64())]
+    data += [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
+    names = [*_COLS, "sequence_id", "offset", "shard", "rank", "bins", "rest"]
     t = pa.table(dict(zip(names, data, strict=True)))
     if left:
-        more = {c: pa.nulls(1, t.schema.field(c).type) for c in names} | {"shard": pa.array([shard], pa.int64()), "rest": pa.array([left], pa.binary())}
+        m = len(left)
+        more = {c: pa.nulls(m, t.schema.field(c).type) for c in names}
+        more |= {"shard": pa.array([shard] * m, pa.int64()), "rank": pa.array(range(m), pa.int32()), "bins": pa.array(held, pa.int64()), "rest": pa.array(left, pa.binary())}
         t = pa.concat_tables([t, pa.table(more)])
     return t
 
@@ -292,13 +333,28 @@ def _load(blobs: list[bytes]) -> tuple[dict[str, np.ndarray], list[list[int]]]:
 def _again(base: int, last: bool, capacity: int):
     def run(key: tuple, t: pa.Table) -> pa.Table:
         k = key[0].as_py()
-        raw = [r for _, r in sorted(zip(t.column("shard").to_pylist(), t.column("rest").to_pylist(), strict=True))]
+        raw = [x[-1] for x in sorted(zip(*(t.column(c).to_pylist() for c in ("shard", "rank", "rest")), strict=True))]
         cols, bins = _load(raw)
         return _emit(cols, local_search(bins, cols["length"].tolist(), capacity), base | (k << 20), k, last, capacity)
 
     return tidy(run)
 
 
+def _regroup(state: DataFrame, ranks: list, rows: int, level: int) -> DataFrame:
+    """The rows that travel on, with the group that searches each: rows of neighbouring ranks, about FAN_IN together."""
+    rest = state.where(F.col("rest").isNotNull()).select("shard", "rank", "rest")
+    to, base, i = F.lit(0).cast("long"), 0, 0
+    while rows > FAN_IN and i < len(ranks):
+        j, n = i + 1, ranks[i][1]
+        while j < len(ranks) and n + ranks[j][1] <= FAN_IN:
+            n += ranks[j][1]
+            j += 1
+        groups = -(-n // FAN_IN)
+        to = F.when(F.col("rank") >= ranks[i][0], base + F.pmod(F.xxhash64("shard", F.lit(level)), F.lit(groups))).otherwise(to)
+        base, i = base + groups, j
+    return rest.withColumn("to", to)
+
+
 def pack(table: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """Pieces(doc_id, piece, start, length, ids_crc32, spread) with the sequence and the offset that each got."""
     n = table.count()
@@ -314,15 +370,19 @@ def pack(table: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Data
     dealt = table.withColumn("shard", F.pmod(F.xxhash64("spread"), F.lit(shards)))
     state = materialise(dealt.groupBy("shard").applyInArrow(tidy(first), _STATE_SCHEMA), "packed")
     out = state.where(F.col("rest").isNull())
-    level = 0
-    while shards > 1:
-        level += 1
-        shards = -(-shards // FAN_IN)
-        base, last = (level << 56), shards == 1
-
-        rest = state.where(F.col("rest").isNotNull()).select("shard", "rest").withColumn("to", F.expr(f"shard div {FAN_IN}"))
-        state = materialise(rest.groupBy("to").applyInArrow(_again(base, last, capacity), _STATE_SCHEMA), "packed")
+    level, before = 0, None
+    while True:
+        closed = state.where(F.col("offset") == 0).count() if before is not None else 0
+        ranks = state.where(F.col("rest").isNotNull()).groupBy("rank").agg(F.count(F.lit(1)), F.sum("bins")).orderBy("rank").collect()
+        if not ranks:
+            break
+        rows, left = sum(r[1] for r in ranks), sum(r[2] for r in ranks)
+        last = rows <= FAN_IN or (before is not None and closed + left == before)  # one task, or no bin was emptied
+        level, before = level + 1, left
+        state = materialise(_regroup(state, ranks, rows, level).groupBy("to").applyInArrow(_again(level << 56, last, capacity), _STATE_SCHEMA), "packed")
         out = out.unionByName(state.where(F.col("rest").isNull()))
+        if last:
+            break
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

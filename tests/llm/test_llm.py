@@ -188,6 +188,49 @@ def test_local_search_empties_bins():
         assert all(sum(lengths[i] for i in b) <= 2048 for b in out)
 
 
+def test_local_search_tries_every_donor_and_all_pairs():
+    # five bins of 60 are stuck, but the bin of seven tens fits into the room of the others
+    lengths = [60] * 5 + [10] * 7 + [90] * 10
+    bins = [[k] for k in range(5)] + [list(range(5, 12))] + [[k] for k in range(12, 22)]
+    assert len(packing.local_search(bins, lengths, 100)) == 15
+    lengths = [*range(60, 0, -1), 1, 1, 2]
+    sums, sets = packing._Bins([list(range(63))], lengths).sums(0, True)
+    assert set(sums.tolist()) == {*lengths, *(a + b for i, a in enumerate(lengths) for b in lengths[:i])}
+    assert all(len(set(x)) == len(x) and sum(lengths[i] for i in x) == n for n, x in zip(sums.tolist(), sets, strict=True))
+
+
+def test_exchanges_are_screened_exactly():
+    rnd, seen = random.Random(3), collections.Counter()
+    for _ in range(600):
+        lengths = [rnd.randrange(1, 900) for _ in range(6)]
+        s = packing._Bins([[0, 1], [2, 3, 4, 5][: rnd.randrange(1, 5)]], lengths)
+        room = rnd.randrange(1, 60)
+        can = s.can(0, 1, room)
+        seen[can] += 1
+        assert can == (s.transfer(0, 1, room) > 0)
+    assert min(seen[True], seen[False]) > 100
+
+
+def test_packing_passes_on_every_underfull_bin(spark, monkeypatch):
+    n = 300
+    cols = {c: np.arange(n).astype(k) for c, k in packing._KINDS.items()} | {"length": np.full(n, 60)}
+    t = packing._emit(cols, [[k] for k in range(n)], 0, 7, False, 100)
+    raw = [x for x in t.column("rest").to_pylist() if x is not None]
+    assert len(raw) == t.num_rows > 1 and sum(x or 0 for x in t.column("bins").to_pylist()) == n
+    got, bins = packing._load(raw)
+    assert sorted(got["doc_id"].tolist()) == list(range(n)) and len(bins) == n
+    monkeypatch.setattr(packing, "FAN_IN", 2)
+    rnd = random.Random(6)
+    sizes = [rnd.randrange(1, 60) for _ in range(600)]
+    rows = [(i, 0, 0, k, 0, i) for i, k in enumerate(sizes)]
+    out = packing.pack(spark.createDataFrame(rows, packing.PIECE_SCHEMA), 100, 20).collect()
+    fill = collections.Counter()
+    for r in out:
+        fill[r.sequence_id] += r.length
+    assert sorted((r.doc_id, r.length) for r in out) == sorted(enumerate(sizes)) and max(fill.values()) <= 100
+    assert len(fill) <= -(-sum(sizes) // 100) + 2
+
+
 # --- 4
 
 
