@@ -89,16 +89,23 @@ def sample(docs: DataFrame, labels: DataFrame, usable) -> tuple[list[tuple[str,
     n_docs = docs.where(usable).count()
     if not n_pos or not n_docs:
         return [], 0.0
-    pick = lambda share: F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))
-    ids = known.where((F.col("toxic") == 1) & pick(min(1.0, MAX_POSITIVE / n_pos))).select("doc_id").distinct()
-    positive = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text", F.lit(True).alias("pos"))
-    rest = docs.where(usable & F.col("doc_id").isNotNull() & pick(min(1.0, MAX_UNLABELLED / n_docs))).select("text", F.lit(False).alias("pos"))
-    out, size = [], 0
-    for text, pos in positive.union(rest).where(F.col("text").isNotNull()).toLocalIterator():
-        size += len(text)
-        if size > MAX_TRAIN_BYTES:
-            break
-        out.append((text, pos))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
+    most = [min(1.0, MAX_POSITIVE / n_pos), min(1.0, MAX_UNLABELLED / n_docs)]
+    picked = lambda share: draw < int(share * (1 << 30))
+    ids = known.where((F.col("toxic") == 1) & picked(most[0])).select("doc_id").distinct()
+    of_ids = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    budget = MAX_TRAIN_BYTES // 2  # each class has its own, so neither can crowd the other out
+    out = []
+    for rows, share, pos in ((of_ids, most[0], True), (docs.where(usable & F.col("doc_id").isNotNull()), most[1], False)):
+        rows = rows.where(picked(share) & (F.octet_length("text") <= budget))
+        size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        rows = rows.where(picked(share * min(1.0, budget / max(1, size)))).orderBy(draw, "doc_id", "text").select("text")
+        left = budget
+        for (text,) in rows.toLocalIterator():
+            n = len(text.encode("utf-8", "surrogatepass"))
+            if n <= left:
+                left -= n
+                out.append((text, pos))
     return out, n_pos / n_known
 
 

@@ -548,6 +548,17 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model, "tox").count() == 0
 
 
+def test_toxicity_sample_keeps_both_classes_within_the_bytes(spark, monkeypatch):
+    rows = [(i, f"{i:04d} " + "vile " * 199) for i in range(100)] + [(i, f"{i:04d} " + "fine " * 199) for i in range(100, 400)] + [(999, "é" * 30000)]
+    labels = spark.createDataFrame([(i, 1, int(i < 100)) for i in range(200)], "doc_id bigint, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "MAX_TRAIN_BYTES", 50_000)  # all positives alone have twice as many
+    got, prior = toxicity.sample(frame(spark, rows).orderBy(F.desc("doc_id")), labels, F.lit(True))
+    size = {p: sum(len(t.encode()) for t, q in got if p == q) for p in (True, False)}
+    assert prior == 0.5 and all(10_000 < n <= 25_000 for n in size.values())
+    ids = [int(t[:4]) for t, p in got if not p]
+    assert min(ids) < 200 and max(ids) >= 300  # spread over the table, not its beginning
+
+
 # --- the pipeline and the registered queries
 
 
