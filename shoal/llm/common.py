@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,9 +61,12 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one if that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. If it is unset, a local one with a local master
+    (tests), and an error on a cluster, where executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shoal-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -155,6 +160,30 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+_SALT = np.uint64(0xD6E8FEB86659FD93)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Parts of more bytes are hashed one by one.
+LONG_PART = 128
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the given parts of the data: every eight bytes are mixed into the state, long parts by XXH3.
+
+    Mixing is not linear, so unlike a polynomial it has no known pairs of different parts that meet."""
+    h = mix(size.astype(np.uint64) * _SALT + np.uint64(1))
+    word = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    short = np.flatnonzero(size <= LONG_PART)
+    at, left = start[short], size[short]
+    while len(short):
+        w = word[at] & _MASK[np.minimum(left, 8)]
+        h[short] = mix((h[short] ^ w) * _M + _SALT)
+        more = left > 8
+        short, at, left = short[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG_PART).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[start[k] : start[k] + size[k]])
+    return h
+
+
 def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, 64-bit hashes, words per document) of already lower-cased bytes of whole documents.
 
@@ -171,35 +200,38 @@ def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray = ALNUM) -> tuple
     firsts = offs[:-1][np.diff(offs) > 0]
     before[firsts] = False
     starts = np.flatnonzero(inside & ~before)
-    after = np.empty(n, bool)
+    after = before  # the same memory
     after[-1] = False
     after[:-1] = inside[1:]
-    lasts = firsts[1:] - 1
-    after[lasts] = False
+    after[firsts[1:] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    pw, inv = _powers(n + 1)
-    c = np.empty(n + 1, np.uint64)
-    c[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * pw[:n], out=c[1:])
-    h = mix((c[ends] - c[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
-    bounds = np.searchsorted(starts, offs)
-    return starts, ends, h, np.diff(bounds)
+    return starts, ends, span_hashes(data, starts, ends - starts), np.diff(np.searchsorted(starts, offs))
 
 
 def word_features(data: np.ndarray, offs: np.ndarray, kind: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, list]:
     """Words per document, and (which words or None for all, hashes) for the words and for their beginnings of so many bytes."""
     starts, ends, h, per = words(data, offs, kind)
     out: list = [(None, h)]
-    if len(starts):
-        pw, inv = _powers(len(data) + 1)
-        c = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * pw[: len(data)]))
-        for n in prefixes:
-            has = np.flatnonzero(ends - starts >= n)
-            s = starts[has]
-            out.append((has, mix((c[s + n] - c[s]) * inv[s] + np.uint64(n << 40))))
+    for n in prefixes if len(starts) else ():
+        has = np.flatnonzero(ends - starts >= n)
+        out.append((has, mix(span_hashes(data, starts[has], np.full(len(has), n)) + np.uint64(n << 40))))
     return per, out
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """The name, or with underscores added the first that no column has, whatever the case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, stored, with a column of unique row numbers, and that column's name: ids may be null or repeated, rows are not."""
+    name = free_name(docs.columns, "row_number")
+    return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def record_batch(names_types: list[tuple[str, pa.DataType]], *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for (_, t), c in zip(names_types, cols, strict=True)], names=[n for n, _ in names_types])
 

@@ -1,13 +1,15 @@
 """Benchmark decontamination over a document-sharded positional inverted index.
 
 ``build_index`` turns a corpus into a stored table of shards. A shard holds, for some megabytes of documents, the
-positional postings of every indexed term, sorted by term and position. ``phrase_matches`` evaluates phrases shard by
-shard: it starts from the postings of the term that is rarest in the whole corpus and intersects them with the
+positional postings of every term of the training texts, sorted by term and position. ``phrase_matches`` evaluates phrases
+shard by shard: it starts from the postings of the term that is rarest in the whole corpus and intersects them with the
 offset-adjusted postings of the next rarest terms. ``proximity_matches`` does the same with a tolerance. Shards are
-independent: no posting list is ever gathered in one place, however frequent its term is.
+independent: no posting list is ever gathered in one place, however frequent its term is. The index does not depend on the
+phrases: it is built once and serves any number of blocks of them; a bounded block is sent to the tasks at a time.
 
-The indexed vocabulary is that of the phrases (a bounded block of them is sent to the tasks; more are handled block by
-block). Nulls have no words; empty texts match nothing; repeated rows are reported once each; extra columns are ignored.
+Nulls have no words; empty texts match nothing; repeated rows, and rows that share an id, are reported once each; an empty
+table gives no rows; extra columns are ignored. Items without an id have windows that hit words, but are no item that could be
+listed. A very long text is one shard of its own.
 """
 
 from __future__ import annotations
@@ -28,10 +30,13 @@ WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Windows that are sent to the tasks at once; more are evaluated block by block.
 BLOCK_WINDOWS = 500_000
 #: Free positions between two documents of a shard.
-GAP = 64
+GAP = 1
 
-INDEX_SCHEMA = "doc_id long, n_docs int, docs array<long>, n_words array<int>, terms array<int>, counts array<int>, places array<int>"
-HIT_SCHEMA = "doc_id long, n_words long, starts array<int>, ends array<int>, items array<long>"
+#: Stands for the id of an item that has none.
+NO_ITEM = np.iinfo(np.int64).min
+
+INDEX_SCHEMA = "shard long, docs array<long>, n_words array<int>, terms array<long>, counts array<int>, places array<int>"
+HIT_SCHEMA = "shard long, at int, doc_id long, n_words long, starts array<int>, ends array<int>, items array<long>"
 RESULT_SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>"
 
 _ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
@@ -77,98 +82,122 @@ def windows(items: list[tuple[int, str | None]], n: int) -> list[tuple[int, list
     return list({(i, tuple(w)): (i, w) for i, w in out}.values())
 
 
-def _index_chunk(ids: pa.Array, data: np.ndarray, offs: np.ndarray, vocab: np.ndarray) -> list:
+def _index_chunk(ids: pa.Array, data: np.ndarray, offs: np.ndarray) -> list:
     _, _, h, per = words(lower_ascii(data), offs, ALNUM)
     base = np.concatenate([[0], np.cumsum(per + GAP)])
     doc = np.repeat(np.arange(len(per)), per)
-    place = np.arange(len(h)) - np.repeat(np.cumsum(per) - per, per) + base[doc]
-    at = np.searchsorted(vocab, h)
-    at[at == len(vocab)] = 0
-    keep = np.flatnonzero(vocab[at] == h) if len(vocab) else np.zeros(0, np.int64)
-    at, place = at[keep].astype(np.int32), place[keep].astype(np.int32)
-    order = np.argsort(at, kind="stable")
-    at, place = at[order], place[order]
-    terms, first = np.unique(at, return_index=True)
-    counts = np.diff(np.append(first, len(at)))
-    return [ids, per.astype(np.int32), terms.astype(np.int32), counts.astype(np.int32), place]
+    place = (np.arange(len(h)) - np.repeat(np.cumsum(per) - per, per) + base[doc]).astype(np.int32)
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(h)))
+    return [ids, per.astype(np.int32), h[first].view(np.int64), counts.astype(np.int32), place[order]]
 
 
-def build_index(docs: DataFrame, vocab: np.ndarray) -> DataFrame:
-    """The stored index of docs(doc_id, text): a row a shard, with the postings of the terms whose hashes are in vocab."""
+def build_index(docs: DataFrame) -> DataFrame:
+    """The stored index of docs(doc_id, text): a row a shard, with the postings of all its terms by their hashes."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        shard = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         for b in batches:
             data, offs = column_bytes(b.column("text"))
             ids = b.column("doc_id").cast(pa.int64())
             for i, j in chunks(offs):
-                cut = _index_chunk(ids.slice(i, j - i), data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], vocab)
+                cut = _index_chunk(ids.slice(i, j - i), data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 one = lambda a: list_array(a, np.array([0, len(a)]))
                 docs_col = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), cut[0])
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([j - i], pa.int32()), docs_col, *map(one, cut[1:])], names=["doc_id", "n_docs", "docs", "n_words", "terms", "counts", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), docs_col, *map(one, cut[1:])], names=["shard", "docs", "n_words", "terms", "counts", "places"])
+                shard += 1
             release_memory()
 
     return materialise(docs.select("doc_id", "text").mapInArrow(build, INDEX_SCHEMA), "positional-index")
 
 
-def term_counts(index: DataFrame, n_terms: int) -> np.ndarray:
-    """How often each term occurs in the whole corpus: summed within each partition, then over all."""
+def _found_terms(vocab: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the vocabulary's hashes are terms of a shard, their places in it); both are sorted."""
+    if not len(terms):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(terms, vocab), len(terms) - 1)
+    have = np.flatnonzero(terms[at] == vocab)
+    return have, at[have]
+
+
+def term_counts(index: DataFrame, vocab: np.ndarray) -> np.ndarray:
+    """How often each term of a vocabulary occurs in the whole corpus: summed within each partition, then over all."""
+    sent = index.sparkSession.sparkContext.broadcast(vocab)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_terms, np.int64)
+        total = np.zeros(len(sent.value), np.int64)
         for b in batches:
-            np.add.at(total, b.column("terms").flatten().to_numpy(), b.column("counts").flatten().to_numpy())
+            for r in range(b.num_rows):
+                terms, counts = (b.column(c).slice(r, 1).flatten().to_numpy() for c in ("terms", "counts"))
+                have, at = _found_terms(sent.value, terms.view(np.uint64))
+                total[have] += counts[at]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["term", "n"])
 
-    out = np.zeros(n_terms, np.int64)
+    out = np.zeros(len(vocab), np.int64)
     rows = index.select("terms", "counts").mapInArrow(sums, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     for term, n in rows:
         out[term] = n
     return out
 
 
-def _intersect(ph: Phrases, order: np.ndarray, slack: int, terms: np.ndarray, counts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase, place of its first word) of the matches in one shard. order: each phrase's offsets from its rarest term on."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _intersect(ph: Phrases, order: np.ndarray, slack: int, terms: np.ndarray, counts: np.ndarray, places: np.ndarray, base: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase, place of its first word, document) of the matches in one shard. order: each phrase's offsets from its rarest term on."""
+    none = (np.zeros(0, np.int64),) * 3
     if not len(terms) or not len(ph.length):
         return none
     n = len(ph.vocab)
-    first = np.zeros(n + 1, np.int64)
-    first[terms + 1] = counts
-    first = np.cumsum(first)
+    have, at = _found_terms(ph.vocab, terms.view(np.uint64))
+    begins = np.cumsum(counts, dtype=np.int64) - counts
+    first, size_of = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    first[have], size_of[have] = begins[at], counts[at]
     rows = np.arange(len(ph.length))
     pivot = ph.terms[rows, order[:, 0]]
-    size = first[pivot + 1] - first[pivot]
-    live = np.flatnonzero(size)
-    size = size[live]
+    live = np.flatnonzero(size_of[pivot])
+    size = size_of[pivot[live]]
     if not len(live):
         return none
     phrase = np.repeat(live, size)
     within = np.arange(len(phrase)) - np.repeat(np.cumsum(size) - size, size)
-    start = places[first[pivot[phrase]] + within].astype(np.int64) - order[phrase, 0]
+    stands = places[first[pivot[phrase]] + within].astype(np.int64)
+    doc = np.searchsorted(base, stands, side="right") - 1  # the rarest term's own place tells the document
+    start = stands - order[phrase, 0]
+    if slack:
+        shift = np.tile(np.arange(-slack, slack + 1), len(phrase))
+        phrase, start, doc = (np.repeat(x, 2 * slack + 1) for x in (phrase, start, doc))
+        start = start + shift
     big = np.int64(1) << 32
-    keys = np.repeat(terms.astype(np.int64), counts) * big + places
+    mine = counts[at].astype(np.int64)
+    posting = np.arange(int(mine.sum())) + np.repeat(begins[at] - (np.cumsum(mine) - mine), mine)
+    keys = np.repeat(have, mine) * big + places[posting]
     for k in range(1, order.shape[1]):
         if not len(phrase):
             break
         off = order[phrase, k]
         more = off >= 0
-        want = ph.terms[phrase, np.maximum(off, 0)].astype(np.int64) * big + start + off - slack
-        at = np.searchsorted(keys, want)
-        at[at == len(keys)] = len(keys) - 1
-        ok = ~more | (keys[at] == want) if slack == 0 else ~more | ((keys[at] >= want) & (keys[at] <= want + 2 * slack))
-        phrase, start = phrase[ok], start[ok]
-    return phrase, start
+        tag = ph.terms[phrase, np.maximum(off, 0)].astype(np.int64) * big
+        low = np.maximum(start + off - slack, base[doc])
+        high = np.minimum(start + off + slack, base[doc] + per[doc] - 1)
+        at = np.minimum(np.searchsorted(keys, tag + low), len(keys) - 1)
+        ok = ~more | ((low <= high) & (keys[at] >= tag + low) & (keys[at] <= tag + high))
+        phrase, start, doc = phrase[ok], start[ok], doc[ok]
+    return phrase, start, doc
 
 
 def matches(index: DataFrame, ph: Phrases, df: np.ndarray, slack: int = 0) -> DataFrame:
     """For each document of the index: its number of words, the matches as [start, end) word numbers, their items.
 
-    slack 0: exact phrases. Otherwise each term may stand up to slack words from its place in the phrase."""
-    rarity = np.where(ph.terms >= 0, df[np.maximum(ph.terms, 0)], np.iinfo(np.int64).max)
+    slack 0: exact phrases. Otherwise a start matches if every term of the phrase stands in the document within slack words
+    of its place, counted from that start; the first start of each row of neighbouring ones is given, at least 0. Which term is
+    the rarest decides only where the search begins."""
+    rarity = np.where(ph.terms >= 0, df[np.maximum(ph.terms, 0)] if len(df) else 0, np.iinfo(np.int64).max)
     order = np.argsort(rarity, axis=1, kind="stable").astype(np.int64)
     order = np.where(np.arange(ph.terms.shape[1])[None, :] < ph.length[:, None], order, -1)
-    seen = ((ph.terms < 0) | (df[np.maximum(ph.terms, 0)] > 0)).all(axis=1)  # else some term is in no document
+    seen = ((ph.terms < 0) | (rarity > 0)).all(axis=1)  # else some term is in no document
     ph = Phrases(ph.terms[seen], ph.length[seen], ph.item[seen], ph.vocab)
     order = order[seen]
     sent = index.sparkSession.sparkContext.broadcast((ph, order))
@@ -179,22 +208,28 @@ def matches(index: DataFrame, ph: Phrases, df: np.ndarray, slack: int = 0) -> Da
             for r in range(b.num_rows):
                 ids, per, terms, counts, places = (b.column(c).slice(r, 1).flatten() for c in ("docs", "n_words", "terms", "counts", "places"))
                 per, terms, counts, places = (x.to_numpy() for x in (per, terms, counts, places))
-                phrase, start = _intersect(ph, order, slack, terms, counts, places)
                 base = np.concatenate([[0], np.cumsum(per.astype(np.int64) + GAP)])
-                doc = np.searchsorted(base, np.maximum(start, 0), side="right") - 1
-                inside = (start >= base[doc]) & (start + ph.length[phrase] <= base[doc] + per[doc])
+                phrase, start, doc = _intersect(ph, order, slack, terms, counts, places, base, per)
+                s = start - base[doc]
                 if slack:
-                    inside = doc >= 0
-                phrase, start, doc = phrase[inside], start[inside], doc[inside]
-                by = np.lexsort((start, doc))
-                phrase, start, doc = phrase[by], start[by], doc[by]
+                    s = np.maximum(s, 0)
+                    by = np.lexsort((s, phrase, doc))
+                    phrase, s, doc = phrase[by], s[by], doc[by]
+                    new = np.append(True, (phrase[1:] != phrase[:-1]) | (doc[1:] != doc[:-1]) | (s[1:] > s[:-1] + 1))[: len(s)]
+                    phrase, s, doc = phrase[new], s[new], doc[new]
+                else:
+                    inside = (s >= 0) & (s + ph.length[phrase] <= per[doc])
+                    phrase, s, doc = phrase[inside], s[inside], doc[inside]
+                by = np.lexsort((s, doc))
+                phrase, s, doc = phrase[by], s[by].astype(np.int32), doc[by]
                 offs = np.searchsorted(doc, np.arange(len(per) + 1))
-                s = (start - base[doc]).astype(np.int32)
-                item = list_array(ph.item[phrase], offs)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(per.astype(np.int64)), list_array(s, offs), list_array((s + ph.length[phrase]).astype(np.int32), offs), item], names=["doc_id", "n_words", "starts", "ends", "items"])
+                ends = np.minimum(s + ph.length[phrase], per[doc]).astype(np.int32)
+                shard = pa.array(np.full(len(per), b.column("shard")[r].as_py()))
+                cols = [shard, pa.array(np.arange(len(per), dtype=np.int32)), ids, pa.array(per.astype(np.int64)), list_array(s, offs), list_array(ends, offs), list_array(ph.item[phrase], offs)]
+                yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in HIT_SCHEMA.split(", ")])
             release_memory()
 
-    return index.select("docs", "n_words", "terms", "counts", "places").mapInArrow(find, HIT_SCHEMA)
+    return index.mapInArrow(find, HIT_SCHEMA)
 
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +244,7 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(line, s, 1)
             np.add.at(line, e, -1)
             hit[r] = int((np.cumsum(line) > 0).sum())
-            names = sorted({str(x) for x in b.column("items")[r].as_py()})
+            names = sorted({str(x) for x in b.column("items")[r].as_py() if x != NO_ITEM})
             count[r], sha[r], items[r] = len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), sorted(map(int, names))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in hit], pa.bool_()), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
 
@@ -217,37 +252,32 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int = 10, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Per document: words, words inside any occurrence of a benchmark window of n words, and the items that occur.
 
-    Items with a null id or no words have no window. The benchmark is read in blocks of about block_windows windows, so
-    its size is bounded at the driver and in each task."""
+    Items with no words have no window. The benchmark is read in blocks of about block_windows windows, so its size is
+    bounded at the driver and in each task; all blocks are intersected with one index."""
     chars = benchmark.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)))).first()[0]
     blocks = max(1, -(-int(chars or 0) // 2 // block_windows))
-    found, ids = None, None
-    if blocks > 1:  # a row's matches come together from all blocks, so rows need numbers of their own
-        ids = materialise(docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.monotonically_increasing_id().alias("doc_id")), "numbered")
-        docs = ids.select("doc_id", "text")
+    index = build_index(docs)
+    found = None
     for k in range(blocks):
-        part = benchmark.where(F.col("item_id").isNotNull())
-        part = part.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else part
-        phrases = windows([(r[0], r[1]) for r in part.select(F.col("item_id").cast("long"), "text").collect()], n)
-        ph = Phrases.of(phrases, n)
-        index = build_index(docs, ph.vocab)
-        hits = matches(index, ph, term_counts(index, len(ph.vocab)))
+        part = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else benchmark
+        listed = part.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ITEM)), "text").collect()
+        ph = Phrases.of(windows([(r[0], r[1]) for r in listed], n), n)
+        hits = matches(index, ph, term_counts(index, ph.vocab))
         found = hits if found is None else found.unionByName(hits)
-    if ids is None:
-        return found.mapInArrow(_summary, RESULT_SCHEMA)
-    found = found.groupBy("doc_id", "n_words").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")))
-    out = found.mapInArrow(_summary, RESULT_SCHEMA).join(ids.select("doc_id", "id"), "doc_id")
-    return out.withColumn("doc_id", F.col("id")).drop("id")
+    if blocks > 1:  # a row's matches come together from all blocks
+        merged = (F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items"))
+        found = found.groupBy("shard", "at").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *merged).select(found.columns)
+    return found.mapInArrow(_summary, RESULT_SCHEMA)
 
 
 def proximity_matches(spark: SparkSession, docs: DataFrame, phrases: list[tuple[int, str]], slack: int) -> DataFrame:
-    """(doc_id, item, start): documents in which all terms of a phrase stand within slack words of their places."""
+    """(doc_id, item, start): starts in documents from which all terms of a phrase stand within slack words of their places."""
     listed = [(i, tokens(t)) for i, t in phrases]
     listed = [x for x in listed if x[1]]
-    if slack >= GAP:
-        raise ValueError(f"slack must be below {GAP}")
+    if slack < 0:
+        raise ValueError("slack must not be negative")
     ph = Phrases.of(listed, max([1, *(len(w) for _, w in listed)]))
-    index = build_index(docs, ph.vocab)
-    found = matches(index, ph, term_counts(index, len(ph.vocab)), slack)
+    index = build_index(docs)
+    found = matches(index, ph, term_counts(index, ph.vocab), slack)
     both = found.select("doc_id", F.explode(F.arrays_zip("items", "starts")).alias("m"))
     return both.select("doc_id", F.col("m.items").alias("item"), F.col("m.starts").alias("start")).distinct()

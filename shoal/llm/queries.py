@@ -41,7 +41,7 @@ FROM d JOIN kept ON kept.r = d.r LEFT JOIN gone ON gone.r = d.r
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
 OP2_SQL = r"""
@@ -62,7 +62,7 @@ cand AS (
 hits AS (SELECT c.r, c.i, c.n, win.item_id FROM cand c JOIN win ON win.n = c.n AND win.s = c.s),
 hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
 it AS (
-  SELECT r, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS sha
+  SELECT r, count(s) AS n_items, sha256(coalesce(string_agg(s, ',' ORDER BY s), '')) AS sha
   FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY r)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powers, input_bytes, materialise, mix, release_memory, tidy
+from .common import _powers, input_bytes, materialise, mix, release_memory, span_hashes, tidy
 from .lots import Lot, by_bucket, pack, squeeze, store, table_of, unpack, unsqueeze
 
 LENGTH = 50
@@ -179,7 +179,7 @@ class Sent:
                 shared[a:b] = np.unpackbits(np.frombuffer(unsqueeze(r["first"]), np.uint8), count=int(b - a))
         keep = np.flatnonzero(shared[of]) if len(keys) else np.zeros(0, np.int64)
         s = Stretches(s.hash[keep], s.doc[keep], s.start[keep], s.count[keep])
-        content = text_hashes(lot.data, s.start, s.count + length - 1)
+        content = span_hashes(lot.data, s.start, s.count + length - 1)
         order = np.lexsort((lot.ids[s.doc], content, _bucket(s.hash, buckets)))
         c = content[order]
         new = np.append(True, c[1:] != c[:-1]) if len(c) else np.zeros(0, bool)
@@ -189,23 +189,6 @@ class Sent:
         return cls(s, which, first, lot.ids[s.doc[first]], _bucket(s.hash[first], buckets).astype(np.int64))
 
 
-def text_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of each of the given parts of the data."""
-    out = np.empty(len(start), np.uint64)
-    order = np.argsort(start, kind="stable")
-    i = 0
-    while i < len(order):
-        a = int(start[order[i]])
-        j = int(np.searchsorted(start[order], a + STEP, side="right")) if len(order) - i > 1 else i + 1
-        at = order[i : max(j, i + 1)]
-        b = int((start[at] + size[at]).max())
-        c = _string_sums(data[a:b])
-        s = start[at] - a
-        out[at] = mix((c[s + size[at]] - c[s]) * _powers(len(c))[1][s] + size[at].astype(np.uint64))
-        i = max(j, i + 1)
-    return out
-
-
 def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The given parts, one after another."""
     at = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
@@ -335,7 +318,7 @@ def _match(length: int):
         data = np.concatenate([np.frombuffer(unsqueeze(x), np.uint8) for x in t.column("data").to_pylist()])
         doc, size = np.concatenate(docs), np.concatenate(sizes)
         start = np.cumsum(size) - size
-        content = text_hashes(data, start, size)
+        content = span_hashes(data, start, size)
         order = np.lexsort((doc, content))
         c = content[order]
         new = np.append(True, c[1:] != c[:-1])

@@ -1,17 +1,29 @@
 """SimHash near-duplicates by multi-index hashing.
 
-``fingerprints`` makes a 64-bit SimHash of each whole text. ``link`` finds all fingerprints that differ in at most 4 bits:
-the 64 bits are cut into three segments; two such fingerprints agree within one bit on the first or second segment, or
-wholly on the third (otherwise they would differ in at least 2 + 2 + 1 bits). So a fingerprint is put into the tables of
-its three segment values, the one-bit neighbours of its first two segments are looked up there, and what is fetched is
-verified on all 64 bits. Equal fingerprints are one entry. Entries that meet are joined into a spanning forest, not into
-all pairs, and components follow from alternating star contractions over the forest's edges.
-
-Null and empty texts have fingerprint zero. Rows with a null doc_id get a fingerprint but count for no component's id.
+``near_duplicates`` links fingerprints: ``fingerprints`` makes a 64-bit SimHash of each whole text, and ``link`` finds all
+that differ in at most ``DISTANCE`` bits. The 64 bits are cut into segments with a radius each, so that two such fingerprints
+must agree within the radius on one segment (the sum of radius + 1 exceeds the distance). A fingerprint is put into the tables
+of its segment values and of all values with up to radius more bits set - two values that differ in so few bits meet at the
+union of their bits - and what is fetched is verified on all 64 bits. Wider segments are used for more fingerprints, and the
+number of buckets follows theirs, so neither a table entry nor a task grows with the corpus. Equal fingerprints are one entry.
+
+``similar_rows`` finds texts whose sets of ``WORDS``-word shingles have a Jaccard similarity of ``SIMILARITY`` or more. A
+fingerprint that is wide enough for that (more segments for more texts, see ``segment_plan``) is searched by the same balls;
+candidates are verified first by the distance of 64 more bits, then by the exact similarity of the shingle sets. Where more
+than ``SMALL`` texts meet in a table, leaders are linked instead of all pairs; afterwards texts of such tables that are still in
+different groups are compared as well, so no link is lost to the short cut.
+
+Links that meet are joined by alternating star contractions; only counts reach the driver.
+
+Null and empty texts have fingerprint zero and an empty set of shingles; two empty sets are equal. A text of fewer words than a
+shingle is one shingle. Rows with a null doc_id are linked as any others, but give no component its id: a component of such rows
+only has a null id. Repeated rows and rows that share an id are handled each. Whole texts are hashed, a block of shingles at a
+time. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,39 +32,65 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release_memory, tidy
+from .common import free_name, materialise, mix, release_memory, tidy
 
 SHINGLE = 4
 DISTANCE = 4
-#: (first bit, bits, whether one-bit neighbours are looked up); the sum of radius + 1 exceeds DISTANCE.
-SEGMENTS = ((0, 21, True), (21, 21, True), (42, 22, False))
-#: Groups up to this size are compared by shifting; larger ones by breadth-first search.
+#: (first bit, bits, radius of the ball): for up to 2 ** 23 fingerprints, and for more.
+SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
+WIDE_SEGMENTS = ((0, 32, 2), (32, 32, 1))
+#: Groups up to this size are compared in all pairs; larger ones by their leaders.
 SMALL = 48
 SEED = 42
-#: Fingerprints whose table entries are dealt to the buckets together.
+#: Fingerprints whose table entries are dealt to the buckets together, and entries for each bucket.
 DEAL_ROWS = 1 << 13
+BUCKET_ENTRIES = 1 << 21
 
+WORDS = 5
+SIMILARITY = 0.8
+#: Bits of the check fingerprint that texts of the least similarity exceed once in about a thousand times.
+CHECK_DISTANCE = 19
+#: Share of the pairs of the least similarity that may meet in no table.
+MISS = 0.01
 
-def simhash(text: bytes, shingle: int = SHINGLE) -> int:
-    """The fingerprint of one text: bits that are set in over half of the shingles' XXH64."""
+
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of all shingles of a text, repeats included."""
     ws = text.lower().split()
     if not ws:
-        return 0
+        return np.zeros(0, np.uint64)
     flat = b" ".join(ws)
     if len(ws) <= shingle:
-        return xxhash.xxh64_intdigest(flat, SEED)
+        return np.array([xxhash.xxh64_intdigest(flat, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
-    starts = np.empty_like(ends)
-    starts[0] = 0
-    starts[1:] = ends[:-1] + 1
-    n = len(ws) - shingle + 1
-    counts = np.zeros(64, np.int64)
+    starts = np.append(0, ends[:-1] + 1)
     digest = xxhash.xxh64_digest
-    for i in range(0, n, 1 << 14):
-        j = min(n, i + (1 << 14))
-        raw = b"".join([digest(flat[s:e], SEED) for s, e in zip(starts[i:j].tolist(), ends[i + shingle - 1 : j + shingle - 1].tolist(), strict=True)])
-        counts += np.add.reduce(np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    raw = b"".join([digest(flat[s:e], SEED) for s, e in zip(starts[: len(ws) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)])
+    return np.frombuffer(raw, ">u8").astype(np.uint64)
+
+
+def majority(h: np.ndarray, words: int = 1) -> np.ndarray:
+    """The bits that are set in over half of the hashes, as 64-bit words; further words come from remixed hashes."""
+    out = np.zeros(words, np.uint64)
+    if not len(h):
+        return out
+    counts = np.zeros(64 * words, np.int64)
+    salt = np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    step = max(1, (1 << 14) // words)
+    for i in range(0, len(h), step):
+        x = h[i : i + step, None]
+        x = np.concatenate([x, mix(x + salt[1:])], axis=1) if words > 1 else x
+        counts += np.add.reduce(np.unpackbits(x.astype(">u8").view(np.uint8), axis=1), axis=0, dtype=np.int32)
+    return np.packbits(counts * 2 > len(h)).view(">u8").astype(np.uint64)
+
+
+def simhash(text: bytes, shingle: int = SHINGLE) -> int:
+    """The fingerprint of one text: bits that are set in over half of the shingles' XXH64."""
+    return int(majority(shingle_hashes(text, shingle))[0])
+
+
+def _bytes(x: pa.Scalar) -> bytes:
+    return x.as_buffer().to_pybytes() if x.is_valid else b""
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -61,32 +99,39 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = b.column("text")
-            fps = np.fromiter((simhash(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in col), np.uint64, len(col))
+            fps = np.fromiter((simhash(_bytes(x), shingle) for x in col), np.uint64, len(col))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
             release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+def ball(v: np.ndarray, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value, index): each value and those with up to radius more bits set. Values that differ in so many bits share one."""
+    values, who, last = [v], [np.arange(len(v))], [np.full(len(v), -1)]
+    for _ in range(radius):
+        v, at, top = values[-1], who[-1], last[-1]
+        more = []
+        for b in range(bits):  # bits are added in ascending order, so that each set is made once
+            clear = np.flatnonzero(((v >> np.uint64(b)) & np.uint64(1) == 0) & (top < b))
+            more.append((v[clear] | np.uint64(1 << b), at[clear], np.full(len(clear), b)))
+        for held, x in zip((values, who, last), zip(*more, strict=True), strict=True):
+            held.append(np.concatenate(x))
+    return np.concatenate(values), np.concatenate(who)
 
 
 def table_entries(fps: np.ndarray, segments=SEGMENTS) -> tuple[np.ndarray, np.ndarray]:
-    """(key, index of the fingerprint): its own segment values and, of neighbours, those with one more bit set.
-
-    Of two values that differ in one bit, one has it clear, so one look-up a pair is enough."""
+    """(key, index of the fingerprint) for every segment's ball; fps: one 64-bit word each, or several in columns."""
+    wide = fps.reshape(len(fps), -1)
     keys, who = [], []
-    at = np.arange(len(fps))
-    for s, (low, bits, near) in enumerate(segments):
-        v = (fps >> np.uint64(low)) & np.uint64((1 << bits) - 1)
-        tag = np.uint64(s << 32)
-        keys.append(v | tag)
+    for s, (low, bits, radius) in enumerate(segments):
+        word, shift = divmod(low, 64)
+        v = wide[:, word] >> np.uint64(shift)
+        if shift + bits > 64:
+            v = v | (wide[:, word + 1] << np.uint64(64 - shift))
+        value, at = ball(v & np.uint64((1 << bits) - 1), bits, radius)
+        keys.append(value | np.uint64(s << 40))
         who.append(at)
-        for b in range(bits) if near else ():
-            clear = np.flatnonzero((v >> np.uint64(b)) & np.uint64(1) == 0)
-            keys.append((v[clear] | np.uint64(1 << b)) | tag)
-            who.append(clear)
     return np.concatenate(keys), np.concatenate(who)
 
 
@@ -94,17 +139,8 @@ def forest(key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int = DI
     """Edges (node, node) that connect, among entries of an equal key, whatever lies within the distance."""
     order = np.argsort(key, kind="stable")
     key, fp, node = key[order], fp[order], node[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(key)))
-    a, b = [], []
-    small = np.repeat((size > 1) & (size <= SMALL), size)
-    k2, f2, n2 = key[small], fp[small], node[small]
-    for shift in range(1, int(min(SMALL, size.max(initial=1)))):
-        near = np.flatnonzero((k2[shift:] == k2[:-shift]) & (n2[shift:] != n2[:-shift]))
-        near = near[popcount(f2[near + shift] ^ f2[near]) <= distance]
-        a.append(n2[near])
-        b.append(n2[near + shift])
-    for i, m in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+    a, b, first, size = _small_groups(key, fp, node, distance)
+    for i, m in zip(first.tolist(), size.tolist(), strict=True):
         f, v = fp[i : i + m], node[i : i + m]
         f, u = np.unique(f, return_index=True)
         v = v[u]
@@ -114,38 +150,55 @@ def forest(key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int = DI
             if not queue:
                 queue, left = [int(left[0])], left[1:]
             cur = queue.pop()
-            near = popcount(f[left] ^ f[cur]) <= distance
+            near = np.bitwise_count(f[left] ^ f[cur]) <= distance
             if near.any():
                 got = left[near]
                 left = left[~near]
                 a.append(np.full(len(got), v[cur]))
                 b.append(v[got])
                 queue += got.tolist()
+    return _pairs(a, b)
+
+
+def _small_groups(key, fp, node, distance) -> tuple[list, list, np.ndarray, np.ndarray]:
+    """All pairs within the distance in groups of up to SMALL entries of a key (sorted); first places and sizes of the others."""
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(key)))
+    a, b = [], []
+    small = np.repeat((size > 1) & (size <= SMALL), size)
+    k2, f2, n2 = key[small], fp[small], node[small]
+    for shift in range(1, int(min(SMALL, size.max(initial=1)))):
+        near = np.flatnonzero((k2[shift:] == k2[:-shift]) & (n2[shift:] != n2[:-shift]))
+        near = near[np.bitwise_count(f2[near + shift] ^ f2[near]) <= distance]
+        a.append(n2[near])
+        b.append(n2[near + shift])
+    return a, b, first[size > SMALL], size[size > SMALL]
+
+
+def _pairs(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, the smaller node first."""
     if not a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = np.concatenate(a), np.concatenate(b)
-    lo, hi = np.minimum(a, b), np.maximum(a, b)
-    pair = np.unique(np.stack([lo, hi], 1), axis=0) if len(lo) else np.zeros((0, 2), np.int64)
+    pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
     return pair[:, 0], pair[:, 1]
 
 
-def _arrays(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([b.column("fp").to_numpy() for b in held]).view(np.uint64), np.concatenate([b.column("node").to_numpy() for b in held])
-
-
-def link(reps: DataFrame, buckets: int, distance: int = DISTANCE, segments=SEGMENTS) -> DataFrame:
-    """reps(node, fp), fp distinct: edges (a, b) between nodes whose components are those of all links."""
-    if sum(1 + near for _, _, near in segments) <= distance:
-        raise ValueError("the segments are too few for this distance")
+def _deal(reps: DataFrame, columns: tuple[str, str], words: int, segments, buckets: int) -> DataFrame:
+    """The table entries of reps(node, fps binary, check long), packed: a row for each bucket of every DEAL_ROWS fingerprints."""
 
-    def deal(fps: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    def deal(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        node, check = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in columns)
+        fps = check.view(np.uint64)
+        if words:
+            fps = np.frombuffer(b"".join(x for b in held for x in b.column("fps").to_pylist()), np.uint64).reshape(-1, words)
         key, who = table_entries(fps, segments)
         bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         bucket, key, who = bucket[order], key[order], who[order]
         ids, first = np.unique(bucket, return_index=True)
         ends = np.append(first[1:], len(bucket))
-        blobs = [[x[i:j].tobytes() for i, j in zip(first, ends, strict=True)] for x in (key, fps[who], node[who])]
+        blobs = [[x[i:j].tobytes() for i, j in zip(first, ends, strict=True)] for x in (key, check[who], node[who])]
         return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "keys", "fps", "nodes"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,18 +206,30 @@ def link(reps: DataFrame, buckets: int, distance: int = DISTANCE, segments=SEGME
         for b in batches:
             held.append(b)
             if sum(x.num_rows for x in held) >= DEAL_ROWS:
-                yield deal(*_arrays(held))
+                yield deal(held)
                 held = []
                 release_memory()
         if held:
-            yield deal(*_arrays(held))
+            yield deal(held)
+
+    return reps.mapInArrow(spread, "bucket int, keys binary, fps binary, nodes binary")
+
+
+def _unpacked(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    join = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
+    return join("keys", np.uint64), join("fps", np.uint64), join("nodes", np.int64)
+
+
+def link(reps: DataFrame, buckets: int, distance: int = DISTANCE, segments=SEGMENTS) -> DataFrame:
+    """reps(node, fp), fp distinct: edges (a, b) between nodes whose components are those of all links."""
+    if sum(1 + radius for _, _, radius in segments) <= distance:
+        raise ValueError("the segments are too few for this distance")
 
     def meet(t: pa.Table) -> pa.Table:
-        join = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-        a, b = forest(join("keys", np.uint64), join("fps", np.uint64), join("nodes", np.int64), distance)
+        a, b = forest(*_unpacked(t), distance)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    entries = reps.select("node", "fp").mapInArrow(spread, "bucket int, keys binary, fps binary, nodes binary")
+    entries = _deal(reps.select("node", "fp"), ("node", "fp"), 0, segments, buckets)
     return entries.groupBy("bucket").applyInArrow(tidy(meet), "a long, b long")
 
 
@@ -190,13 +255,160 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
 
 
-def near_duplicates(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id that is reachable over links."""
-    spark = docs.sparkSession
-    fps = materialise(fingerprints(docs), "simhash")
-    reps = fps.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("node"))
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    labels = components(link(reps, buckets))
-    of = reps.join(labels, "node", "left").select(F.col("fp"), F.coalesce("component", "node").alias("component_id"))
-    of = materialise(of, "components")  # a plain table, so that the join can split a fingerprint that many documents share
+def _buckets(n: int, segments) -> int:
+    """Buckets for n fingerprints: about half of a segment's bits are clear."""
+    each = sum(sum(math.comb(-(-bits // 2), r) for r in range(radius + 1)) for _, bits, radius in segments)
+    return max(8, -(-n * each // BUCKET_ENTRIES))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, segments=None, buckets: int | None = None) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the smallest doc_id that is reachable over links of fingerprints."""
+    fps = materialise(fingerprints(docs, shingle), "simhash")
+    reps = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+    n = reps.count()
+    segments = segments or (SEGMENTS if n <= 1 << 23 else WIDE_SEGMENTS)
+    labels = components(link(reps.select(F.col("fp").alias("node"), "fp"), buckets or _buckets(n, segments), distance, segments))
+    of = reps.join(labels, reps["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    of = materialise(of, "components")
+    names = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = materialise(of.join(names, "root").select("fp", "component_id"), "components")  # a plain table, so that the join can split a fingerprint that many documents share
     return fps.join(of, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+# --- similar sets of shingles
+
+
+def segment_plan(n: int, similarity: float = SIMILARITY, miss: float = MISS) -> tuple[tuple[int, int, int], ...]:
+    """Segments of radius 1 over bits from 64 on, for n texts: wide enough that a table has a few entries a key, and so
+    many that texts of the similarity share a table but for the given share."""
+    bits = min(32, max(14, math.ceil(math.log2(max(n, 2))) + 1))
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi  # of each bit
+    meet = (1 - differ) ** bits + bits * differ * (1 - differ) ** (bits - 1)
+    return tuple((64 + k * bits, bits, 1) for k in range(math.ceil(math.log(miss) / math.log(1 - meet))))
+
+
+def _sketches(rows: DataFrame, row: str, words: int, shingle: int) -> DataFrame:
+    """(node, n, c1, c2, check, fps) of each row: the size and a 128-bit digest of its shingle set, and its wide fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for x in b.column("text"):
+                h = np.unique(shingle_hashes(_bytes(x), shingle))
+                fp = majority(h, words)
+                c1, c2 = (int(mix(h + np.uint64(s)).sum(dtype=np.uint64).view(np.int64)) for s in (1, 2))
+                out.append((len(h), c1, c2, int(fp[:1].view(np.int64)[0]), fp.tobytes()))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([b.column(row), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["node", "n", "c1", "c2", "check", "fps"])
+            release_memory()
+
+    return rows.select(row, "text").mapInArrow(run, "node long, n int, c1 long, c2 long, check long, fps binary")
+
+
+def _leaders(key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Candidate pairs: all of small groups, of large ones each entry with the first leader within the distance; and the large groups."""
+    order = np.lexsort((node, key))
+    key, fp, node = key[order], fp[order], node[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])) if len(key) else np.zeros(0, bool)
+    key, fp, node = key[new], fp[new], node[new]
+    a, b, first, size = _small_groups(key, fp, node, distance)
+    large = []
+    for i, m in zip(first.tolist(), size.tolist(), strict=True):
+        f, v = fp[i : i + m], node[i : i + m]
+        large.append((v, f))
+        left = np.arange(m)
+        while len(left) > 1:
+            near = np.bitwise_count(f[left] ^ f[left[0]]) <= distance
+            a.append(np.full(int(near.sum()) - 1, v[left[0]]))
+            b.append(v[left[near][1:]])
+            left = left[~near]
+    return *_pairs(a, b), large
+
+
+def _candidates(entries: DataFrame, distance: int) -> DataFrame:
+    """Rows (a, b) of candidate pairs, and rows (nodes, checks) of the groups that were compared by their leaders only."""
+
+    def meet(t: pa.Table) -> pa.Table:
+        a, b, large = _leaders(*_unpacked(t), distance)
+        k, n = len(a), len(large)
+        blobs = [pa.array([None] * k + [x[i].tobytes() for x in large], pa.binary()) for i in (0, 1)]
+        ab = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(n, pa.int64())]) for x in (a, b)]
+        return pa.table([*ab, *blobs], names=["a", "b", "nodes", "checks"])
+
+    return entries.groupBy("bucket").applyInArrow(tidy(meet), "a long, b long, nodes binary, checks binary")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, row: str, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of row numbers whose shingle sets are similar enough."""
+    pairs = materialise(pairs.distinct(), "candidates")
+    nodes = pairs.select(F.col("a").alias(row)).union(pairs.select("b")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(_bytes(x), shingle)).view(np.int64) for x in b.column("text")]
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            offs = np.cumsum([0, *map(len, sets)])
+            yield pa.RecordBatch.from_arrays([b.column(row), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat))], names=["node", "s"])
+            release_memory()
+
+    sets = materialise(rows.select(row, "text").join(nodes, row, "left_semi").select(row, "text").mapInArrow(run, "node long, s array<long>"), "shingle-sets")
+    a = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
+    b = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+    met = pairs.join(a, "a").join(b, "b")
+    least = similarity - 1e-12  # for what rounds to just above it
+    met = met.where(F.least(F.size("sa"), F.size("sb")) >= least * F.greatest(F.size("sa"), F.size("sb")))
+    common = F.size(F.array_intersect("sa", "sb"))
+    return materialise(met.where(common >= least * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "similar")
+
+
+def _between(groups: DataFrame, labels: DataFrame, distance: int) -> DataFrame:
+    """Of large groups, the pairs within the distance whose labels differ."""
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g, v, f in zip(*(b.column(c).to_pylist() for c in ("g", "nodes", "checks")), strict=True):
+                v, f = np.frombuffer(v, np.int64), np.frombuffer(f, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), g)), pa.array(v), pa.array(f)], names=["g", "node", "fp"])
+
+    def cross(t: pa.Table) -> pa.Table:
+        label, node, fp = (t.column(c).to_numpy() for c in ("label", "node", "fp"))
+        order = np.lexsort((node, label))
+        label, node, fp = label[order], node[order], fp[order].view(np.uint64)
+        end = np.searchsorted(label, label, side="right")
+        a, b = [], []
+        for i in np.flatnonzero(end < len(label)).tolist():
+            near = end[i] + np.flatnonzero(np.bitwise_count(fp[end[i] :] ^ fp[i]) <= distance)
+            a.append(np.full(len(near), node[i]))
+            b.append(node[near])
+        a, b = _pairs(a, b)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    entries = groups.mapInArrow(flat, "g long, node long, fp long").join(labels, "node", "left").select("g", "node", "fp", F.coalesce("component", "node").alias("label"))
+    entries = materialise(entries, "large-groups")
+    mixed = entries.groupBy("g").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("g")
+    return entries.join(mixed, "g", "left_semi").groupBy("g").applyInArrow(tidy(cross), "a long, b long")
+
+
+def similar_rows(rows: DataFrame, row: str, shingle: int = WORDS, similarity: float = SIMILARITY, buckets: int | None = None) -> DataFrame:
+    """(row, group): for every row number the least row number of the texts that are reachable over similar ones."""
+    n = rows.count()
+    segments = segment_plan(n, similarity)
+    words = -(-(segments[-1][0] + segments[-1][1]) // 64)
+    found = materialise(_sketches(rows, row, words, shingle), "sketches")
+    same = found.groupBy("n", "c1", "c2").agg(F.min("node").alias("node"), F.min("check").alias("check"), F.min("fps").alias("fps"))
+    reps = materialise(same, "sketches")
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    distance = max(CHECK_DISTANCE, math.ceil(64 * differ + 3.2 * math.sqrt(64 * differ * (1 - differ))))
+    met = materialise(_candidates(_deal(reps.where("n > 0").select("node", "check", "fps"), ("node", "check"), words, segments, buckets or _buckets(n, segments)), distance), "met")
+    first = met.where("a IS NOT NULL").select("a", "b")
+    links = _verified(first, rows, row, shingle, similarity)
+    labels = materialise(components(links), "labels")
+    groups = met.where("nodes IS NOT NULL").select(F.monotonically_increasing_id().alias("g"), "nodes", "checks")
+    if groups.head(1):
+        more = _between(groups, labels, distance).join(first.distinct(), ["a", "b"], "left_anti")
+        links = links.union(_verified(more, rows, row, shingle, similarity))
+        labels = materialise(components(links), "labels")
+    of = reps.join(labels, "node", "left").select("n", "c1", "c2", F.coalesce("component", "node").alias("group"))
+    of = materialise(of, "labels")
+    return found.join(of, ["n", "c1", "c2"]).select(F.col("node").alias(free_name([], "row")), "group")
