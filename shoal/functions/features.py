@@ -53,12 +53,15 @@ def scalar_tags(df: DataFrame, props: str = "props") -> DataFrame:
     """df's rows with each top-level scalar of a JSON object: (…, key, kind, value).
 
     Strings, booleans and unsigned integers keep their type, other numbers become strings; nulls, arrays and objects are left
-    out, as are the keys cluster and id, which belong to the engine."""
-    raw = F.explode(F.from_json(F.col(props), "map<string,string>"))
-    typed = df.select("*", raw.alias("key", "value"))
-    # a string value is one that the JSON text has in quotes behind its key
-    is_text = F.regexp_like(F.col(props), F.concat(F.lit('"\\Q'), F.col("key"), F.lit('\\E"\\s*:\\s*"')))
-    number = F.regexp_like("value", F.lit(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"))
-    kind = F.when(is_text, "string").when(F.col("value").isin("true", "false"), "bool").when(F.regexp_like("value", F.lit("^[0-9]+$")), "uint").when(number, "string")
-    out = typed.withColumn("kind", kind).where(F.col("kind").isNotNull() & ~F.col("key").isin("cluster", "id"))
-    return out
+    out, as are the keys cluster and id, which belong to the engine. A value's type is that of the value itself."""
+    parsed = df.withColumn("_parsed", F.try_parse_json(props))
+    member = parsed.sparkSession.tvf.variant_explode(F.col("_parsed").outer()).alias("m")
+    typed = parsed.lateralJoin(member).select("*").drop("pos", "_parsed")
+    of, text = F.schema_of_variant("value"), F.col("value").cast("string")
+    whole = of.isin("BIGINT") | F.regexp_like(of, F.lit(r"^DECIMAL\([0-9]+,0\)$"))
+    # 64 bits unsigned: no more digits than the largest such number, and not above it as text of the same length
+    fits = F.regexp_like(text, F.lit("^[0-9]+$")) & ((F.length(text) < 20) | ((F.length(text) == 20) & (text <= "18446744073709551615")))
+    number = whole | (of == "DOUBLE") | of.startswith("DECIMAL") | (of == "FLOAT")
+    kind = F.when(of == "STRING", "string").when(of == "BOOLEAN", "bool").when(whole & fits, "uint").when(number, "string")
+    out = typed.withColumn("kind", kind).withColumn("value", text)
+    return out.where(F.col("kind").isNotNull() & ~F.col("key").isin("cluster", "id"))

@@ -112,6 +112,19 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
+def parse_zoom(text: str | None) -> float:
+    """A zoom from a request: 0 if there is none."""
+    if text is None or not text.strip():
+        return 0.0
+    try:
+        zoom = float(text)
+    except ValueError:
+        raise EngineError("bad_request", f"zoom must be a number, not {text}") from None
+    if not math.isfinite(zoom):
+        raise EngineError("bad_request", "zoom must be a finite number")
+    return zoom
+
+
 def parse_box(text: str | None) -> tuple[float, float, float, float]:
     """west,south,east,north; the whole world if absent."""
     if text is None:

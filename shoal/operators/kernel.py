@@ -30,7 +30,7 @@ class Net:
         self.points: dict[int, Point] = {}
         self.scales = [opts.scale(z) for z in range(opts.max_zoom + 1)]
         self.cells: list[dict[tuple[int, int], set[int]]] = [defaultdict(set) for _ in self.scales]
-        self.counts = dict.fromkeys(("inserts", "removes", "moves", "moves_fast", "moves_rebuilt", "promotions", "reparents"), 0)
+        self.counts = dict.fromkeys(("inserts", "removes", "moves", "moves_fast", "moves_rebuilt", "promotions", "reparents", "probes"), 0)
 
     def _cell(self, zoom: int, x: int, y: int) -> tuple[int, int]:
         side = 2 * self.scales[zoom]
@@ -58,6 +58,7 @@ class Net:
         for cx in range(x0, x1 + 1):
             for cy in range(y0, y1 + 1):
                 for num in grid.get((cx, cy), ()):
+                    self.counts["probes"] += 1
                     p = self.points[num]
                     d2 = (p.x - x) ** 2 + (p.y - y) ** 2
                     if num != but and d2 <= r * r:
@@ -134,6 +135,15 @@ class Net:
         self.counts["removes"] += 1
         return True
 
+    def restore(self, rows: list[tuple[int, int, int, int, int, int | None]]) -> None:
+        """Take up the rows of an earlier net as they were."""
+        for num, x, y, cat, level, parent in rows:
+            self.points[num] = Point(x, y, cat, level, parent)
+        for num, p in self.points.items():
+            if p.parent is not None:
+                self.points[p.parent].children.add(num)
+            self._enter(num)
+
     def rows(self) -> list[tuple[int, int, int, int, int, int | None]]:
         """(num, qx, qy, cat, tz, parent), by num."""
         return [(n, p.x, p.y, p.cat, p.level, p.parent) for n, p in sorted(self.points.items())]

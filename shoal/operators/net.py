@@ -91,10 +91,35 @@ def build_nodes(points: DataFrame, opts: Options, local_limit: int = LOCAL_LIMIT
     return materialise(reduce(DataFrame.unionByName, out), "nodes")
 
 
-def segments(nodes: DataFrame, opts: Options) -> DataFrame:
+def _walks(opts: Options):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("num", ignore_index=True)
+        num, tz = pdf["num"].to_numpy(np.int64), pdf["tz"].to_numpy(np.int64)
+        up = np.searchsorted(num, pdf["parent"].fillna(-1).to_numpy(np.int64))
+        root = pdf["parent"].isna().to_numpy()
+        at, rep, high = np.arange(len(num)), np.arange(len(num)), np.full(len(num), opts.max_zoom)
+        parts = []
+        while len(at):
+            low = tz[rep]
+            seen = low <= high
+            parts.append((at[seen], rep[seen], low[seen], high[seen]))
+            more = ~root[rep]
+            at, rep, high = at[more], up[rep[more]], low[more] - 1
+        at, rep, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+        out = pdf[["collection", "num", "qx", "qy", "cat"]].iloc[at].reset_index(drop=True)
+        out["rep"], out["low"], out["high"] = num[rep], low, high
+        return out
+
+    return run
+
+
+def segments(nodes: DataFrame, opts: Options, local_limit: int = LOCAL_LIMIT) -> DataFrame:
     """For each point and each of its ancestors (itself too) the zooms low..high at which that is its representative.
 
-    One join a step up the hierarchy, on the ancestor; each step is stored, and steps end when all walks are at a root."""
+    Collections of at most local_limit points are walked each in one task. For larger ones it is one join a step up the
+    hierarchy, on the ancestor; each step is stored, and steps end when all walks are at a root."""
+    if (nodes.groupBy("collection").count().agg(F.max("count")).first()[0] or 0) <= local_limit:
+        return materialise(nodes.groupBy("collection").applyInPandas(_walks(opts), SEGMENT_SCHEMA), "segments")
     up = nodes.select("collection", F.col("num").alias("rep"), F.col("tz").alias("low"), F.col("parent"))
     walk = nodes.select("collection", "num", "qx", "qy", "cat", F.col("num").alias("rep"), F.col("tz").alias("low"), F.lit(opts.max_zoom).alias("high"), "parent")
     out = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -9,69 +11,138 @@ from shoal.functions.geometry import Options
 from shoal.operators.kernel import Net
 
 NODE_SCHEMA = "collection string, id string, num bigint, qx bigint, qy bigint, cat int, tz int, parent bigint"
-COUNT_SCHEMA = "collection string, devices bigint, inserts bigint, removes bigint, moves bigint, moves_fast bigint, moves_rebuilt bigint, promotions bigint, reparents bigint, expired bigint"
+COUNT_SCHEMA = "collection string, devices bigint, inserts bigint, removes bigint, moves bigint, moves_fast bigint, moves_rebuilt bigint, promotions bigint, reparents bigint, probes bigint, expired bigint, reports bigint"
+DEVICE_SCHEMA = "collection string, id string, num bigint, qx bigint, qy bigint, cat int, last_seen timestamp_ntz, props string, live boolean"
 
 
 class Collection:
-    """A net with names: ids get numbers that are never used again, and silent devices are swept by the reports' own time."""
+    """A net with names: ids get numbers that are never used again, and silent devices are swept by the reports' own time.
+
+    The clock is the latest report's time. Before a report is applied, every device that has been silent for longer than the
+    time to live leaves, the longest silent first; a heap finds them. A device keeps its first category and its last
+    properties that were not left out, both until it leaves."""
 
     def __init__(self, opts: Options):
         self.net = Net(opts)
         self.numbers: dict[str, int] = {}
+        self.names: list[str] = []
         self.last_seen: dict[int, int] = {}
+        self.props: dict[int, str] = {}
+        self.silent: list[tuple[int, int]] = []
+        self.clock = 0
         self.expired = 0
+        self.reports = 0
+        self.touched: set[int] = set()
         self.ttl = opts.ttl_seconds * 1_000_000
 
-    def sweep(self, now: int) -> None:
-        if self.ttl:
-            for num in sorted(n for n, t in self.last_seen.items() if t < now - self.ttl):
-                self.net.remove(num)
-                del self.last_seen[num]
-                self.expired += 1
-
-    def apply(self, op: str, ident: str, x: int, y: int, cat: int, at: int) -> None:
-        if self.ttl and self.last_seen.get(self.numbers.get(ident, -1), at) < at - self.ttl:
-            self.sweep(at)
+    def sweep(self, now: int) -> int:
+        """Remove what has been silent too long; how many that were."""
+        self.clock = max(self.clock, now)
+        if not self.ttl:
+            return 0
+        gone = 0
+        while self.silent and self.silent[0][0] < self.clock - self.ttl:
+            at, num = heapq.heappop(self.silent)
+            if self.last_seen.get(num) == at:  # else it reported again, or is gone
+                self._drop(num)
+                gone += 1
+        self.expired += gone
+        return gone
+
+    def _drop(self, num: int) -> bool:
+        self.touched.add(num)
+        self.last_seen.pop(num, None)
+        self.props.pop(num, None)
+        return self.net.remove(num)
+
+    def oldest(self) -> int | None:
+        """When the device that has been silent longest was last heard of."""
+        while self.silent and self.last_seen.get(self.silent[0][1]) != self.silent[0][0]:
+            heapq.heappop(self.silent)
+        return self.silent[0][0] if self.silent else None
+
+    def number(self, ident: str) -> int:
+        if ident not in self.numbers:
+            self.numbers[ident] = len(self.names)
+            self.names.append(ident)
+        return self.numbers[ident]
+
+    def apply(self, op: str, ident: str, x: int, y: int, cat: int, at: int, props: str | None = None) -> None:
+        self.sweep(at)
         if op == "remove":
             num = self.numbers.get(ident)
-            if num is not None and self.net.remove(num):
-                del self.last_seen[num]
+            if num is not None:
+                self._drop(num)
             return
-        num = self.numbers.setdefault(ident, len(self.numbers))
+        num = self.number(ident)
         self.net.upsert(num, x, y, cat)
-        self.last_seen[num] = at
+        self.reports += 1
+        self.touched.add(num)
+        self.heard(num, at)
+        if props is not None:
+            self.props[num] = props
+
+    def heard(self, num: int, at: int) -> None:
+        if self.last_seen.get(num) != at:
+            self.last_seen[num] = at
+            heapq.heappush(self.silent, (at, num))
 
     def apply_all(self, pdf: pd.DataFrame) -> None:
         pdf = pdf.sort_values("seq")
         at = (pdf["ts"].astype("datetime64[us]")).astype("int64")
-        for op, ident, x, y, cat, t in zip(pdf["op"], pdf["id"], pdf["qx"], pdf["qy"], pdf["cat"], at, strict=True):
-            self.apply(op, ident, int(x), int(y), int(cat), int(t))
+        props = pdf["props"] if "props" in pdf else [None] * len(pdf)
+        for op, ident, x, y, cat, t, p in zip(pdf["op"], pdf["id"], pdf["qx"], pdf["qy"], pdf["cat"], at, props, strict=True):
+            self.apply(op, ident, int(x), int(y), int(cat), int(t), p if isinstance(p, str) else None)
 
     def nodes(self, name: str) -> pd.DataFrame:
-        names = {n: i for i, n in self.numbers.items()}
-        rows = [(name, names[num], num, *rest) for num, *rest in self.net.rows()]
+        rows = [(name, self.names[num], num, *rest) for num, *rest in self.net.rows()]
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
         out["parent"] = out["parent"].astype("Int64")
         return out
 
+    def devices(self, name: str, changed_only: bool = False) -> pd.DataFrame:
+        """The devices (those that the last call of ``apply`` and after touched): live ones whole, gone ones by their id."""
+        rows = []
+        for num in sorted(self.touched) if changed_only else sorted(self.net.points):
+            p = self.net.points.get(num)
+            rest = (p.x, p.y, p.cat, pd.Timestamp(self.last_seen[num], unit="us"), self.props.get(num), True) if p else (None, None, None, None, None, False)
+            rows.append((name, self.names[num], num, *rest))
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in DEVICE_SCHEMA.split(", ")])
+        for c in ("num", "qx", "qy", "cat"):
+            out[c] = out[c].astype("Int64")
+        out["last_seen"] = out["last_seen"].astype("datetime64[us]")
+        return out
+
+    def changes(self, name: str) -> pd.DataFrame:
+        return self.devices(name, True)
+
     def counts(self, name: str) -> pd.DataFrame:
-        return pd.DataFrame([{"collection": name, "devices": len(self.net.points), **self.net.counts, "expired": self.expired}])[[c.split()[0] for c in COUNT_SCHEMA.split(", ")]]
+        row = {"collection": name, "devices": len(self.net.points), **self.net.counts, "expired": self.expired, "reports": self.reports}
+        return pd.DataFrame([row])[[c.split()[0] for c in COUNT_SCHEMA.split(", ")]]
 
 
-def _run(reports: DataFrame, opts: Options, schema: str, pick: str) -> DataFrame:
+def _run(reports: DataFrame, opts: Options, schema: str, pick: str, as_of: int | None) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         c = Collection(opts)
         c.apply_all(pdf)
+        if as_of is not None:
+            c.sweep(as_of)
         return getattr(c, pick)(pdf["collection"].iloc[0])
 
-    return reports.select("collection", "seq", "ts", "op", "id", "qx", "qy", "cat").groupBy("collection").applyInPandas(run, schema)
+    cols = ["collection", "seq", "ts", "op", "id", "qx", "qy", "cat", *(["props"] if "props" in reports.columns else [])]
+    return reports.select(*cols).groupBy("collection").applyInPandas(run, schema)
+
+
+def replay_nodes(reports: DataFrame, opts: Options, as_of: int | None = None) -> DataFrame:
+    """The hierarchy after all reports in the order of seq, and a last sweep at as_of (microseconds), if given. A collection is
+    the unit that cannot be split: its coarse zooms tie all its points together."""
+    return _run(reports, opts, NODE_SCHEMA, "nodes", as_of)
 
 
-def replay_nodes(reports: DataFrame, opts: Options) -> DataFrame:
-    """The hierarchy after all reports in the order of seq. A collection is the unit that cannot be split: its coarse zooms tie
-    all its points together."""
-    return _run(reports, opts, NODE_SCHEMA, "nodes")
+def replay_counts(reports: DataFrame, opts: Options, as_of: int | None = None) -> DataFrame:
+    return _run(reports, opts, COUNT_SCHEMA, "counts", as_of)
 
 
-def replay_counts(reports: DataFrame, opts: Options) -> DataFrame:
-    return _run(reports, opts, COUNT_SCHEMA, "counts")
+def replay_devices(reports: DataFrame, opts: Options, as_of: int | None = None) -> DataFrame:
+    """The devices that are live after all reports."""
+    return _run(reports, opts, DEVICE_SCHEMA, "devices", as_of).drop("live")

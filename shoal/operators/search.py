@@ -7,6 +7,7 @@ broadcast, sort-merge or hash, and to split skewed cells.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -45,14 +46,29 @@ def within(probes: DataFrame, points: DataFrame, radius: float, side: float | No
 RINGS = (1 / 4096, 1 / 256, 1 / 16, 1.0)
 
 
+_HERE = ("collection", "qx", "qy")
+
+
 def nearest(probes: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     """For each probe the nearest other point within the radius; ties by the id as text.
 
-    Small discs are searched first and only probes that found nothing go on to the next, so dense places are never paired
-    at the full radius."""
-    out, left = [], probes
+    Points of one place are one witness (the least id as text), so places that many share are never paired with themselves;
+    small discs are searched first and only probes that found nothing go on to the next."""
+    text = F.struct(F.col("num").cast("string").alias("text"), "num")
+    one = points.groupBy(*_HERE).agg(F.min(text).alias("one"), F.count(F.lit(1)).alias("n"))
+    one = materialise(one, "places")
+    # at the same place: the least id, or for the probe that is it the next one
+    firsts = one.where("n > 1").select(*_HERE, "one")
+    seconds = points.join(firsts, list(_HERE)).where("num <> one.num").groupBy(*_HERE).agg(F.min(text).alias("two"))
+    here = materialise(firsts.join(seconds, list(_HERE), "left").unionByName(one.where("n = 1").select(*_HERE, "one", F.lit(None).cast("struct<text:string,num:bigint>").alias("two"))), "shared-places")
+    same = probes.select("collection", F.col("num").alias("probe"), "qx", "qy").join(here, list(_HERE))
+    other = F.when(F.col("one.num") != F.col("probe"), F.col("one.num")).otherwise(F.col("two.num"))
+    at_once = materialise(same.select("collection", "probe", other.alias("other"), F.lit(0).cast("bigint").alias("d2")).where("other IS NOT NULL"), "ring")
+    out = [at_once]
+    left = probes.join(at_once.select("collection", F.col("probe").alias("num")), ["collection", "num"], "left_anti").select("collection", "num", "qx", "qy")
+    places = one.select(*_HERE, F.col("one.num").alias("num"))
     for share in RINGS:
-        found = within(left, points, radius * share).where("probe <> other")
+        found = within(left, places, radius * share).where("probe <> other")
         best = F.min(F.struct("d2", F.col("other").cast("string").alias("text"), "other")).alias("b")
         ring = found.groupBy("collection", "probe").agg(best).select("collection", "probe", F.col("b.other").alias("other"), F.col("b.d2").alias("d2"))
         if share < RINGS[-1]:
@@ -62,13 +78,25 @@ def nearest(probes: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def _covered_ids(probes: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+    """(collection, num) of probes with another point within the radius.
+
+    Two points of a cell of the side radius / sqrt(2) always are, so a cell's least and greatest number settle all probes in
+    it that are not alone; only the others are paired with the points around them, one witness a place."""
+    side = radius / math.sqrt(2) * 0.999999
+    cells = with_cell(points, side).groupBy("collection", "cx", "cy").agg(F.min("num").alias("lo"), F.max("num").alias("hi"))
+    seen = with_cell(probes.select("collection", "num", "qx", "qy"), side).join(cells, ["collection", "cx", "cy"], "left")
+    seen = materialise(seen.withColumn("sure", F.coalesce((F.col("lo") != F.col("num")) | (F.col("hi") != F.col("num")), F.lit(False))), "settled")
+    places = points.groupBy(*_HERE).agg(F.min("num").alias("num"))
+    alone = within(seen.where("NOT sure"), places, radius).where("probe <> other").select("collection", F.col("probe").alias("num")).distinct()
+    return seen.where("sure").select("collection", "num").union(alone)
+
+
 def covered(probes: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     """Probes with another point within the radius."""
-    ids = within(probes, points, radius).where("probe <> other").select("collection", F.col("probe").alias("num")).distinct()
-    return probes.join(ids, ["collection", "num"], "left_semi")
+    return probes.join(_covered_ids(probes, points, radius), ["collection", "num"], "left_semi")
 
 
 def uncovered(probes: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     """Probes without another point within the radius."""
-    ids = within(probes, points, radius).where("probe <> other").select("collection", F.col("probe").alias("num")).distinct()
-    return probes.join(ids, ["collection", "num"], "left_anti")
+    return probes.join(_covered_ids(probes, points, radius), ["collection", "num"], "left_anti")

@@ -86,4 +86,35 @@ def coalesce_reports(reports: DataFrame, flush: str) -> DataFrame:
         F.max_by("props", F.when(F.col("props").isNotNull(), F.col("seq"))).alias("props"),
         F.count(F.lit(1)).alias("queued"),
     )
-    return out.select(*_DEVICE, F.col("w.start").alias("flush"), "r.*", "props", "queued")
+    return out.select(*_DEVICE, F.col("w.start").alias("flush"), "r.*", "props", "queued", (F.col("queued") - 1).alias("merged"))
+
+
+def chunked(reports: DataFrame, size: int) -> DataFrame:
+    """reports with ``chunk``: which of a collection's write batches of at most so many reports, in the order of seq, each is in."""
+    return number_rows(reports.drop("num"), "collection", "seq").withColumn("chunk", F.floor(F.col("num") / size)).drop("num")
+
+
+def life_counts(reports: DataFrame, ttl_seconds: int, as_of) -> DataFrame:
+    """(collection, devices, reports, inserts, removes, expired, moves): what a replay counts, from windows and aggregates alone.
+
+    A life begins with an upsert; it ended by a removal, or because its device was silent for longer than the time to live
+    before its next report or, at the end, before as_of."""
+    w = Window.partitionBy(*_DEVICE, "life").orderBy("seq")
+    marked = lives(reports, ttl_seconds).withColumn("moved", F.coalesce((F.col("op") == "upsert") & (F.lag("op").over(w) == "upsert") & ((F.lag("qx").over(w) != F.col("qx")) | (F.lag("qy").over(w) != F.col("qy"))), F.lit(False)))
+    moves = marked.groupBy(*_DEVICE, "life").agg(F.sum(F.col("moved").cast("bigint")).alias("moves"))
+    each = life_states(marked).where("reports > 0").join(moves, [*_DEVICE, "life"])
+    newest = marked.groupBy(*_DEVICE).agg(F.max("life").alias("newest"))
+    each = each.join(newest, list(_DEVICE))
+    stale = micros(F.col("last_seen")) < micros(as_of) - ttl_seconds * 1_000_000 if ttl_seconds else F.lit(False)
+    removed = F.col("ended") == "remove"
+    expired = ~removed & ((F.col("life") < F.col("newest")) | stale)
+    total = lambda c: F.sum(c.cast("bigint"))
+    out = each.groupBy("collection").agg(
+        total(~removed & ~expired).alias("devices"),
+        total(F.col("reports")).alias("reports"),
+        F.count(F.lit(1)).alias("inserts"),
+        total(removed | expired).alias("removes"),
+        total(expired).alias("expired"),
+        total(F.col("moves")).alias("moves"),
+    )
+    return out

@@ -17,11 +17,21 @@ def clusters(segs: DataFrame, opts: Options, zoom: float, cat: int | None = None
     points = at_zoom(segs, z)
     if cat is not None:
         points = points.where(F.col("cat") == cat)
-    found = points.groupBy("collection", "rep").agg(F.count(F.lit(1)).alias("cnt"), F.sum("qx").alias("sx"), F.sum("qy").alias("sy"), F.min("num").alias("one"))
+    near = F.lit(True)
+    if box is not None:
+        # a cluster's points are at most four slacks apart: with its mean in the box, one is in the inner frame; and then all are in the outer
+        points = points.where(_in_frame(box, 8 * opts.slack(z)))
+        near = F.bool_or(_in_frame(box, 4 * opts.slack(z)))
+    found = points.groupBy("collection", "rep").agg(F.count(F.lit(1)).alias("cnt"), F.sum("qx").alias("sx"), F.sum("qy").alias("sy"), F.min("num").alias("one"), near.alias("near") if box is not None else F.lit(True).alias("near"))
     if box is not None:
         x0, y0, x1, y1 = world_box(box)
-        found = found.where((F.col("sx") / F.col("cnt")).between(x0, x1) & (F.col("sy") / F.col("cnt")).between(y0, y1))
-    return found.withColumn("zoom", F.lit(z))
+        found = found.where("near").where((F.col("sx") / F.col("cnt")).between(x0, x1) & (F.col("sy") / F.col("cnt")).between(y0, y1))
+    return found.drop("near").withColumn("zoom", F.lit(z))
+
+
+def _in_frame(box: tuple[float, float, float, float], pad: float) -> Column:
+    x0, y0, x1, y1 = world_box(box)
+    return F.col("qx").between(x0 - pad, x1 + pad) & F.col("qy").between(y0 - pad, y1 + pad)
 
 
 def features(found: DataFrame, devices: DataFrame | None = None) -> DataFrame:
@@ -43,10 +53,10 @@ def features(found: DataFrame, devices: DataFrame | None = None) -> DataFrame:
     return out.join(names, ["collection", "num"], "left")
 
 
-def handle(nodes: DataFrame, cluster_id: int) -> tuple[int, int]:
-    """(representative, zoom) of a handle; refused unless that point is live and a center at that zoom."""
+def handle(nodes: DataFrame, cluster_id: int, collection: str) -> tuple[int, int]:
+    """(representative, zoom) of a collection's handle; refused unless that point is live and a center at that zoom."""
     rep, zoom = divmod(cluster_id, 32)
-    found = nodes.where((F.col("num") == rep) & (F.col("tz") <= zoom)).head(1)
+    found = nodes.where((F.col("collection") == collection) & (F.col("num") == rep) & (F.col("tz") <= zoom)).head(1)
     if not found:
         raise EngineError("not_found", "no such cluster")
     return rep, zoom
@@ -59,9 +69,10 @@ def expansion_zooms(nodes: DataFrame, opts: Options, zoom: int) -> DataFrame:
     return centers.join(kids, ["collection", "rep"], "left").select("collection", "rep", F.coalesce("expansion", F.lit(opts.max_zoom + 1)).alias("expansion"))
 
 
-def children(segs: DataFrame, nodes: DataFrame, opts: Options, cluster_id: int) -> DataFrame:
-    """The markers into which a cluster splits, at its expansion zoom; if it never splits, its own point alone."""
-    rep, zoom = handle(nodes, cluster_id)
+def children(segs: DataFrame, nodes: DataFrame, opts: Options, cluster_id: int, collection: str) -> DataFrame:
+    """The markers into which a collection's cluster splits, at its expansion zoom; if it never splits, its own point alone."""
+    rep, zoom = handle(nodes, cluster_id, collection)
+    segs, nodes = (x.where(F.col("collection") == collection) for x in (segs, nodes))
     split = nodes.where((F.col("parent") == rep) & (F.col("tz") > zoom)).agg(F.min("tz")).first()[0]
     if split is None or split > opts.max_zoom:
         own = nodes.where(F.col("num") == rep)
@@ -71,18 +82,18 @@ def children(segs: DataFrame, nodes: DataFrame, opts: Options, cluster_id: int)
     return found.withColumn("zoom", F.lit(split))
 
 
-def leaves(segs: DataFrame, nodes: DataFrame, cluster_id: int, limit: int = 10, offset: int = 0) -> DataFrame:
-    """A page of a cluster's points, by number."""
-    rep, zoom = handle(nodes, cluster_id)
+def leaves(segs: DataFrame, nodes: DataFrame, cluster_id: int, collection: str, limit: int = 10, offset: int = 0) -> DataFrame:
+    """A page of a collection's cluster's points, by number."""
+    rep, zoom = handle(nodes, cluster_id, collection)
     limit = 10 if limit is None or limit < 0 else min(limit, MAX_LEAVES)
-    return at_zoom(segs, zoom).where(F.col("rep") == rep).orderBy("num").offset(max(0, offset or 0)).limit(limit)
+    return at_zoom(segs, zoom).where((F.col("collection") == collection) & (F.col("rep") == rep)).orderBy("num").offset(max(0, offset or 0)).limit(limit)
 
 
-def cluster_of(segs: DataFrame, opts: Options, num: Column, zoom: float) -> DataFrame:
-    """The marker that holds a device at a zoom."""
+def cluster_of(segs: DataFrame, opts: Options, num: Column, zoom: float, collection: str) -> DataFrame:
+    """The marker that holds a device of a collection at a zoom."""
     z = opts.level(zoom)
-    points = at_zoom(segs, z)
-    mine = points.where(F.col("num") == num).select("collection", "rep")
+    segs = segs.where(F.col("collection") == collection)
+    mine = at_zoom(segs, z).where(F.col("num") == num).select("collection", "rep")
     return clusters(segs, opts, z).join(mine, ["collection", "rep"], "left_semi")
 
 
@@ -98,17 +109,25 @@ def centers_per_level(nodes: DataFrame, opts: Options) -> DataFrame:
     return spread.groupBy("collection", "level").agg(F.sum("count").alias("centers"))
 
 
+def memory_bytes(nodes: DataFrame, devices: DataFrame, opts: Options) -> DataFrame:
+    """(collection, memory_bytes): an estimate of what a collection takes in the live engine - 56 bytes a node, 16 a grid entry,
+    and its names and properties."""
+    held = nodes.groupBy("collection").agg(F.sum(F.lit(56) + 16 * F.greatest(F.lit(opts.max_zoom + 1) - F.col("tz"), F.lit(0))).cast("bigint").alias("m"))
+    text = devices.groupBy("collection").agg(F.sum(F.coalesce(F.octet_length("id"), F.lit(0)) + F.coalesce(F.octet_length("props"), F.lit(0))).cast("bigint").alias("t"))
+    return held.join(text, "collection", "left").select("collection", (F.col("m") + F.coalesce("t", F.lit(0))).alias("memory_bytes"))
+
+
 def grid_entries(nodes: DataFrame, opts: Options) -> DataFrame:
     return nodes.groupBy("collection").agg(F.sum(F.greatest(F.lit(opts.max_zoom + 1) - F.col("tz"), F.lit(0)).cast("bigint")).alias("entries"))
 
 
-def tile_features(segs: DataFrame, opts: Options, zoom: int, cat: int | None = None) -> DataFrame:
-    """All tiles of a zoom: each marker in every tile whose box, padded by the marker's radius, holds its mean.
+def tile_features(segs: DataFrame, opts: Options, zoom: int, cat: int | None = None, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """All tiles of a zoom (of those markers that are in the box, if any): each marker in every tile whose box, padded by the marker's radius, holds its mean.
 
     (collection, tx, ty, rep, x, y, cnt, one, zoom); x and y in tile units, which may lie outside 0 to extent."""
     if not 0 <= zoom <= 20:
         raise EngineError("bad_request", "zoom must be within 0 and 20")
-    found = clusters(segs, opts, zoom, cat)
+    found = clusters(segs, opts, zoom, cat, box)
     pad, n = opts.radius / opts.extent, 1 << zoom
     mx, my = F.col("sx") / F.col("cnt"), F.col("sy") / F.col("cnt")
     place = lambda v: v / float(1 << 30) * float(n)

@@ -14,7 +14,7 @@ from shoal.operators import net, replay, search, state
 from shoal.plans import catalog, reads, tiles, verify
 from shoal.sources import reports as ingest
 from shoal.sources import fleet, snapshot, views
-from shoal.sources.tables import built, shared_dir
+from shoal.sources.tables import built, materialise, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,11 +41,11 @@ def query(name: str, sql: str | None = None):
 
 
 def nodes_of(spark: SparkSession, sf: str) -> DataFrame:
-    return built(spark, ("nodes", sf), lambda: net.build_nodes(views.sites(spark, sf), OPTS))
+    return built(spark, ("nodes", sf), f"{sf}/customer.parquet", lambda: net.build_nodes(views.sites(spark, sf), OPTS))
 
 
 def segments_of(spark: SparkSession, sf: str) -> DataFrame:
-    return built(spark, ("segments", sf), lambda: net.segments(nodes_of(spark, sf), OPTS))
+    return built(spark, ("segments", sf), f"{sf}/customer.parquet", lambda: net.segments(nodes_of(spark, sf), OPTS))
 
 
 SITES = f"sites AS ({views.SITES_DUCK})"
@@ -134,12 +134,6 @@ def synthetic_fleet(spark, sf):
     return spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey AS num", f"{x} AS qx", f"{y} AS qy", f"{cat} AS cat")
 
 
-@query("fleet_clusters")
-def fleet_clusters(spark, sf):
-    nodes = net.build_nodes(fleet.fleet(spark, 3000), OPTS)
-    return reads.features(reads.clusters(net.segments(nodes, OPTS), OPTS, 7))
-
-
 # --- reports as JSON
 
 def _bodies(spark: SparkSession, sf: str, extra: str = "''") -> DataFrame:
@@ -196,10 +190,17 @@ def category_resolve(spark, sf):
     return e.select("event_id", ingest.category_number(F.col("sel"), OPTS.categories).alias("cat"))
 
 
-@query("report_default_category", "SELECT event_id, CAST(0 AS INTEGER) AS cat FROM events WHERE event_id % 2 = 0")
+@query("report_default_category", "SELECT event_id, CAST(CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 WHEN 'view' THEN 4 END END AS INTEGER) AS cat FROM events")
 def report_default_category(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet").where("event_id % 2 = 0")
-    return e.select("event_id", ingest.category_number(F.lit(None).cast("string"), OPTS.categories).alias("cat"))
+    """Every event as a report: a third without a category, a third with an empty one."""
+    given = F.expr("CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE event_type END")
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", ingest.category_number(given, OPTS.categories).alias("cat"))
+
+
+@query("body_limit", "SELECT event_id AS batch, CASE WHEN octet_length(encode(props)) > 8 THEN 'a body must not exceed 8 bytes' END AS problem FROM events")
+def body_limit(spark, sf):
+    bodies = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("batch"), F.col("props").alias("value"))
+    return ingest.within_limit(bodies, 8).select("batch", "problem")
 
 
 # --- devices
@@ -243,11 +244,16 @@ def latest_position(spark, sf):
     return last.select("collection", "id", "at.qx", "at.qy", "seq")
 
 
-@query("coalesce_reports", f"WITH {REPORTS} SELECT collection, id, time_bucket(INTERVAL '12 hours', ts) AS flush, arg_max(qx, seq) AS qx, arg_max(qy, seq) AS qy, arg_max(cat, seq) AS cat, max(seq) AS seq, arg_max(props, seq) FILTER (props IS NOT NULL) AS props, count(*) AS queued FROM reports WHERE op = 'upsert' GROUP BY ALL")
+@query("coalesce_reports", f"WITH {REPORTS} SELECT collection, id, time_bucket(INTERVAL '12 hours', ts) AS flush, arg_max(qx, seq) AS qx, arg_max(qy, seq) AS qy, arg_max(cat, seq) AS cat, max(seq) AS seq, arg_max(props, seq) FILTER (props IS NOT NULL) AS props, count(*) AS queued, count(*) - 1 AS merged FROM reports WHERE op = 'upsert' GROUP BY ALL")
 def coalesce_reports(spark, sf):
     return state.coalesce_reports(views.reports(spark, sf), "12 hours")
 
 
+@query("report_chunks", f"WITH {REPORTS} SELECT collection, seq, (row_number() OVER (PARTITION BY collection ORDER BY seq) - 1) // 1000 AS chunk FROM reports")
+def report_chunks(spark, sf):
+    return state.chunked(views.reports(spark, sf), 1000).select("collection", "seq", "chunk")
+
+
 @query("device_lives", _LIVES + "SELECT collection, id, life, first_seen, last_seen, reports, ended FROM lives")
 def device_lives(spark, sf):
     return state.life_states(state.lives(views.reports(spark, sf), OPTS.ttl_seconds)).select("collection", "id", "life", "first_seen", "last_seen", "reports", "ended")
@@ -404,6 +410,16 @@ def _world(zoom: int) -> None:
 for _z in (0, 4, 8, 12, 16):
     _world(_z)
 
+_FLEET = fleet.fleet_sql("c_custkey")
+
+
+@query("fleet_clusters", _features_sql(7).replace(views.SITES_DUCK, f"SELECT c_custkey AS num, {_FLEET[0]} AS qx, {_FLEET[1]} AS qy, {_FLEET[2]} AS cat FROM customer"))
+def fleet_clusters(spark, sf):
+    """A synthetic fleet as large as the customers."""
+    rows = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("'fleet' AS collection", "c_custkey AS num", f"{_FLEET[0]} AS qx", f"{_FLEET[1]} AS qy", f"{_FLEET[2]} AS cat")
+    return _features(reads.clusters(net.segments(net.build_nodes(rows, OPTS), OPTS), OPTS, 7))
+
+
 _X0, _Y0, _X1, _Y1 = geo.world_box(BOX)
 _IN_BOX = f"sx / cnt BETWEEN {_X0} AND {_X1} AND sy / cnt BETWEEN {_Y0} AND {_Y1}"
 
@@ -443,6 +459,12 @@ def grid_entries(spark, sf):
     return reads.grid_entries(nodes_of(spark, sf), OPTS).select("entries")
 
 
+@query("memory_bytes", nodes_sql(f"SELECT CAST(sum(56 + 16 * greatest({LAST + 1} - tz, 0) + length(CAST(num AS VARCHAR))) AS BIGINT) AS memory_bytes FROM nodes"))
+def memory_bytes(spark, sf):
+    named = nodes_of(spark, sf).select("collection", F.col("num").cast("string").alias("id"), F.lit(None).cast("string").alias("props"))
+    return reads.memory_bytes(nodes_of(spark, sf), named, OPTS).select("memory_bytes")
+
+
 @query("distinct_reps", nodes_sql("SELECT zoom, count(DISTINCT rep) AS reps FROM assignment GROUP BY zoom"))
 def distinct_reps(spark, sf):
     return net.assignment(segments_of(spark, sf)).groupBy("zoom").agg(F.count_distinct("rep").alias("reps"))
@@ -455,17 +477,17 @@ def expansion_zoom(spark, sf):
 
 @query("cluster_children", nodes_sql("SELECT b.rep, count(*) AS cnt, CAST(sum(b.qx) AS BIGINT) AS sx, CAST(sum(b.qy) AS BIGINT) AS sy FROM assignment a JOIN assignment b ON a.num = b.num WHERE a.zoom = 3 AND a.rep = 1 AND b.zoom = (SELECT min(tz) FROM nodes WHERE parent = 1 AND tz > 3) GROUP BY b.rep"))
 def cluster_children(spark, sf):
-    return reads.children(segments_of(spark, sf), nodes_of(spark, sf), OPTS, 1 * 32 + 3).select("rep", "cnt", "sx", "sy")
+    return reads.children(segments_of(spark, sf), nodes_of(spark, sf), OPTS, 1 * 32 + 3, "sites").select("rep", "cnt", "sx", "sy")
 
 
 @query("cluster_leaves_page", nodes_sql("SELECT num, qx, qy, cat FROM assignment WHERE zoom = 3 AND rep = 1 ORDER BY num LIMIT 10 OFFSET 5"))
 def cluster_leaves_page(spark, sf):
-    return reads.leaves(segments_of(spark, sf), nodes_of(spark, sf), 1 * 32 + 3, 10, 5).select("num", "qx", "qy", "cat")
+    return reads.leaves(segments_of(spark, sf), nodes_of(spark, sf), 1 * 32 + 3, "sites", 10, 5).select("num", "qx", "qy", "cat")
 
 
 @query("cluster_of_device", nodes_sql("SELECT rep, count(*) AS cnt, CAST(sum(qx) AS BIGINT) AS sx, CAST(sum(qy) AS BIGINT) AS sy FROM assignment WHERE zoom = 9 AND rep = (SELECT rep FROM assignment WHERE zoom = 9 AND num = 77) GROUP BY rep"))
 def cluster_of_device(spark, sf):
-    return reads.cluster_of(segments_of(spark, sf), OPTS, F.lit(77), 9.7).select("rep", "cnt", "sx", "sy")
+    return reads.cluster_of(segments_of(spark, sf), OPTS, F.lit(77), 9.7, "sites").select("rep", "cnt", "sx", "sy")
 
 
 @query("geojson_features", nodes_sql("SELECT rep, cnt > 1 AS is_cluster, CASE WHEN cnt > 1 THEN '{\"cluster\":true,\"cluster_id\":' || CAST(rep * 32 + 8 AS VARCHAR) || ',\"point_count\":' || CAST(cnt AS VARCHAR) || ',\"point_count_abbreviated\":\"' || CAST(cnt AS VARCHAR) || '\"}' ELSE '{\"id\":\"' || CAST(one AS VARCHAR) || '\"}' END AS properties FROM (" + _CLUSTERS.format(z=8, where="true") + ")"))
@@ -546,9 +568,16 @@ def health_totals(spark, sf):
     return catalog.health(_stats(spark, sf))
 
 
-@query("metrics_text", _STATS + ", m AS (UNPIVOT (SELECT collection, devices, reports, removals, props_bytes FROM stats) ON devices, reports, removals, props_bytes INTO NAME metric VALUE v) SELECT collection, metric, 'shoal_' || metric || '{collection=\"' || collection || '\"} ' || CAST(v AS VARCHAR) AS line FROM m")
+@query("metrics_text", _STATS + ", e AS (" + "SELECT collection, CAST(count(*) FILTER (NOT gone AND (life < newest OR late)) AS BIGINT) AS expired FROM (SELECT l.collection, l.life, n.life AS newest, ended = 'remove' AS gone, epoch_us(last_seen) < (SELECT max(epoch_us(ts)) FROM reports) - " + DAY + " AS late FROM lives l JOIN newest n USING (collection, id) WHERE l.reports > 0) GROUP BY collection)" + ", m AS (UNPIVOT (SELECT collection, devices, reports, removals, props_bytes, expired FROM stats JOIN e USING (collection)) ON devices, reports, removals, props_bytes, expired INTO NAME metric VALUE v) SELECT collection, metric, 'shoal_' || metric || '{collection=\"' || collection || '\"} ' || CAST(v AS VARCHAR) AS line FROM m")
 def metrics_text(spark, sf):
-    return catalog.metrics_text(_stats(spark, sf))
+    expired = state.life_counts(views.reports(spark, sf), OPTS.ttl_seconds, _as_of(spark, sf)).select("collection", "expired")
+    return catalog.metrics_text(catalog.full_stats(_stats(spark, sf), expired))
+
+
+@query("value_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
+def value_percentiles(spark, sf):
+    found = catalog.percentiles(spark.read.parquet(f"{sf}/events.parquet"), "event_type", "value")
+    return found.select("event_type", F.round("p50", 6).alias("p50"), F.round("p99", 6).alias("p99"))
 
 
 def _devices(spark: SparkSession, sf: str) -> DataFrame:
@@ -577,15 +606,49 @@ def restore_shrunken_categories(spark, sf):
 
 # --- replay
 
+_COUNTED = _LIVES + f""", w AS (
+  SELECT *, CASE WHEN op = 'upsert' AND lag(op) OVER v = 'upsert' AND (lag(qx) OVER v <> qx OR lag(qy) OVER v <> qy) THEN 1 ELSE 0 END AS moved
+  FROM lived WINDOW v AS (PARTITION BY collection, id, life ORDER BY seq)),
+each AS (
+  SELECT l.collection, l.id, l.life, l.reports, l.ended = 'remove' AS gone, n.life AS newest, epoch_us(l.last_seen) < (SELECT max(epoch_us(ts)) FROM reports) - {DAY} AS late,
+         (SELECT sum(moved) FROM w WHERE w.collection = l.collection AND w.id = l.id AND w.life = l.life) AS moves
+  FROM lives l JOIN newest n USING (collection, id) WHERE l.reports > 0)
+SELECT collection, CAST(count(*) FILTER (NOT gone AND life = newest AND NOT late) AS BIGINT) AS devices, CAST(sum(reports) AS BIGINT) AS reports, count(*) AS inserts,
+       CAST(count(*) FILTER (gone OR life < newest OR late) AS BIGINT) AS removes, CAST(count(*) FILTER (NOT gone AND (life < newest OR late)) AS BIGINT) AS expired, CAST(sum(moves) AS BIGINT) AS moves
+FROM each GROUP BY collection"""
+
+
+def _end(spark: SparkSession, sf: str) -> int:
+    return views.reports(spark, sf).agg(F.max(state.micros(F.col("ts")))).first()[0]
+
+
+@query("life_counts", _COUNTED)
+def life_counts(spark, sf):
+    return state.life_counts(views.reports(spark, sf), OPTS.ttl_seconds, _as_of(spark, sf))
+
+
+@query("replay_stats", _COUNTED)
+def replay_stats(spark, sf):
+    """What the order-dependent replay counts of things that windows can count as well."""
+    found = replay.replay_counts(views.reports(spark, sf), OPTS, _end(spark, sf))
+    return found.select("collection", "devices", "reports", "inserts", "removes", "expired", "moves")
+
+
+@query("replay_devices", _LIVES + "SELECT collection, id, num, qx, qy, cat, last_seen, props FROM live JOIN interned USING (collection, id)")
+def replay_devices(spark, sf):
+    return replay.replay_devices(views.reports(spark, sf), OPTS, _end(spark, sf))
+
 
 @query("replay_moves")
 def replay_moves(spark, sf):
-    return replay.replay_nodes(views.reports(spark, sf), OPTS)
+    return replay.replay_nodes(views.reports(spark, sf), OPTS, _end(spark, sf))
 
 
-@query("replay_stats")
-def replay_stats(spark, sf):
-    return replay.replay_counts(views.reports(spark, sf), OPTS)
+@query("replay_violations", "SELECT unnest(['covering', 'separation', 'partition', 'radius', 'slices', 'reachable', 'grid']) AS invariant, CAST(0 AS BIGINT) AS violations")
+def replay_violations(spark, sf):
+    """All invariants of the hierarchy that moves, removals and expiry have left."""
+    nodes = materialise(replay.replay_nodes(views.reports(spark, sf), OPTS, _end(spark, sf)).drop("id"), "replayed")
+    return verify.verify(nodes, net.segments(nodes, OPTS), OPTS)
 
 
 @query("fast_move_share")
@@ -593,26 +656,25 @@ def fast_move_share(spark, sf):
     return catalog.fast_share(replay.replay_counts(views.reports(spark, sf), OPTS))
 
 
-@query("stream_equals_batch", "SELECT CAST(0 AS BIGINT) AS differences")
-def stream_equals_batch(spark, sf):
-    """Runs the live engine over the reports in three files and compares its last nodes with the batch replay's."""
+@query("stream_devices", _LIVES + """, clock AS (SELECT collection, max(epoch_us(ts)) AS c FROM reports GROUP BY collection)
+SELECT l.collection, l.id, i.num, l.qx, l.qy, l.cat, l.last_seen, l.props
+FROM lives l JOIN newest USING (collection, id, life) JOIN interned i USING (collection, id) JOIN clock USING (collection)
+WHERE ended = 'upsert' AND epoch_us(last_seen) >= c - """ + DAY)
+def stream_devices(spark, sf):
+    """The live engine over the reports, which arrive in three lots: the snapshot that its sink keeps, in the end."""
     import uuid
 
     from shoal.streaming import live
 
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    r = views.reports(spark, sf).select("collection", "seq", "ts", "op", "id", "qx", "qy", "cat")
-    top = r.agg(F.max("seq")).first()[0] or 0
+    r = views.reports(spark, sf).select("collection", "seq", "ts", "op", "id", "qx", "qy", "cat", "props")
+    low, high = r.agg(F.min("seq"), F.max("seq")).first()
+    step = (high - low) // 3 + 1
     for k in range(3):
-        part = r.where((F.col("seq") * 3 >= k * (top + 1)) & (F.col("seq") * 3 < (k + 1) * (top + 1)))
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = live.keep(live.read_reports(spark, f"{base}/in", r.schema), OPTS, "nodes")
-    live.run_available(stream, lambda batch, k: batch.withColumn("batch", F.lit(k)).write.mode("append").parquet(f"{base}/out"), f"{base}/state")
-    out = spark.read.parquet(f"{base}/out")
-    newest = out.groupBy("collection").agg(F.max("batch").alias("batch"))
-    kept = out.join(newest, ["collection", "batch"]).select("collection", "id", "tz", "parent")
-    want = replay.replay_nodes(r, OPTS).select("collection", "id", "tz", "parent")
-    return kept.exceptAll(want).union(want.exceptAll(kept)).agg(F.count(F.lit(1)).alias("differences"))
+        r.where((F.col("seq") >= low + k * step) & (F.col("seq") < low + (k + 1) * step)).write.mode("append").parquet(f"{base}/in")
+        stream = live.keep(live.read_reports(spark, f"{base}/in", r.schema, 1 << 20), OPTS, "changes")
+        live.run_available(stream, live.snapshot_sink(f"{base}/out"), f"{base}/state")
+    return snapshot.read(spark, f"{base}/out")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.functions.features import count_abbreviation, scalar_tags
-from shoal.functions.geometry import EngineError, Options
+from shoal.functions.geometry import WORLD, EngineError, Options
+from shoal.plans import reads
 
 LAYER = "points"
 FORMATS = {"mvt": "mvt", "pbf": "mvt", "json": "json", "geojson": "json"}
@@ -94,6 +97,26 @@ def tile_mvt(tiles: DataFrame, opts: Options, devices: DataFrame | None = None)
     return out.select(*cols).groupBy("collection", "tx", "ty").applyInPandas(run, "collection string, tx bigint, ty bigint, tile binary")
 
 
+def tile(segs: DataFrame, opts: Options, z: int, x: int, y: int, devices: DataFrame | None = None, cat: int | None = None, kind: str = "mvt") -> bytes | list[str]:
+    """One tile: its bytes (none if it is empty), or its features as JSON texts. Only points about the tile are read."""
+    if not 0 <= z <= 20 or not (0 <= x < 1 << z and 0 <= y < 1 << z):
+        raise EngineError("bad_request", f"there is no tile {z}/{x}/{y}")
+    side, pad = WORLD / (1 << z), WORLD / (1 << z) * opts.radius / opts.extent
+    lng = [unproject(v, True) for v in (x * side - pad, (x + 1) * side + pad)]
+    lat = [unproject(v, False) for v in ((y + 1) * side + pad, y * side - pad)]
+    found = reads.tile_features(segs, opts, z, cat, (lng[0], lat[0], lng[1], lat[1])).where((F.col("tx") == x) & (F.col("ty") == y))
+    if kind == "json":
+        return [r["feature"] for r in tile_json(found, opts).orderBy("rep").select("feature").collect()]
+    got = tile_mvt(found, opts, devices).head(1)
+    return bytes(got[0]["tile"]) if got else b""
+
+
+def unproject(v: float, along_x: bool) -> float:
+    """Degrees of a place on the world's square, kept a little inside it."""
+    u = min(max(v / WORLD, 1e-9), 1 - 1e-9)
+    return u * 360 - 180 if along_x else math.degrees(2 * math.atan(math.exp((0.5 - u) * 2 * math.pi))) - 90
+
+
 def tile_json(tiles: DataFrame, opts: Options) -> DataFrame:
     """(collection, tx, ty, rep, feature): features in tile units, with the extent and a note that says so."""
     feature = F.format_string('{"cluster":%s,"id":%d,"count":%d,"x":%d,"y":%d}', F.when(F.col("cnt") > 1, "true").otherwise("false"), F.col("rep"), F.col("cnt"), F.col("x"), F.col("y"))

@@ -11,11 +11,30 @@ FIELDS = ("id", "lng", "lat", "cat", "props")
 _RAW = "array<struct<id:string,lng:double,lat:double,cat:string,props:string>>"
 
 
+#: Bytes that a request body may have, unless said otherwise.
+MAX_BODY = 8 << 20
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(batch, value): one request body, or one NDJSON report, a line of text."""
     return spark.read.text(path).withColumn("batch", F.monotonically_increasing_id())
 
 
+def read_bodies(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, value) of a file in either form: lines if the first one that is not blank is JSON on its own, else one body over
+    all lines. Blank lines are left out."""
+    lines = read_lines(spark, path).where(F.length(F.trim("value")) > 0)
+    head = lines.limit(1).select((F.try_parse_json("value").isNotNull()).alias("whole")).head(1)
+    if not head or head[0]["whole"]:
+        return lines
+    return spark.read.text(path, wholetext=True).withColumn("batch", F.monotonically_increasing_id())
+
+
+def within_limit(bodies: DataFrame, max_bytes: int = MAX_BODY) -> DataFrame:
+    """bodies with ``problem`` for those that are too large; they are to be refused before they are parsed."""
+    return bodies.withColumn("problem", F.when(F.octet_length("value") > max_bytes, f"a body must not exceed {max_bytes} bytes"))
+
+
 def parse(bodies: DataFrame) -> DataFrame:
     """bodies(batch, value) to reports(batch, at, id, lng, lat, cat, props, unknown).
 

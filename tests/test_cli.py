@@ -18,7 +18,20 @@ def test_import_and_read(spark, tmp_path, capsys):
         code = cli.main([*args, *at])
         return code, [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
 
-    assert call("import", "--file", f"file://{f}", "--categories", "idle,enroute") == (0, [{"devices": 4}])
+    assert call("import", "--file", f"file://{f}", "--categories", "idle,enroute", "--no-create")[0] == 1
+    assert call("import", "--file", f"file://{f}", "--categories", "idle,enroute") == (0, [{"devices": 4, "refused": 1}])
+    assert call("create", "--categories", "idle,enroute") == (0, [{"collection": "fleet", "created": False}])
+    assert call("create", "--radius", "99")[0] == 1
+    assert call("report", "--id", "t9", "--lng", "1", "--lat", "2", "--props", '{"k":2}', "--cat", "enroute") == (0, [{"devices": 1, "refused": 0}])
+    assert call("report", "--id", "t9", "--lng", "1", "--lat", "2", "--cat", "no") == (0, [{"devices": 0, "refused": 1}])
+    assert call("get", "--id", "t9")[1][0]["num"] == 4
+    assert call("rm", "--id", "t9")[0] == 0 and call("rm", "--id", "t9")[0] == 1
+    (row,) = call("stats")[1]
+    assert row["devices"] == 4 and row["snapshot_bytes"] > 0
+    assert call("watch", "--times", "2", "--every", "0")[1] == [{"status": "ok", "collections": 1, "devices": 4}] * 2
+    assert call("tile", "--tile", "0/0/0")[1][0]["bytes"] > 0 and call("tile", "--tile", "1/5/0")[0] == 1
+    assert len(json.loads(call("tile", "--tile", "0/0/0.json")[1][0]["features"])) >= 1
+    assert call("snapshot", "--to", f"{shared_dir(spark)}/copy-{uuid.uuid4().hex}")[1][0]["devices"] == 4
     assert call("collections")[1] == [{"collection": "fleet", "devices": 4}]
     assert sum(r["count"] for r in call("clusters", "--zoom", "4")[1]) == 4
     assert call("has", "--id", "nobody")[1] == [{"id": "nobody", "live": False}]
@@ -27,4 +40,5 @@ def test_import_and_read(spark, tmp_path, capsys):
     assert all(r["violations"] == 0 for r in call("verify")[1])
     big = next(r for r in call("clusters", "--zoom", "3")[1] if r["is_cluster"])
     assert len(call("leaves", "--cluster", str(big["cluster_id"]))[1]) == big["count"]
-    assert call("drop")[0] == 0
+    assert call("seed", "--limit", "30")[1] == [{"devices": 30}] and call("collections")[1] == [{"collection": "fleet", "devices": 34}]
+    assert call("drop")[0] == 0 and call("drop")[0] == 1

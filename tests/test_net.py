@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shoal.functions.geometry import EngineError, Options
-from shoal.operators import net, replay
+from shoal.operators import bulk, net, replay, search
 from shoal.operators.kernel import Net
 from shoal.plans import reads, verify
 
@@ -33,36 +36,70 @@ def check(n: Net) -> None:
         assert listed == {m for m in pts if pts[m].level <= z}
 
 
-def place(rnd: random.Random) -> tuple[int, int]:
-    if rnd.random() < 0.3:
-        return rnd.randrange(1 << 30), rnd.randrange(1 << 30)
-    return 400_000_000 + rnd.randrange(2_000_000), 600_000_000 + rnd.randrange(2_000_000)
-
-
-@pytest.mark.parametrize("opts", [Options(), Options(max_zoom=6), Options(max_zoom=14, hysteresis=0.0), Options(max_zoom=12, hysteresis=1.0)])
-def test_churn(opts):
-    rnd, n = random.Random(5), Net(opts)
-    for i in range(80):
-        n.upsert(i, *place(rnd))
-    for step in range(600):
-        live = sorted(n.points)
-        kind = rnd.random()
-        if kind < 0.55 and live:
-            num = rnd.choice(live)
-            p = n.points[num]
-            n.upsert(num, *((p.x + rnd.randrange(-9000, 9000), p.y + rnd.randrange(-9000, 9000)) if rnd.random() < 0.85 else place(rnd)))
-        elif kind < 0.78:
-            n.upsert(100 + step, *place(rnd))
-        elif live:
-            n.remove(rnd.choice(live))
-        if step % 50 == 0:
-            check(n)
-    for i in range(30):
-        n.upsert(10_000 + i, 500_000_000, 500_000_000)
+def spot(k: int) -> tuple[int, int]:
+    """Spot k of a pattern that repeats on every scale: its digits to the base 5 are steps of ever smaller length."""
+    x = y = 0
+    for level in range(8):
+        step = 1 << (27 - 3 * level)
+        digit = k // 5**level % 5
+        x += (digit % 3) * step
+        y += (digit // 2) * step
+    return x, y
+
+
+_SPOTS = st.integers(0, 5**8 - 1)
+_KEYS = st.integers(0, 25)
+_SCRIPTS = st.lists(st.one_of(st.tuples(st.just("put"), _KEYS, _SPOTS), st.tuples(st.just("nudge"), _KEYS, st.integers(-20_000, 20_000)), st.tuples(st.just("drop"), _KEYS, st.just(0))), max_size=120)
+
+
+@settings(max_examples=60, deadline=None, derandomize=True)
+@given(_SCRIPTS, st.sampled_from([Options(), Options(max_zoom=3), Options(max_zoom=20, hysteresis=0.0), Options(max_zoom=9, hysteresis=2.0, radius=300.0)]))
+def test_scripts_of_operations_keep_every_invariant(script, opts):
+    n, want = Net(opts), {}
+    for what, key, value in script:
+        if what == "put":
+            want[key] = spot(value)
+        elif what == "nudge" and key in want:
+            want[key] = (want[key][0] + value, want[key][1] - value // 3)
+        elif what == "drop":
+            assert n.remove(key) == (want.pop(key, None) is not None)
+        if key in want:
+            n.upsert(key, *want[key])
     check(n)
-    for num in sorted(n.points):
-        assert n.remove(num)
-    assert not n.points and not any(n.cells) and not n.remove(1)
+    assert {num: (p.x, p.y) for num, p in n.points.items()} == want
+    again = Net(opts)
+    again.restore(n.rows())
+    check(again)
+    assert again.rows() == n.rows()
+
+
+@settings(max_examples=30, deadline=None, derandomize=True)
+@given(st.lists(_SPOTS, max_size=60), st.randoms(use_true_random=False))
+def test_insertions_give_the_bulk_build_and_removals_nothing(spots, rnd):
+    opts = Options(max_zoom=10)
+    n = Net(opts)
+    for i, k in enumerate(spots):
+        n.upsert(i, *spot(k))
+    x, y = (np.array([spot(k)[a] for k in spots], np.int64) for a in (0, 1))
+    level, parent = bulk.build(np.arange(len(spots)), x, y, opts)
+    assert [(p.level, -1 if p.parent is None else p.parent) for _, p in sorted(n.points.items())] == list(zip(level.tolist(), parent.tolist(), strict=True))
+    order = list(n.points)
+    rnd.shuffle(order)
+    for num in order:
+        n.remove(num)
+    assert not n.points and not any(n.cells)
+
+
+def test_children_lists_are_the_parents_turned_round():
+    rnd, n = random.Random(8), Net(Options())
+    for i in range(300):
+        n.upsert(i, *spot(rnd.randrange(5**8)))
+    for i in range(0, 300, 3):
+        n.remove(i)
+    turned = {}
+    for num, p in n.points.items():
+        turned.setdefault(p.parent, set()).add(num)
+    assert all(p.children == turned.get(num, set()) for num, p in n.points.items())
 
 
 def test_small_moves_are_fast():
@@ -78,7 +115,7 @@ def test_small_moves_are_fast():
 
 def points(spark, n, seed=1, collections=("a",)):
     rnd = random.Random(seed)
-    rows = [(c, i, *place(rnd), i % 3) for c in collections for i in range(n)]
+    rows = [(c, i, *spot(rnd.randrange(5**8)), i % 3) for c in collections for i in range(n)]
     rows += [(c, n + k, 450_000_000, 450_000_000, 0) for c in collections for k in range(12)]
     return spark.createDataFrame(rows, "collection string, num bigint, qx bigint, qy bigint, cat int")
 
@@ -110,19 +147,70 @@ def test_reads_and_invariants(spark):
     whole = reads.clusters(segs, opts, 6)
     parts = [reads.clusters(segs, opts, 6, cat=k).agg(F.sum("cnt")).first()[0] for k in range(3)]
     assert sum(parts) == 132
-    big = whole.orderBy(F.desc("cnt")).first()
+    big = whole.where("sx <> cnt * 450000000").orderBy(F.desc("cnt")).first()  # the points on one spot never split
     handle = big.rep * 32 + 6
-    kids = reads.children(segs, nodes, opts, handle)
+    kids = reads.children(segs, nodes, opts, handle, "a")
     assert kids.agg(F.sum("cnt")).first()[0] == big.cnt
-    pages = [reads.leaves(segs, nodes, handle, 7, k).count() for k in range(0, big.cnt, 7)]
+    pages = [reads.leaves(segs, nodes, handle, "a", 7, k).count() for k in range(0, big.cnt, 7)]
     assert sum(pages) == big.cnt
     with pytest.raises(EngineError):
-        reads.leaves(segs, nodes, 999_999 * 32 + 1)
-    box = (-180.0, -85.0, 180.0, 85.0)
+        reads.leaves(segs, nodes, 999_999 * 32 + 1, "a")
+    box = (-180.0, -89.0, 180.0, 89.0)
     assert reads.clusters(segs, opts, 6, box=box).count() == whole.count()
     assert reads.clusters(segs, opts, 6, box=(box[2], box[3], box[0], box[1])).count() == whole.count()
 
 
+def test_segments_of_both_ways(spark):
+    opts = Options()
+    nodes = net.build_nodes(points(spark, 100, collections=("a", "b")), opts)
+    assert counted(net.segments(nodes, opts)) == counted(net.segments(nodes, opts, local_limit=0))
+
+
+def counted(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_reads_stay_in_their_collection(spark):
+    opts = Options()
+    p = points(spark, 80, collections=("a",)).unionByName(points(spark, 60, seed=9, collections=("b",)))
+    nodes = net.build_nodes(p, opts)
+    segs = net.segments(nodes, opts)
+    for c, n in (("a", 92), ("b", 72)):
+        big = reads.clusters(segs, opts, 2).where((F.col("collection") == c) & (F.col("sx") != F.col("cnt") * 450_000_000)).orderBy(F.desc("cnt")).first()
+        assert {r.collection for r in reads.leaves(segs, nodes, big.rep * 32 + 2, c, 500).collect()} == {c}
+        kids = reads.children(segs, nodes, opts, big.rep * 32 + 2, c)
+        assert kids.agg(F.sum("cnt")).first()[0] == big.cnt and {r.collection for r in kids.collect()} == {c}
+        assert {r.collection for r in reads.cluster_of(segs, opts, F.lit(5), 4, c).collect()} == {c}
+        assert reads.clusters(segs, opts, 2).where(F.col("collection") == c).agg(F.sum("cnt")).first()[0] == n
+
+
+def test_boxes_do_not_cut_clusters(spark):
+    opts = Options()
+    nodes = net.build_nodes(points(spark, 200), opts)
+    segs = net.segments(nodes, opts)
+    for z in (1, 3, 6):
+        whole = reads.features(reads.clusters(segs, opts, z)).collect()
+        for box in ((-180.0, 20.0, -100.0, 85.0), (-175.0, 60.0, -150.0, 84.0), (-90.0, 0.0, -40.0, 70.0)):
+            want = {(r.rep, r["count"]) for r in whole if box[0] <= r.lng <= box[2] and box[1] <= r.lat <= box[3]}
+            assert {(r.rep, r["count"]) for r in reads.features(reads.clusters(segs, opts, z, box=box)).collect()} == want
+
+
+def test_searches_of_dense_places(spark):
+    rows = [("a", k, 1000, 1000) for k in range(40)] + [("a", 100, 1000, 1009), ("a", 101, 5000, 5000), ("a", 102, 5000, 5400), ("b", 7, 1000, 1000)]
+    p = spark.createDataFrame(rows, "collection string, num bigint, qx bigint, qy bigint")
+    dist = lambda a, b: (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2
+    for radius in (5.0, 10.0, 401.0):
+        best = {}
+        for a in rows:
+            near = [(dist(a, b), str(b[1]), b[1]) for b in rows if a[0] == b[0] and a[1] != b[1] and dist(a, b) <= radius**2]
+            if near:
+                best[a[:2]] = min(near)
+        got = {(r.collection, r.probe): (r.d2, str(r.other), r.other) for r in search.nearest(p, p, radius).collect()}
+        assert got == best
+        assert {(r.collection, r.num) for r in search.covered(p, p, radius).collect()} == set(best)
+        assert {(r.collection, r.num) for r in search.uncovered(p, p, radius).collect()} == {r[:2] for r in rows} - set(best)
+
+
 def test_empty_and_single(spark):
     opts = Options()
     empty = spark.createDataFrame([], "collection string, num bigint, qx bigint, qy bigint, cat int")
