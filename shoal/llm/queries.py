@@ -113,13 +113,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.round_trip(table(spark, sf_dir, "pages"))
-    page = lambda name: F.col("metadata.fields")[name].cast("long")
+    revisit = F.col("response.type") == "revisit"
+    page = lambda of: F.col(f"{of}.fields")["page-id"].cast("long")
     return captures.select(
-        page("page-id").alias("page_id"),
-        F.col("response.http_length").alias("payload_bytes"),
-        F.col("response.payload_digest").alias("payload_digest"),
+        page("metadata").alias("page_id"),
+        F.when(revisit, F.col("origin.http_length")).otherwise(F.col("response.http_length")).alias("payload_bytes"),
+        F.when(revisit, F.col("origin.payload_digest")).otherwise(F.col("response.payload_digest")).alias("payload_digest"),
         F.col("response.type").alias("record_type"),
-        page("duplicate-of-page").alias("refers_to"),
+        page("origin").alias("refers_to"),
     )
 
 
@@ -127,12 +128,10 @@ _BASE32_SQL = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, {5 * g + 1}, 5) AS INTEGER) >> {s}) & 31), 1)" for g in range(8) for s in (15, 10, 5, 0)
 )
 OP7_SQL = f"""
-WITH p AS (SELECT DISTINCT page_id, url, coalesce(html, '') AS html FROM pages),
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS h FROM p),
-m AS (SELECT *, max(page_id) OVER (PARTITION BY h, payload_bytes) AS best FROM d)
-SELECT page_id, payload_bytes, {_BASE32_SQL} AS payload_digest,
-       CASE WHEN page_id IS DISTINCT FROM best THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN page_id IS DISTINCT FROM best THEN best END AS refers_to
+m AS (SELECT *, row_number() OVER w AS n, first_value(page_id) OVER w AS best FROM d WINDOW w AS (PARTITION BY h, payload_bytes ORDER BY page_id DESC NULLS LAST))
+SELECT page_id, payload_bytes, {_BASE32_SQL} AS payload_digest, CASE WHEN n > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n > 1 THEN best END AS refers_to
 FROM m
 """
 

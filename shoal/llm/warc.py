@@ -1,19 +1,22 @@
 """WARC archives: writing page captures as transactions and assembling them again.
 
-``write_archives`` writes for each page a request, a response (or revisit) and a metadata record into gzip-compressed WARC 1.1
-files in a folder that every executor reaches; Spark's text writer does it, with the two line breaks that end a record as the
-separator, so it works on any file system and a lost task just writes its file again. Of records with equal payloads the
-one with the largest page_id is the response; the others are revisits of it. ``read_records`` parses archives and checks
-every block digest; ``assemble`` joins request, response or revisit and metadata through WARC-Concurrent-To and gives one
-nested row per capture.
-
-A null html is an empty payload, a null url is left out. Rows that repeat page_id, url and payload are one capture and come
-out once. Requests or metadata without their response come out with a null response. An empty table gives no rows. Extra
-columns are ignored.
+``write_archives`` writes for each row of pages a request, a response (or revisit) and a metadata record into WARC 1.1 files in
+a folder that every executor reaches, each record a gzip member of its own. Files are bounded by bytes, not by records. Spark's
+text writer does it, so it works on any file system and a lost task just writes its file again: a row is a file's members, and
+the separator behind a row is a member's last byte (see ``_archive``). Of records with equal payloads the one with the largest
+page_id is the response; the others are revisits of it. ``read_records`` parses archives member by member and checks payload
+digests; ``assemble`` joins request, response or revisit and metadata through WARC-Concurrent-To and gives one nested row per
+capture; ``resolve`` finds the response record that each revisit refers to and holds its digest and length against it.
+
+A null html is an empty payload, a null url is left out. Every row is a capture of its own, also rows that repeat others; of
+equal payloads with the same largest page_id one is the response. Null page ids come after all others. Requests or metadata
+without their response come out with a null response. An empty table gives no rows. Extra columns are ignored. A record longer
+than a file's bound is a file of its own.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 import zlib
@@ -24,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir
+from .common import materialise, release_memory, shared_dir
 
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
-#: Records in a file at most.
-FILE_RECORDS = 3000
+#: Bytes of compressed members after which a file ends.
+FILE_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -62,14 +65,15 @@ def records(pages: DataFrame) -> DataFrame:
     """The records of pages(page_id, url, html), a string each."""
     clean = F.regexp_replace("url", "[\r\n\t ]", "%20")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), clean.alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    p = p.withColumn("sha1", F.sha1("html")).withColumn("bytes", F.octet_length("html").cast("long"))
-    # written, so that both sides of the join are plain scans and a digest that a third of the rows share can be split
-    best = materialise(p.select("sha1", "bytes", "page_id", "url").groupBy("sha1", "bytes").agg(F.max(F.struct("page_id", "url")).alias("best")), "payloads")
+    # stored with a number of its own for every row, so that both sides of the join are plain scans, and a digest that a third of the
+    # rows share can be split
+    p = materialise(p.withColumn("sha1", F.sha1("html")).withColumn("bytes", F.octet_length("html").cast("long")).withColumn("row", F.monotonically_increasing_id()), "pages")
+    best = materialise(p.groupBy("sha1", "bytes").agg(F.max(F.struct("page_id", "row", "url")).alias("best")), "payloads")
     p = p.join(best.select("sha1", "bytes", "best"), ["sha1", "bytes"], "left")
-    revisit = ~F.col("page_id").eqNullSafe(F.col("best.page_id"))
+    revisit = F.col("row") != F.col("best.row")
     digest = base32(F.col("sha1"))
-    main = _uuid(F.lit("capture"), F.col("page_id"), F.col("url"), F.col("sha1"))
-    target = _uuid(F.lit("capture"), F.col("best.page_id"), F.col("best.url"), F.col("sha1"))
+    main = _uuid(F.lit("capture"), F.col("row"), F.col("sha1"))
+    target = _uuid(F.lit("capture"), F.col("best.row"), F.col("sha1"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF + CRLF))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
     when_revisit = lambda c: F.when(revisit, c)
@@ -100,10 +104,7 @@ def records(pages: DataFrame) -> DataFrame:
         ],
         asked,
     )
-    fields = F.concat(
-        F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(CRLF)), F.lit("")),
-        F.coalesce(when_revisit(F.concat(F.lit("duplicate-of-page: "), F.col("best.page_id").cast("string"), F.lit(CRLF))), F.lit("")),
-    )
+    fields = F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(CRLF)), F.lit(""))
     metadata = _head(
         [
             ("WARC-Type", F.lit("metadata")),
@@ -118,14 +119,41 @@ def records(pages: DataFrame) -> DataFrame:
     return p.withColumn("main", main).select(F.explode(F.array(request, response, metadata)).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, file_records: int = FILE_RECORDS) -> str:
-    out = records(pages).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
-    out.option("maxRecordsPerFile", file_records).text(path)
+_EMPTY = gzip.compress(b"", 1, mtime=0)
+
+
+def _archive(members: list[bytes]) -> bytes:
+    """A file of members without its last byte, which is the zero that the writer puts behind every row: the highest byte of the
+    last member's size. Where that is another one (16 MB and more), an empty member follows."""
+    if members[-1][-1]:
+        members = [*members, _EMPTY]
+    return b"".join(members)[:-1]
+
+
+def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> str:
+    """Write pages as archives into a folder; a file ends once its members reach the bytes."""
+    end = (CRLF + CRLF).encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for x in b.column("value"):
+                held.append(gzip.compress(x.as_buffer().to_pybytes() + end, 1, mtime=0))
+                size += len(held[-1])
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([_archive(held)], pa.binary())], names=["value"])
+                    held, size = [], 0
+            release_memory()
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([_archive(held)], pa.binary())], names=["value"])
+
+    files = records(pages).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    files.write.option("lineSep", "\x00").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
     return path
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(named fields in lower case, block) of each record of an uncompressed archive."""
+    """(named fields in lower case, block) of each record of uncompressed archive bytes."""
     at, n = 0, len(data)
     while at < n:
         end = data.find(b"\r\n\r\n", at)
@@ -143,16 +171,20 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + size + 4
 
 
-def gunzip(data: bytes) -> bytes:
-    """All members of a gzip file."""
-    out = []
-    while data:
+def members(data: bytes) -> Iterator[bytes]:
+    """The members of a gzip file, one at a time."""
+    view = memoryview(data)
+    at = 0
+    while at < len(view):
         d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
+        parts, step = [], 1 << 16
+        while not d.eof and at < len(view):
+            parts.append(d.decompress(view[at : at + step]))
+            at += step
         if not d.eof:
             raise ValueError("the archive is cut off")
-        data = d.unused_data
-    return b"".join(out)
+        at = min(at, len(view)) - len(d.unused_data)
+        yield b"".join(parts)
 
 
 def _row(fields: dict[str, str], block: bytes, with_payload: bool) -> tuple:
@@ -180,24 +212,27 @@ def _row(fields: dict[str, str], block: bytes, with_payload: bool) -> tuple:
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """A row for each record of the archives (*.gz) in a folder."""
+    """A row for each record of the archives in a folder, whether a record a member or several."""
     types = [pa.string()] * 7 + [pa.int64(), pa.binary(), pa.map_(pa.string(), pa.string())]
     names = ["record_id", "type", "concurrent_to", "refers_to", "target_uri", "date", "payload_digest", "http_length", "payload", "fields"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
         for b in batches:
             for x in b.column("content"):
                 rows, size = [], 0
-                for fields, block in parse(gunzip(x.as_buffer().to_pybytes())):
-                    rows.append(_row(fields, block, with_payload))
-                    size += len(block)
-                    if len(rows) == 2000 or size > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-                        rows, size = [], 0
+                for member in members(x.as_buffer().to_pybytes()):
+                    for fields, block in parse(member):
+                        rows.append(_row(fields, block, with_payload))
+                        size += len(block) if with_payload else 0
+                        if len(rows) == 2000 or size > 4 << 20:
+                            yield batch(rows)
+                            rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    yield batch(rows)
+            release_memory()
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(run, RECORD_SCHEMA)
 
 
@@ -213,8 +248,21 @@ def assemble(found: DataFrame) -> DataFrame:
     return found.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(*picks)
 
 
+def resolve(captures: DataFrame) -> DataFrame:
+    """captures with ``origin`` (capture_id, fields of its metadata, payload_digest, http_length): the capture whose response a revisit
+    refers to, found by WARC-Refers-To; null for responses. A revisit whose response is missing or has another digest or
+    length is an error."""
+    captures = materialise(captures, "captures")
+    targets = captures.where("response.type = 'response'").select(F.col("response.record_id").alias("_target"), F.struct("capture_id", "metadata.fields", "response.payload_digest", "response.http_length").alias("origin"))
+    out = captures.join(targets, captures["response.refers_to"] == targets["_target"], "left").drop("_target")
+    same = F.col("response.payload_digest").eqNullSafe(F.col("origin.payload_digest")) & F.col("response.http_length").eqNullSafe(F.col("origin.http_length"))
+    wrong = (F.col("response.type") == "revisit") & ~same
+    broken = F.raise_error(F.concat(F.lit("a revisit does not match the response it refers to: "), F.col("capture_id")))
+    return out.withColumn("origin", F.when(wrong, broken.cast(out.schema["origin"].dataType)).otherwise(F.col("origin")))
+
+
 def round_trip(pages: DataFrame, with_payload: bool = False) -> DataFrame:
-    """Write pages to archives in the shared folder, read these, and assemble the captures."""
+    """Write pages to archives in the shared folder, read these, assemble the captures, and resolve their revisits."""
     spark = pages.sparkSession
     path = write_archives(pages, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
-    return assemble(read_records(spark, path, with_payload))
+    return resolve(assemble(read_records(spark, path, with_payload)))

@@ -321,12 +321,40 @@ def test_topk(spark):
     for i, q in {(i, q.tobytes()): (i, q) for i, q in ok if i % 50 == 0}.values():
         best = sorted(((-int(q @ v), j) for j, v in ok if j != i and len(v) == len(q)))[:5]
         want |= {(i, -s, j) for s, j in best}
-    for size in (1 << 30, 2000):
+    for size, boxes in ((1 << 30, 1 << 25), (2000, 1 << 25), (2000, 0)):
+        topk.BOX_BYTES = boxes
         got = topk.top_k(df, shard_bytes=size).collect()
         assert {(r.query_id, r.score, r.vec_id) for r in got if r.query_id != 50} == {w for w in want if w[0] != 50}
+    topk.BOX_BYTES = 32 << 20
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_of_large_numbers_and_copies(spark):
+    big = [(k, [float(x) for x in v]) for k, v in enumerate([(1e10, 1.0), (1e10, 2.0), (-1e10, 5.0), (3e7, 3e7), (1e300, 1.0), (2.0, 3.0), (1e6, 1e6)])]
+    rows = [(50 * i, v) for i, v in big] + [(1001 + 50 * k, [1.0, 2.0]) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    exact = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    clamp = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    want = set()
+    for i, q in exact:
+        if i % 50 == 0:
+            best = sorted((-clamp(sum(a * b for a, b in zip(q, v, strict=True))), j) for j, v in exact if j != i)[:5]
+            want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(best)}
+    for size in (1 << 30, 200):
+        assert {tuple(r) for r in topk.top_k(df, shard_bytes=size).collect()} == want
+
+
+def test_coarse_splits_rule_shards_out(spark):
+    rnd = np.random.default_rng(4)
+    center = rnd.normal(0, 4, (8, 6))
+    points = np.floor(256 * (center[rnd.integers(0, 8, 900)] + rnd.normal(0, 0.05, (900, 6))))
+    cell = topk.Split.fit(points[:300], 8).place(points)
+    assert len(set(cell.tolist())) == 8
+    # boxes of cells are tighter than the whole
+    whole = np.prod(points.max(0) - points.min(0))
+    assert max(np.prod(np.ptp(points[cell == c], axis=0)) for c in range(8)) < 0.3 * whole
+
+
 def test_tree_bounds():
     rnd = np.random.default_rng(3)
     points = rnd.integers(-300, 300, (500, 5)).astype(float)
@@ -464,26 +492,56 @@ def test_components_of_a_long_chain(spark):
 # --- 7
 
 
-def test_warc(spark):
+def digest32(t):
+    return __import__("base64").b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+
+
+def test_warc(spark, monkeypatch):
     tricky = "<p>a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nxyz</p>"
-    rows = [(1, "http://a/1", tricky, 5), (2, "http://b/2", "same", 5), (3, None, "same", 5), (4, "http://c/4\r\nX: y", None, 5), (5, "u", "", 5), (6, "http://é/6", "日本" * 50_000, 5), (3, None, "same", 6), (None, "n", "same", 1), (7, "q", "alone", 1), (7, "q", "other", 1)]
+    rows = [(1, "http://a/1", tricky, 5), (2, "http://b/2", "same", 5), (3, None, "same", 5), (4, "http://c/4\r\nX: y", None, 5), (5, "u", "", 5), (6, "http://é/6", "日本" * 50_000, 5), (3, None, "same", 6), (None, "n", "same", 1), (7, "q", "alone", 1), (7, "q", "other", 1), (None, None, "lost", 1), (None, None, "lost", 1)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, best int")
-    got = warc.round_trip(pages, with_payload=True).collect()
-    seen = {}
-    for r in got:
-        page = r.metadata.fields.get("page-id")
-        assert r.request is not None and r.request.target_uri == r.response.target_uri
-        seen[page and int(page), r.response.payload_digest] = (r.response.type, r.metadata.fields.get("duplicate-of-page"), r.response.http_length, r.response.payload)
-    digest = lambda t: __import__("base64").b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
-    assert len(got) == len(seen) == 9
-    assert seen[1, digest(tricky)] == ("response", None, len(tricky), bytearray(tricky.encode()))
-    assert seen[2, digest("same")] == ("revisit", "3", 4, None) and seen[3, digest("same")][0] == "response"
-    assert seen[None, digest("same")][:2] == ("revisit", "3")
-    assert seen[4, digest("")][:3] == ("revisit", "5", 0) and seen[5, digest("")][:3] == ("response", None, 0)
-    assert seen[6, digest("日本" * 50_000)][2] == 300_000
+    want = collections.Counter()
+    for h in {r[2] or "" for r in rows}:
+        ids = sorted((r[0] for r in rows if (r[2] or "") == h), key=lambda i: -(10**9) if i is None else i)
+        want[ids[-1], len(h.encode()), digest32(h), "response", None] += 1
+        for i in ids[:-1]:
+            want[i, len(h.encode()), digest32(h), "revisit", ids[-1]] += 1
+    for file_bytes in (warc.FILE_BYTES, 100):
+        monkeypatch.setattr(warc, "write_archives", lambda p, path, n=file_bytes, f=warc.write_archives: f(p, path, n))
+        got = warc.round_trip(pages, with_payload=True).collect()
+        monkeypatch.undo()
+        assert len(got) == len(rows)
+        seen = collections.Counter()
+        for r in got:
+            assert r.request is not None and r.request.target_uri == r.response.target_uri
+            page, origin = r.metadata.fields.get("page-id"), r.origin and r.origin.fields.get("page-id")
+            seen[page and int(page), r.response.http_length, r.response.payload_digest, r.response.type, origin and int(origin)] += 1
+            assert (r.response.payload is None) == (r.response.type == "revisit")
+        assert seen == want
+        assert bytearray(tricky.encode()) in [r.response.payload for r in got]
     assert warc.round_trip(pages.limit(0)).count() == 0
     with pytest.raises(ValueError):
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
+    with pytest.raises(ValueError):
+        list(warc.members(__import__("gzip").compress(b"cut off")[:-3]))
+
+
+def test_archives_are_gzip_members_a_record(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", f"{k}" * 500) for k in range(50)], "page_id bigint, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"file://{tmp_path}/w", 3000)
+    files = list((tmp_path / "w").glob("part-*"))
+    held = [list(warc.members(f.read_bytes())) for f in files]
+    assert len(files) > 5 and all(len(list(warc.parse(m))) == 1 for ms in held for m in ms) and sum(map(len, held)) == 150
+    assert __import__("gzip").decompress(files[0].read_bytes()).startswith(b"WARC/1.1")
+    big = b"x" * (1 << 24)  # its size does not end in a zero byte
+    assert list(warc.members(warc._archive([__import__("gzip").compress(big, 1)]) + b"\0")) == [big, b""]
+
+
+def test_a_revisit_must_match_its_response(spark):
+    found = warc.assemble(warc.read_records(spark, warc.write_archives(spark.createDataFrame([(1, "u", "x"), (2, "u", "x")], "page_id bigint, url string, html string"), f"{warc.shared_dir(spark)}/warc-wrong")))
+    bent = found.withColumn("response", F.col("response").withField("http_length", F.when(F.col("response.type") == "revisit", 9).otherwise(F.col("response.http_length"))))
+    with pytest.raises(Exception, match="does not match"):
+        warc.resolve(bent).collect()
 
 
 # --- 8
