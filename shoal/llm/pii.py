@@ -4,18 +4,25 @@ Base spans are found by the four fixed patterns of ``base_spans`` and always sta
 collected (matches that failed a check, spelled-out addresses, phone numbers without a plus, shorter card numbers). Four
 labelers vote on every candidate - pattern, gazetteer, context, shape - with yes, no or no opinion. Votes are counted over all
 documents by their combination; expectation-maximisation estimates each labeler's reliability for each kind and the
-posterior of each combination; a logistic span classifier is trained on these posteriors and decides which candidates join
-the base spans. Only the counted combinations (a few thousand at most, whatever the corpus) reach the driver.
-
-A null text is empty and has no spans. Offsets are code points. Whole texts are searched; every step is linear in the text's
-length. Repeated rows are handled each on its own; extra columns pass through ``mask`` and are ignored elsewhere.
+posterior of each combination. On candidates of a bounded sample (``MAX_TRAIN``, drawn by a hash of text and place) a logistic
+span classifier learns these posteriors from what the labelers do not see - the characters of the span, the words next to
+it, where it stands - beside their votes, and decides which candidates join the base spans. Only the counted combinations (a few
+thousand at most, whatever the corpus) and the sample reach the driver.
+
+A null text is empty and has no spans. Offsets are code points. Whole texts and whole spans are searched; every step is linear in
+the text's length, but for sorting the spans. Repeated rows are handled each on its own; extra columns pass through ``mask`` and
+are ignored elsewhere. An empty table gives no rows, and without candidates nothing is learned. Of added candidates that
+overlap another span of their kind the first one stays.
 """
 
 from __future__ import annotations
 
+import bisect
 import copy
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,6 +38,7 @@ KINDS = ("email", "ip", "card", "phone")
 EM_ROUNDS = 60
 PRIOR = 0.7
 KEEP_AT = 0.5
+PENALTY = 0.5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -93,17 +101,36 @@ def _ip_ok(s: str) -> bool:
     return all(len(x := p.lstrip("0")) <= 3 and int(x or 0) <= 255 for p in s.split("."))
 
 
+class _Spans:
+    """Spans as disjoint intervals, to ask whether another one overlaps any of them."""
+
+    def __init__(self, spans=()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect.bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
+
+
 def candidates(text: str) -> list[tuple[int, int, int, bool]]:
     """(kind, start, end, base) of base spans and of everything that might join them, by kind and start."""
     found = [(0, s, e, True) for s, e in _emails(text)] if "@" in text else []
-    if "dot" in text and _DOT.search(text):
-        for m in _AT.finditer(text):
-            s = m.start()
-            low = s
-            while low and text[low - 1] in _LOCAL and s - low < 64:
-                low -= 1
-            if low < s and (d := _SPELLED.match(text, s)) and _DOT.search(d.group(1)):
-                found.append((0, low, d.end(), False))
+    for m in _AT.finditer(text):
+        s = m.start()
+        if s and m.group()[0] in "[(" and text[s - 1].isspace():
+            s -= 1
+        low = s
+        while low and text[low - 1] in _LOCAL:
+            low -= 1
+        if low < s and (d := _SPELLED.match(text, s)) and (_DOT.search(d.group(1)) or m.group()[0] in "[("):
+            found.append((0, low, d.end(), False))
     if _DIGIT.search(text):
         if "." in text:
             found += [(1, m.start(), m.end(), _ip_ok(m.group())) for m in _IP.finditer(text)]
@@ -125,9 +152,9 @@ def candidates(text: str) -> list[tuple[int, int, int, bool]]:
                     head = re.sub("[ .-]?[0-9]+$", "", head)
                 if 8 <= len(_only_digits(head)) and head[-1:].isdigit():
                     phones.append((3, s, s + len(head), False))
-        taken = [(s, e) for _, s, e, _ in [*cards, *phones]]
+        taken = _Spans((s, e) for _, s, e, _ in [*cards, *phones])
         found += phones
-        found += [(3, m.start(), m.end(), False) for m in _LOOSE_PHONE.finditer(text) if not any(s < m.end() and m.start() < e for s, e in taken)]
+        found += [(3, m.start(), m.end(), False) for m in _LOOSE_PHONE.finditer(text) if not taken.meets(m.start(), m.end())]
     return sorted(found)
 
 
@@ -137,7 +164,7 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
 
 def votes(text: str, kind: int, start: int, end: int, base: bool) -> int:
     """The four labelers' votes (0 no opinion, 1 yes, 2 no) and the span's length class, as one number."""
-    s = text[start : min(end, start + 400)]
+    s = text[start:end]
     before = text[max(0, start - 40) : start].lower()
     name = KINDS[kind]
     pattern = 1 if base else 0
@@ -203,7 +230,38 @@ def em(kind: np.ndarray, code: np.ndarray, n: np.ndarray) -> np.ndarray:
     return post
 
 
-def _design(kind: np.ndarray, code: np.ndarray) -> np.ndarray:
+#: Candidates that the classifier learns from, at most; hash buckets of the words beside a span.
+MAX_TRAIN = 20_000
+WORDS = 32
+_LAST_WORD = re.compile(r"[^\W\d_]+(?=[\W\d_]*$)")
+_NEXT_WORD = re.compile(r"[\W\d_]*([^\W\d_]+)")
+N_SPAN = 9
+
+
+def span_features(text: str, start: int, end: int) -> tuple[int, ...]:
+    """What no labeler looks at: hashes of the words on either side (WORDS: none), shares of digits, letters and separators
+    in tenths, different digits, groups, where the span stands in its text in quarters, and its length in eighths of its logarithm."""
+    s = text[start:end]
+    before, after = _LAST_WORD.search(text, max(0, start - 40), start), _NEXT_WORD.match(text, end, end + 40)
+    word = lambda w: zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % WORDS
+    digits = sum(map(s.count, "0123456789"))
+    letters = sum(map(str.isalpha, s))
+    n = len(s)
+    return (
+        word(before.group()) if before else WORDS,
+        word(after.group(1)) if after else WORDS,
+        10 * digits // n,
+        10 * letters // n,
+        10 * (n - digits - letters) // n,
+        sum(c in s for c in "0123456789"),
+        min(9, len(re.findall("[0-9]+", s))),
+        4 * start // max(1, len(text)),
+        min(31, int(8 * math.log2(n))) // 2,
+    )
+
+
+def _design(kind: np.ndarray, code: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Rows of the classifier: votes and length class by kind, span features by kind, words on either side."""
     v = _split(code)
     cols = [np.ones(len(code))]
     for k in range(len(KINDS)):
@@ -212,78 +270,111 @@ def _design(kind: np.ndarray, code: np.ndarray) -> np.ndarray:
         for labeler in range(4):
             cols += [mine & (v[:, labeler] == 1), mine & (v[:, labeler] == 2)]
         cols += [mine & (v[:, 4] == s) for s in range(1, 4)]
+        cols += [mine * (spans[:, f] / 10) for f in range(2, N_SPAN)]
+    for side in (0, 1):
+        cols += [spans[:, side] == w for w in range(WORDS + 1)]
     return np.stack(cols, 1).astype(float)
 
 
-def train_classifier(kind: np.ndarray, code: np.ndarray, n: np.ndarray, post: np.ndarray) -> np.ndarray:
-    """The probability of every (kind, votes, length class): logistic regression on the posteriors, by Newton steps."""
-    grid_k, grid_c = (x.ravel() for x in np.meshgrid(np.arange(len(KINDS)), np.arange(N_VOTES), indexing="ij"))
-    every = _design(grid_k, grid_c)
-    if not len(kind):
-        return np.zeros((len(KINDS), N_VOTES))
-    x = _design(kind, code)
-    w = np.sqrt(n) / np.sqrt(n).sum() * len(n)
+def train_classifier(kind: np.ndarray, code: np.ndarray, spans: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression on the posteriors, by Newton steps with a small penalty."""
+    x = _design(kind, code, spans)
     b = np.zeros(x.shape[1])
-    for _ in range(30):
+    for _ in range(25 if len(kind) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        h = (x * (w * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(b))
-        b -= np.linalg.solve(h, x.T @ (w * (p - post)) + 0.05 * b)
-    return (1 / (1 + np.exp(-np.clip(every @ b, -30, 30)))).reshape(len(KINDS), N_VOTES)
+        h = (x * (p * (1 - p))[:, None]).T @ x + PENALTY * np.eye(len(b))
+        move = np.linalg.solve(h, x.T @ (p - post) + PENALTY * b)
+        b -= move
+        if np.abs(move).max() < 1e-8:
+            break
+    return b
+
+
+def probability(model: np.ndarray, kind: np.ndarray, code: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(_design(kind, code, spans) @ model, -30, 30)))
+
+
+CANDIDATE_SCHEMA = "doc_id long, kinds array<int>, starts array<int>, ends array<int>, bases array<boolean>, codes array<int>, features array<int>"
 
 
-CANDIDATE_SCHEMA = "doc_id long, kinds array<int>, starts array<int>, ends array<int>, bases array<boolean>, codes array<int>"
+def _described(text: str) -> list[tuple]:
+    """(kind, start, end, base, votes, span features) of each candidate."""
+    return [(*c, votes(text, *c), span_features(text, c[1], c[2])) for c in candidates(text)]
 
 
 def find_candidates(docs: DataFrame) -> DataFrame:
-    """Every document with its candidates and their votes."""
+    """Every document with its candidates, their votes and features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for x in b.column("text"):
-                text = x.as_py() or ""
-                c = candidates(text)
-                rows.append(([k for k, *_ in c], [s for _, s, *_ in c], [e for _, _, e, _ in c], [f for *_, f in c], [votes(text, *y) for y in c]))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int32()] * 3 + [pa.bool_(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.list_(t)) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "kinds", "starts", "ends", "bases", "codes"])
+                c = _described(x.as_py() or "")
+                rows.append((*([y[i] for y in c] for i in range(5)), [z for y in c for z in y[5]]))
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [pa.int32()] * 3 + [pa.bool_(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.list_(t)) for c, t in zip(cols, kinds, strict=True))], names=[c.split()[0] for c in CANDIDATE_SCHEMA.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CANDIDATE_SCHEMA)
 
 
-def _model(counted: list[tuple[int, int, int]]) -> np.ndarray:
+def _model(counted: list[tuple[int, int, int]], drawn: list[tuple]) -> np.ndarray:
+    """The classifier from the counts of all combinations, and rows (kind, votes, features) of the sample."""
+    if not counted:
+        return train_classifier(*(np.zeros(0, np.int64),) * 2, np.zeros((0, N_SPAN)), np.zeros(0))
     kind, code, n = (np.array([r[i] for r in counted], np.int64) for i in range(3))
-    return train_classifier(kind, code, n, em(kind, code, n.astype(float)))
+    post = dict(zip(zip(kind.tolist(), code.tolist(), strict=True), em(kind, code, n.astype(float)).tolist(), strict=True))
+    k, c = (np.array([r[i] for r in drawn], np.int64) for i in range(2))
+    return train_classifier(k, c, np.array([r[2] for r in drawn], float).reshape(-1, N_SPAN), np.array([post[a, b] for a, b in zip(k.tolist(), c.tolist(), strict=True)]))
+
+
+def _fit(rows: DataFrame) -> np.ndarray:
+    """From rows (kind, code, features), one a candidate or with n a number of equal ones."""
+    counted = sorted(tuple(r) for r in rows.groupBy("kind", "code").agg(F.sum("n")).collect())
+    total = sum(r[2] for r in counted)
+    share = min(1.0, MAX_TRAIN / max(1, total))
+    drawn = rows.where(F.col("draw") < share).select("kind", "code", "features").limit(2 * MAX_TRAIN).collect()
+    return _model(counted, sorted((r[0], r[1], list(r[2])) for r in drawn))
+
+
+def _draw(*parts) -> F.Column:
+    return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) / float(1 << 30)
 
 
 def fit(found: DataFrame) -> np.ndarray:
     """The classifier, from the votes on the candidates of all documents."""
-    both = found.select(F.explode(F.arrays_zip("kinds", "codes")).alias("c"))
-    return _model(sorted(tuple(r) for r in both.groupBy("c.kinds", "c.codes").count().collect()))
+    both = found.select("doc_id", "features", F.posexplode(F.arrays_zip("kinds", "codes", "starts", "ends")).alias("at", "c"))
+    mine = F.slice("features", F.col("at") * N_SPAN + 1, N_SPAN)
+    return _fit(both.select(F.col("c.kinds").alias("kind"), F.col("c.codes").alias("code"), F.lit(1).alias("n"), mine.alias("features"), _draw("doc_id", "c.starts", "c.ends").alias("draw")))
 
 
 def fit_on(docs: DataFrame) -> np.ndarray:
-    """The same in one pass over the texts that keeps no candidates: votes are counted in each partition, then summed."""
+    """The same from texts, by a stored table of their candidates' votes and features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
         for b in batches:
-            for x in b.column("text"):
-                text = x.as_py() or ""
-                total.update((c[0], votes(text, *c)) for c in candidates(text))
-        k, v = zip(*total, strict=True) if total else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(v, pa.int32()), pa.array(list(total.values()), pa.int64())], names=["kind", "code", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "kind int, code int, n long").groupBy("kind", "code").agg(F.sum("n").alias("n")).collect()
-    return _model(sorted(tuple(r) for r in rows))
-
-
-def chosen(found: list[tuple[int, int, int, bool, int]], model: np.ndarray) -> list[tuple[int, int, int]]:
-    """Base spans and the candidates that the classifier keeps; these never overlap another span of their kind."""
-    out = [(k, s, e) for k, s, e, base, _ in found if base]
-    for k, s, e, base, code in found:
-        if not base and model[k, code] >= KEEP_AT and not any(k == a and s < y and x < e for a, x, y in out):
-            out.append((k, s, e))
+            rows = [(k, v, list(f), s, e, len(text)) for x in b.column("text") for text in [x.as_py() or ""] for k, s, e, _, v, f in _described(text)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "code", "features", "s", "e", "size"])
+
+    rows = materialise(docs.select("text").mapInArrow(run, "kind int, code int, features array<int>, s int, e int, size int"), "pii-votes")
+    return _fit(rows.select("kind", "code", F.lit(1).alias("n"), "features", _draw("features", "s", "e", "size").alias("draw")))
+
+
+def chosen(found: list[tuple], model: np.ndarray) -> list[tuple[int, int, int]]:
+    """Base spans and the candidates (kind, start, end, base, votes, features) that the classifier keeps; these never overlap
+    another span of their kind."""
+    out = [x[:3] for x in found if x[3]]
+    loose = [x for x in found if not x[3]]
+    if loose:
+        p = probability(model, np.array([x[0] for x in loose]), np.array([x[4] for x in loose]), np.array([x[5] for x in loose], float))
+        taken = [_Spans((s, e) for a, s, e in out if a == k) for k in range(len(KINDS))]
+        last = [-1] * len(KINDS)
+        for (k, s, e, *_), q in zip(loose, p.tolist(), strict=True):  # by kind and start
+            if q >= KEEP_AT and s >= last[k] and not taken[k].meets(s, e):
+                out.append((k, s, e))
+                last[k] = e
     return sorted(out)
 
 
@@ -301,11 +392,12 @@ def spans(found: DataFrame, model: np.ndarray) -> DataFrame:
         nothing = (0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "")
         for b in batches:
             rows = []
-            for r in b.select(["kinds", "starts", "ends", "bases", "codes"]).to_pylist():
+            for r in b.select(["kinds", "starts", "ends", "bases", "codes", "features"]).to_pylist():
                 if not r["kinds"]:
                     rows.append(nothing)
                     continue
-                c = list(zip(*r.values(), strict=True))
+                f = r.pop("features")
+                c = list(zip(*r.values(), [f[i : i + N_SPAN] for i in range(0, len(f), N_SPAN)], strict=True))
                 base = [x[:3] for x in c if x[3]]
                 n = Counter(k for k, *_ in base)
                 rows.append((n[0], n[1], n[2], n[3], hashlib.sha256(written(base).encode()).hexdigest(), written(chosen(c, model))))
@@ -322,11 +414,11 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def masked(text: str, model: np.ndarray) -> str:
     """The text with each span (overlapping ones together) replaced by its kind in angle brackets."""
-    c = candidates(text)
+    c = _described(text)
     if not c:
         return text
     out, at = [], 0
-    for s, e, k in sorted((s, e, k) for k, s, e in chosen([(*x, votes(text, *x)) for x in c], model)):
+    for s, e, k in sorted((s, e, k) for k, s, e in chosen(c, model)):
         if s >= at:
             out += [text[at:s], f"<{KINDS[k].upper()}>"]
         at = max(at, e)

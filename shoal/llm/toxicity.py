@@ -6,15 +6,18 @@ rows are drawn from all rows that training may see, whatever their labels say. T
 sample (``MAX_POSITIVE``, ``MAX_UNLABELLED``, ``MAX_TRAIN_BYTES``); every document is scored, in whole.
 
 Features are the distinct words of a text (A-Z lower-cased, letters, digits and non-ASCII) and their first 4, 5 and 6 bytes,
-hashed to 2**BITS. Of these, training keeps those that stand in more positives than chance explains and whose
-prior-corrected precision (prior * share among positives / share among unlabelled) is high. A text's score is a calibrated
-sigmoid of its summed weights.
-Null and empty texts have no features and get the score of the bias.
-Repeated rows are scored alike; extra columns are ignored; with no toxic row to learn from, all scores are 0.
+hashed to 2**BITS. Training takes those that stand in more positives than chance explains (a wide choice, several thousand) and
+learns their weights from zero. The threshold is set on texts that were held back from training, and a text's score is a sigmoid
+of its summed weights around it.
+
+Null and empty texts have no features and get the score of the bias. Very long texts are scored whole, a text at a time. Repeated
+rows are scored alike (in training they count once in each class); ties at the threshold are positive. Extra columns pass through.
+With no toxic row to learn from, or an empty table of documents, all scores are 0. Rows without an id are scored, not learned from.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,13 +36,15 @@ MAX_POSITIVE = 4000
 MAX_UNLABELLED = 12000
 MAX_TRAIN_BYTES = 64 << 20
 STEPS = 300
+#: One in so many texts is held back from training, to set the threshold by.
+HELD_BACK = 5
 RATE = 0.05
 DECAY = 1e-3
 THRESHOLD = 0.7
 #: A feature must stand in as many positives, at as many standard deviations above chance, with such a precision.
 MIN_TEXTS = 4
-MIN_DEVIATIONS = 4.5
-MIN_PRECISION = 0.35
+MIN_DEVIATIONS = 2.5
+MIN_PRECISION = 0.05
 
 
 @dataclass
@@ -128,26 +133,24 @@ def _select(rows: list[tuple[str, bool]], pos: np.ndarray, prior: float) -> np.n
     return mask
 
 
-def train(rows: list[tuple[str, bool]], prior: float) -> Model:
-    """nnPU training with the sigmoid loss, full-batch, on the selected features."""
-    rows = list(dict(rows[::-1]).items())[::-1]  # copies count once
-    pos = np.array([p for _, p in rows], bool)
-    if not pos.any() or pos.all():
-        return Model(np.zeros(0, np.int64), np.zeros(0), 1.0, -40.0)
-    prior = min(max(prior, 1e-4), 0.5)
-    mask = _select(rows, pos, prior)
+def _matrix(rows: list[tuple[str, bool]], mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature number) pairs of the features of a mask."""
     number = np.cumsum(mask) - 1
     doc, feat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in range(0, len(rows), 256):
         d, f = features(*column_bytes(pa.array([t for t, _ in rows[i : i + 256]], pa.large_string())), mask)
         doc.append(d + i)
         feat.append(number[f])
-    doc, feat = np.concatenate(doc), np.concatenate(feat)
-    k, n_p, n_u = int(mask.sum()), int(pos.sum()), int((~pos).sum())
-    v, bias = np.full(k, 0.5), float(np.log(prior / (1 - prior)))
+    return np.concatenate(doc), np.concatenate(feat)
+
+
+def nnpu(doc: np.ndarray, feat: np.ndarray, pos: np.ndarray, k: int, prior: float, steps: int | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias from zero weights by full-batch steps on the non-negative risk with the sigmoid loss."""
+    n_p, n_u = int(pos.sum()), int((~pos).sum())
+    v, bias = np.zeros(k), float(np.log(prior / (1 - prior)))
     mean, square = np.zeros(k + 1), np.zeros(k + 1)
-    for step in range(1, STEPS + 1):
-        z = np.bincount(doc, weights=v[feat], minlength=len(rows)) + bias
+    for step in range(1, (STEPS if steps is None else steps) + 1):
+        z = np.bincount(doc, weights=v[feat], minlength=len(pos)) + bias
         s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         slope = s * (1 - s)
         # the sigmoid loss of label +1 is 1 - s, that of label -1 is s
@@ -161,7 +164,27 @@ def train(rows: list[tuple[str, bool]], prior: float) -> Model:
         move = RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
         v -= move[:-1]
         bias -= move[-1]
-    return calibrate(np.flatnonzero(mask), v, np.bincount(doc, weights=v[feat], minlength=len(rows)), pos, prior)
+    return v, bias
+
+
+def train(rows: list[tuple[str, bool]], prior: float, steps: int | None = None) -> Model:
+    """nnPU on four fifths of the rows, the threshold on the others (split by the text). The unlabelled rows keep whatever
+    positives they hold, as the risk estimate asks; copies count once within each class."""
+    rows = list(dict.fromkeys(rows))
+    if not any(p for _, p in rows) or all(p for _, p in rows):
+        return Model(np.zeros(0, np.int64), np.zeros(0), 1.0, -40.0)
+    back = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % HELD_BACK == 0 for t, _ in rows])
+    pos = np.array([p for _, p in rows], bool)
+    if min(pos[back].sum(), (~pos[back]).sum(), pos[~back].sum(), (~pos[~back]).sum()) < 4:  # too few to hold any back
+        learn = judge = np.arange(len(rows))
+    else:
+        learn, judge = np.flatnonzero(~back), np.flatnonzero(back)
+    prior = min(max(prior, 1e-4), 0.5)
+    taught = [rows[i] for i in learn]
+    mask = _select(taught, pos[learn], prior)
+    v, _ = nnpu(*_matrix(taught, mask), pos[learn], int(mask.sum()), prior, steps)
+    doc, feat = _matrix([rows[i] for i in judge], mask)
+    return calibrate(np.flatnonzero(mask), v, np.bincount(doc, weights=v[feat], minlength=len(judge)), pos[judge], prior)
 
 
 def calibrate(known: np.ndarray, v: np.ndarray, z: np.ndarray, pos: np.ndarray, prior: float) -> Model:

@@ -643,7 +643,11 @@ def test_pii(spark):
         want[i, n[0], n[1], n[2], n[3], hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in s).encode()).hexdigest()] += 1
     assert collections.Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got) == want
     of = {r.doc_id: r.spans for r in got}
-    assert of[800] == "email:5:22,ip:50:58,card:65:84,phone:29:46" or of[800].count(":") == 8
+    assert of[800] == "email:5:22,ip:50:58,card:65:84,phone:29:46"
+    assert of[802] == "ip:19:27,phone:0:17"
+    jane, jo = "jane [at] mail [dot] example [dot] com", "jo at site dot org"
+    assert of[801] == f"email:9:{9 + len(jane)},email:{13 + len(jane)}:{13 + len(jane) + len(jo)}"
+    assert "ip:" not in of[803] and "card:" not in of[803] and "phone:4:16" in of[803]
     assert pii.detect(frame(spark, [])).count() == 0
     for i, t in rows:  # all base spans stay
         text = of[i] if i is not None and i >= 800 else None
@@ -669,8 +673,40 @@ def test_em_learns_reliabilities():
     post = pii.em(np.zeros(len(kinds), int), kinds, n.astype(float))
     hit = (post[np.searchsorted(kinds, code)] > 0.5) == truth
     assert hit.mean() > 0.93
-    model = pii.train_classifier(np.zeros(len(kinds), int), kinds, n, post)
-    assert ((model[0, code] > 0.5) == truth).mean() > 0.9
+
+
+def test_the_span_classifier_adds_to_the_votes():
+    """Votes that are right for nine in ten, and words beside the span that always tell: the classifier finds these."""
+    rnd = np.random.default_rng(3)
+    truth = rnd.random(6000) < 0.5
+    vote = np.where(rnd.random(6000) < 0.8, truth, ~truth)
+    code = np.where(vote, 40, 80) * 4
+    post = np.where(vote, 0.8, 0.2)
+    spans = np.zeros((6000, pii.N_SPAN))
+    spans[:, 0] = np.where(truth, rnd.integers(0, 16, 6000), rnd.integers(16, 32, 6000))
+    kind = np.zeros(6000, np.int64)
+    model = pii.train_classifier(kind, code, spans, post)
+    same_votes = np.flatnonzero(code == 40 * 4)
+    p = pii.probability(model, kind[same_votes], code[same_votes], spans[same_votes])
+    right, wrong = p[truth[same_votes]], p[~truth[same_votes]]
+    assert right.mean() > wrong.mean() and len(np.unique(np.round(p, 6))) > 1  # unlike the posterior, which is one number
+    assert pii.span_features("call 555-0100 now", 5, 13)[:2] != pii.span_features("order 555-0100 now", 6, 14)[:2]
+
+
+def test_candidates_in_capitals_and_brackets_and_many():
+    found = lambda t: [t[s:e] for k, s, e, _ in pii.candidates(t) if k == 0]
+    assert found("JANE [AT] MAIL [DOT] COM") == ["JANE [AT] MAIL [DOT] COM"]
+    assert found("jane [at] mail.com") == ["jane [at] mail.com"] and found("meet at site.org") == []
+    import time
+
+    model = pii._model([], [])
+    for unit in ("555-555-0123 ", "+1 2 ", "a [at] b [dot] c ", "1.2.3.4.5 ", "4111111111111112 ", "a@b.c "):
+        took = []
+        for n in (2000, 8000):
+            t = time.perf_counter()
+            pii.masked(unit * n, model)
+            took.append(time.perf_counter() - t)
+        assert took[1] < 9 * took[0] + 0.3
 
 
 # --- 10
@@ -701,6 +737,28 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model, "tox").count() == 0
 
 
+def test_nnpu_learns_weights_that_a_word_list_has_not():
+    """Two kinds of words are more frequent among positives, but only one of them tells; equal weights for both do worse."""
+    rnd = np.random.default_rng(7)
+    toxic = np.append(np.ones(400, bool), rnd.random(3000) < 0.1)
+    labelled = np.append(np.ones(400, bool), np.zeros(3000, bool))  # the others keep their positives
+    has = np.zeros((3400, 40), bool)
+    has[:, :10] = rnd.random((3400, 10)) < np.where(toxic, 0.35, 0.01)[:, None]
+    has[:, 10:] = rnd.random((3400, 30)) < np.where(toxic, 0.3, 0.2)[:, None]
+    doc, feat = np.nonzero(has)
+    v, _ = toxicity.nnpu(doc, feat, labelled, 40, 0.1)
+
+    def auc(score):
+        rank = score[~labelled].argsort(kind="stable").argsort(kind="stable")
+        t = toxic[~labelled]
+        return (rank[t].sum() - t.sum() * (t.sum() - 1) / 2) / (t.sum() * (~t).sum())
+
+    assert auc(has @ v) > auc(has.sum(1) + rnd.random(3400) * 1e-6) + 0.02
+    assert v[:10].mean() > 3 * abs(v[10:].mean())
+    untrained = toxicity.nnpu(doc, feat, labelled, 40, 0.1, steps=0)[0]
+    assert not untrained.any()
+
+
 def test_toxicity_sample_keeps_both_classes_within_the_bytes(spark, monkeypatch):
     rows = [(i, f"{i:04d} " + "vile " * 199) for i in range(100)] + [(i, f"{i:04d} " + "fine " * 199) for i in range(100, 400)] + [(999, "é" * 30000)]
     labels = spark.createDataFrame([(i, 1, int(i < 100)) for i in range(200)], "doc_id bigint, quality int, toxic int")
