@@ -3,11 +3,16 @@
 Each language has a probability for every piece of a fixed public vocabulary. A word's likelihood is the sum over all its
 segmentations into pieces, by the forward algorithm; a text's is the product over its words. Piece probabilities come from
 expectation-maximisation (forward-backward counts) over word counts of a bounded sample of labelled texts, drawn by the
-hash of the id (``MAX_DOCS``, ``MAX_BYTES`` over all languages). Whole texts are scored, with word scores kept between texts.
+hash of the id (``MAX_DOCS``, ``MAX_BYTES`` over all languages, no text over a language's share of the bytes); every language is trained
+in a task of its own. Whole texts are scored, with word scores kept between texts.
 
-Words stand between white space, A-Z lower-cased; a word starts with the vocabulary's word mark; stretches of ``MAX_WORD``
-code points are scored separately, and a code point outside the vocabulary has a small fixed probability. A null text, or one
-without a letter, is ``und`` with score 1. Repeated rows get the same answer; extra columns are ignored.
+Words stand between white space, A-Z lower-cased; a word starts with the vocabulary's word mark, and a code point outside the
+vocabulary has a small fixed probability. Words of any length are summed over all their segmentations: those of up to
+``MAX_WORD`` code points side by side, longer ones each on its own in the logarithmic domain.
+
+A null text, or one without a letter, is ``und`` with score 1; so is every text if nothing could be learned. A very long text is
+scored whole. Equal likelihoods go to the language that comes first in the alphabet. Repeated rows get the same answer; rows
+without an id are scored, not learned from; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -79,16 +84,61 @@ def load_pieces(path: str) -> list[str]:
     return [sp.id_to_piece(i) for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
 
 
+class LongWord:
+    """One word of any length: its pieces by where they end, and sums over all segmentations in the logarithmic domain."""
+
+    def __init__(self, word: str, vocab: Vocabulary):
+        code = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        self.size = n = len(code)
+        h, starts, pieces, ends = np.zeros(n, np.uint64), [], [], []
+        for m in range(1, min(vocab.longest, n) + 1):
+            h = h[: n - m + 1] * _B + code[m - 1 :]
+            hit, piece = vocab.find(mix(h))
+            if m == 1:  # a code point that is no piece is an unknown one
+                alone = np.setdiff1d(np.arange(n), hit)
+                hit, piece = np.append(hit, alone), np.append(piece, np.full(len(alone), -1))
+            starts.append(hit)
+            pieces.append(piece)
+            ends.append(hit + m)
+        s, p, e = (np.concatenate(x) for x in (starts, pieces, ends))
+        by = np.argsort(e, kind="stable")
+        self.s, self.p, self.e = s[by], p[by], e[by]
+        self.cut = np.searchsorted(self.e, np.arange(n + 2))
+
+    def forward(self, logs: np.ndarray) -> np.ndarray:
+        """log of the forward sums: positions x languages. logs: of a table of pieces x languages."""
+        out = np.full((self.size + 1, logs.shape[1]), -np.inf)
+        out[0] = 0
+        w = logs[self.p]
+        for j in range(1, self.size + 1):
+            x = slice(self.cut[j], self.cut[j + 1])
+            out[j] = np.logaddexp.reduce(out[self.s[x]] + w[x], axis=0)
+        return out
+
+    def expected(self, logs: np.ndarray) -> np.ndarray:
+        """Expected piece counts for a table of one language."""
+        a, b = self.forward(logs)[:, 0], np.full(self.size + 1, -np.inf)
+        b[-1] = 0
+        w = logs[self.p, 0]
+        by = np.argsort(-self.s, kind="stable")
+        cut = np.searchsorted(-self.s[by], -np.arange(self.size, -2, -1))
+        for k, j in enumerate(range(self.size, -1, -1)):
+            x = by[cut[k] : cut[k + 1]]
+            if len(x):
+                b[j] = np.logaddexp.reduce(w[x] + b[self.e[x]])
+        gamma = np.exp(a[self.s] + w + b[self.e] - a[-1])
+        known = self.p >= 0
+        return np.bincount(self.p[known], weights=gamma[known], minlength=len(logs) - 1)
+
+
 class Lattice:
     """All pieces in a list of words: for each length the start positions, and the pieces there."""
 
     def __init__(self, found: list[str], vocab: Vocabulary):
-        parts, owner = [], []
-        for k, w in enumerate(found):
-            w = MARK + w
-            for i in range(0, len(w), MAX_WORD):
-                parts.append(w[i : i + MAX_WORD])
-                owner.append(k)
+        marked = [MARK + w for w in found]
+        owner = [k for k, w in enumerate(marked) if len(w) <= MAX_WORD]
+        parts = [marked[k] for k in owner]
+        self.long = [(k, LongWord(w, vocab)) for k, w in enumerate(marked) if len(w) > MAX_WORD]
         self.owner = np.array(owner, np.int64)
         self.n_words = len(found)
         code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
@@ -152,7 +202,11 @@ class Lattice:
         alpha, _ = self.forward(table)
         z = np.log(np.maximum(self.total(alpha), 1e-300)) - (self.size[self.rank] * np.log(LIFT))[:, None]
         out = np.zeros((self.n_words, table.shape[1]))
-        np.add.at(out, self.owner[self.rank], z)
+        out[self.owner[self.rank]] = z
+        if self.long:
+            logs = np.log(np.maximum(table, 1e-300))
+            for k, w in self.long:
+                out[k] = w.forward(logs)[-1]
         return out
 
     def expected(self, table: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -170,7 +224,10 @@ class Lattice:
         z = np.maximum(alpha[last, np.arange(len(last))], 1e-300)
         gamma = alpha[self.s, self.c] * weight * beta[self.e, self.c] * (counts[self.owner[self.rank]] / z)[self.c]
         known = self.p >= 0
-        return np.bincount(self.p[known], weights=gamma[known], minlength=len(table) - 1)
+        out = np.bincount(self.p[known], weights=gamma[known], minlength=len(table) - 1)
+        for k, w in self.long:
+            out += counts[k] * w.expected(np.log(np.maximum(table, 1e-300)))
+        return out
 
 
 @dataclass
@@ -207,24 +264,41 @@ def fit(docs: DataFrame, usable: Column, pieces: list[str], max_docs: int = MAX_
     if not sizes:
         return None
     each, share = max(1, max_docs // len(sizes)), max_bytes // len(sizes)
-    pick = F.lit(False)
-    for lang, n in sorted(sizes.items()):
-        pick = pick | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) < int(min(1.0, each / n) * (1 << 30))))
-    counts: dict[str, Counter] = defaultdict(Counter)
-    used: Counter = Counter()
-    for lang, text in known.where(pick).select("lang", "text").toLocalIterator():
-        if used[lang] < share:  # the text that crosses the bound still counts whole
-            counts[lang].update(_words_of(text))
-        used[lang] += len(text)
-        if all(used[x] >= share for x in sizes):
-            break
-    languages = sorted(x for x in counts if counts[x])
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30))
+    rows = known.where(F.octet_length("text") <= share)
+
+    def picked(shares: dict[str, float]) -> DataFrame:
+        pick = F.lit(False)
+        for lang, x in sorted(shares.items()):
+            pick = pick | ((F.col("lang") == lang) & (draw < int(min(1.0, x) * (1 << 30))))
+        return rows.where(pick)
+
+    shares = {lang: min(1.0, each / n) for lang, n in sizes.items()}
+    taken = {r[0]: r[1] for r in picked(shares).groupBy("lang").agg(F.sum(F.octet_length("text"))).collect()}
+    shares = {lang: x * min(1.0, share / max(1, taken.get(lang) or 0)) for lang, x in shares.items()}
+    sent = docs.sparkSession.sparkContext.broadcast(pieces)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: dict[str, Counter] = defaultdict(Counter)
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+                found[lang].update(_words_of(text))
+            triples = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
+            cols = list(zip(*triples, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "word", "n"])
+
+    def train(t: pa.Table) -> pa.Table:
+        counts = Counter(dict(zip(t.column("word").to_pylist(), t.column("n").to_pylist(), strict=True)))
+        p = train_language(counts, Vocabulary.of(sent.value))
+        return pa.table({"lang": t.column("lang").slice(0, 1), "p": pa.array([p.tobytes()], pa.binary())})
+
+    counted = picked(shares).select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    learned = {r[0]: np.frombuffer(bytes(r[1])) for r in counted.groupBy("lang").applyInArrow(train, "lang string, p binary").collect()}
+    languages = sorted(learned)
     if not languages:
         return None
-    vocab = Vocabulary.of(pieces)
-    table = np.stack([train_language(counts[x], vocab) for x in languages], 1)
     n = np.array([sizes[x] for x in languages], float)
-    return Model(languages, vocab, table, np.log(n / n.sum()))
+    return Model(languages, Vocabulary.of(pieces), np.stack([learned[x] for x in languages], 1), np.log(n / n.sum()))
 
 
 class Scorer:

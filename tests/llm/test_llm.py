@@ -294,6 +294,80 @@ def test_language_forward_sums_all_segmentations(spark):
     assert abs(counts[np.searchsorted(vocab.hashes, np.uint64(langid.string_hash("b")))] - 2 * p["b"] * (p["▁a"] + p["▁"] * p["a"]) / brute("▁ab")) < 1e-9
 
 
+def test_language_sums_across_long_words():
+    rnd = random.Random(9)
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "▁ab", "bab", "aabb"]
+    vocab = langid.Vocabulary.of(pieces)
+    table = np.zeros((len(pieces) + 1, 2))
+    for k, s in enumerate(pieces):
+        table[np.searchsorted(vocab.hashes, np.uint64(langid.string_hash(s)))] = 0.05 + 0.02 * k, 0.2 - 0.01 * k
+    table[-1] = 1e-3
+
+    def brute(word):  # over all segmentations, from the left, with exact integers' worth of digits
+        from decimal import Decimal
+
+        p = {s: Decimal(float(table[np.searchsorted(vocab.hashes, np.uint64(langid.string_hash(s))), 1])) for s in pieces}
+        sums = [Decimal(1)]
+        for j in range(1, len(word) + 1):
+            sums.append(sum((sums[j - n] * p[word[j - n : j]] for n in range(1, min(5, j) + 1) if word[j - n : j] in p), Decimal(0)) + (sums[j - 1] * Decimal(1e-3) if word[j - 1] not in p else 0))
+        return float(sums[-1].ln())
+
+    words = ["".join(rnd.choice("ab" if rnd.random() < 0.95 else "c") for _ in range(n)) for n in (38, 39, 40, 41, 80, 300, 3000)]
+    got = langid.Lattice(words, vocab).scores(table)
+    assert np.allclose(got[:, 1], [brute("▁" + w) for w in words])
+    # both ways count the same pieces
+    for w in ("ab" * 19, "abba" * 9):
+        short = langid.Lattice([w], vocab).expected(table[:, :1], np.array([3.0]))
+        assert np.allclose(short, 3 * langid.LongWord("▁" + w, vocab).expected(np.log(table[:, :1])))
+
+
+def test_language_against_brute_force(spark):
+    """Training and prediction of the whole operator, repeated with plain dictionaries."""
+    pieces = ["▁", *"abcdehlotr", "he", "▁ha", "ll", "or", "▁t", "▁d"]
+    texts = [(1, "hello there all", "en"), (2, "the door there", "en"), (3, "hallo dort", "de"), (4, "der hall dort", "de"), (5, "other doll", None), (None, "dort", "de"), (6, "x" * 60 + " hello", None), (5, "other doll", None)]
+    docs = spark.createDataFrame([(i, t, x, 0) for i, t, x in texts], "doc_id bigint, text string, lang string, Score int")
+    usable = lambda i: i is not None and i != 4
+    known = sorted(pieces)
+
+    def segmentations(w):
+        if not w:
+            yield []
+        for n in range(1, len(w) + 1):
+            if w[:n] in known or n == 1:
+                for rest in segmentations(w[n:]):
+                    yield [w[:n], *rest]
+
+    def likelihood(parts, p):
+        return math.prod(p.get(x, langid.UNKNOWN) for x in parts)
+
+    models = {}
+    for lang in ("de", "en"):
+        counts = collections.Counter(w for i, t, x in texts if x == lang and usable(i) for w in t.split())
+        p = {x: 1 / len(known) for x in known}
+        for _ in range(langid.ROUNDS):
+            got = dict.fromkeys(known, 0.0)
+            for w, n in counts.items():
+                paths = [(s, likelihood(s, p)) for s in segmentations("▁" + w)]
+                z = sum(x for _, x in paths)
+                for s, x in paths:
+                    for piece in s:
+                        if piece in got:
+                            got[piece] += n * x / z
+            total = sum(got.values())
+            p = {x: (got[x] + langid.SMOOTH) / (total + langid.SMOOTH * len(known)) for x in known}
+        models[lang] = p
+    rows = sum(usable(i) and x is not None for i, t, x in texts)
+    prior = {x: sum(usable(i) and y == x for i, t, y in texts) / rows for x in models}
+    model = langid.fit(docs, F.col("doc_id") != 4, pieces)
+    out = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
+    for i, t, _ in texts:
+        if i != 6:
+            logs = {x: math.log(prior[x]) + sum(math.log(sum(likelihood(s, p) for s in segmentations("▁" + w))) for w in t.split()) for x, p in models.items()}
+            best = max(logs, key=logs.get)
+            assert out[i][0] == best and abs(out[i][1] - 1 / sum(math.exp(v - logs[best]) for v in logs.values())) < 1e-5
+    assert out[6][0] in models
+
+
 def test_language(spark, small):
     got = {r.doc_id: r for r in queries.op4_language(spark, small).collect()}
     lang = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{small}/documents.parquet'").fetchall())
