@@ -24,6 +24,7 @@ from base64 import b32encode
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,13 +62,22 @@ def _head(fields: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(*lines, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF + CRLF), block)
 
 
+def _with_row(pages: DataFrame) -> DataFrame:
+    """pages(page_id, url, html) with a text for each row that no other row has and that is the same in every run: of files their name
+    and the row's number there, of other sources a number that is stored with them."""
+    try:
+        where = F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
+        return pages.select("page_id", "url", "html", where.alias("row"))
+    except AnalysisException:  # not the plain scan of a table
+        return materialise(pages.select("page_id", "url", "html", F.monotonically_increasing_id().cast("string").alias("row")), "pages")
+
+
 def records(pages: DataFrame) -> DataFrame:
     """The records of pages(page_id, url, html), a string each."""
     clean = F.regexp_replace("url", "[\r\n\t ]", "%20")
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), clean.alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    # stored with a number of its own for every row, so that both sides of the join are plain scans, and a digest that a third of the
-    # rows share can be split
-    p = materialise(p.withColumn("sha1", F.sha1("html")).withColumn("bytes", F.octet_length("html").cast("long")).withColumn("row", F.monotonically_increasing_id()), "pages")
+    # both sides of the join are plain scans, so that a digest that a third of the rows share can be split
+    p = _with_row(pages).select(F.col("page_id").cast("long").alias("page_id"), clean.alias("url"), F.coalesce("html", F.lit("")).alias("html"), "row")
+    p = p.withColumn("sha1", F.sha1("html")).withColumn("bytes", F.octet_length("html").cast("long"))
     best = materialise(p.groupBy("sha1", "bytes").agg(F.max(F.struct("page_id", "row", "url")).alias("best")), "payloads")
     p = p.join(best.select("sha1", "bytes", "best"), ["sha1", "bytes"], "left")
     revisit = F.col("row") != F.col("best.row")
