@@ -6,16 +6,19 @@ strings, so strings are dealt to buckets by minimizer:
 
 1. every lot sends its distinct minimizers, and learns which of them stand in other documents too;
 2. for those, a lot sends the stretches of text that they cover to the minimizer's bucket. A bucket concatenates its
-   distinct stretches in the order of their smallest document, sorts the suffixes by their first ``LENGTH`` bytes, and keeps the
-   index: the run-length encoded transform, text positions sampled at the ends of its runs, and the thresholds where two
-   neighbouring suffixes agree in fewer than ``LENGTH`` bytes. The stretches are then streamed from right to left through the
-   index: each step is an LF step over the runs, and the statistic of a place is the source of its longest match, the first
-   document of the interval that the thresholds bound. Matches are sent back to the lots as runs;
+   distinct stretches, sorts their suffixes and keeps the index (``RunIndex``): the run-length encoded transform with the number of
+   each run's byte before it, text positions sampled at the ends of the runs, the rank of each stretch's end, and the thresholds
+   between suffixes that agree in fewer than ``LENGTH`` bytes, each with the rank of its string in the first document. The suffix array
+   is dropped. The stretches are then streamed from right to left: each step is an LF step over the runs, the threshold gives the
+   first document's suffix, the nearest sample its position, and the statistic of a place is that position and how far the match
+   goes on. Matches of ``LENGTH`` bytes and more are sent back to the lots as runs;
 3. every lot marks the bytes of matches whose source is a smaller id.
 
 Identical stretches are indexed once a bucket with their smallest document, so thousands of copies cost a lot each, not
-a pair each. Matches never cross documents. Rows with a null id keep all bytes and are no source; rows that share an id are no
-source for each other; null texts are empty. Extra columns are ignored; an empty table gives no rows.
+a pair each; a stretch of one repeated minimizer is cut into parts of ``PART`` strings, so a long run of one byte is a few equal
+stretches. Matches never cross documents. Rows with a null id keep all bytes and are no source; rows that share an id are no
+source for each other; null texts are empty. Very long texts are a lot of their own. Extra columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from .lots import Lot, by_bucket, pack, squeeze, store, table_of, unpack, unsque
 
 LENGTH = 50
 SEED = 24
+#: Strings of one minimizer in a stretch at most.
+PART = 256
 #: Bits of a minimizer's hash that travel; a collision only sends text that turns out to be unique.
 HASH_BITS = 48
 #: Input bytes for each bucket.
@@ -103,9 +108,13 @@ class Stretches:
             at = np.flatnonzero(edge)
             size = np.diff(np.append(at, len(m)))
             good = ~bad[at]
-            first = at[good]
+            first, size = at[good], size[good]
+            parts_of = -(-size // PART)  # long stretches are cut
+            which = np.repeat(np.arange(len(first)), parts_of)
+            off = (np.arange(len(which)) - np.repeat(np.cumsum(parts_of) - parts_of, parts_of)) * PART
+            first, size = first[which] + off, np.minimum(PART, size[which] - off)
             # least hashes are small numbers, so they are mixed again before they are dealt out by their first bits
-            parts.append((mix(m[first]) >> np.uint64(64 - HASH_BITS), np.searchsorted(lot.offs, first + a, side="right") - 1, first + a, size[good]))
+            parts.append((mix(m[first]) >> np.uint64(64 - HASH_BITS), np.searchsorted(lot.offs, first + a, side="right") - 1, first + a, size))
         if not parts:
             z = np.zeros(0, np.int64)
             return cls(np.zeros(0, np.uint64), z, z, z)
@@ -226,88 +235,142 @@ class Marks:
 
 
 class RunIndex:
-    """The run-compressed transform of stretches of text, for matches of a fixed least length.
-
-    text: the stretches one after another, in the order of their documents; only suffixes that are long enough are sorted,
-    by their first ``length`` bytes, equal ones by place. Kept are: the runs of the transform (first rank and preceding byte,
-    with a byte of its own for the start of a stretch), the text positions of the first and last suffix of every run, for the
-    LF steps where each run's byte begins among the suffixes, and the thresholds (ranks whose suffix agrees with the one
-    before in fewer bytes) with the text position there."""
-
-    def __init__(self, text: np.ndarray, start: np.ndarray, size: np.ndarray, length: int = LENGTH):
-        self.length = length
-        count = size - length + 1
-        self.start, self.count = start, count
+    """The run-compressed transform of stretches of text, through which they are matched with each other.
+
+    Suffixes end with their stretch, equal ones are in the order of the stretches, and those of fewer than ``length`` - 1 bytes are
+    left out, since no match of ``length`` bytes needs them. An LF step leads from a suffix to the one a byte further left, which has
+    ``length`` bytes at least; so its rank among those is counted from the runs, and then shifted by the shortest ones before it.
+
+    Kept are, for each run: its first rank, its byte (-1: the start of a stretch, each a run), where the suffixes that begin with its
+    byte stand, and the text positions of its first and last suffix; the ranks of the shortest suffixes, by rank and by stretch;
+    the thresholds (ranks whose suffix agrees with the one before in fewer than ``length`` bytes) and for each the rank of the string in
+    its first document; the text."""
+
+    def __init__(self, text: np.ndarray, start: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int = LENGTH):
+        self.length, self.text, self.start, self.size = length, text, start, size
+        count = size - length + 2
+        stretch = np.repeat(np.arange(len(start)), count)
         place = np.arange(int(count.sum())) + np.repeat(start - (np.cumsum(count) - count), count)
-        rank_of, heads, sa = _sort(text, place, length)
-        begins = np.isin(place, start, assume_unique=True)[sa]
-        before = np.where(begins, 0, text[np.maximum(place - 1, 0)[sa]].astype(np.int64) + 1)
-        # LF: where the suffix one step to the left stands. A run goes on while that moves by one, too: the order by the
-        # first bytes only, and the ends of stretches, would else let neighbours part
-        target = np.where(begins, -1, rank_of[np.maximum(sa - 1, 0)])
-        n = len(sa)
-        new = np.ones(n, bool)
-        new[1:] = (before[1:] != before[:-1]) | (~begins[1:] & (target[1:] != target[:-1] + 1))
-        self.run_start = np.flatnonzero(new)
+        end = (start + size)[stretch]
+        order, heads = _sort(text, place, end, stretch, length)
+        place, stretch, end = place[order], stretch[order], end[order]
+        n = len(place)
+        short = end - place == length - 1
+        before = np.where(place == start[stretch], -1, text[np.maximum(place - 1, 0)].astype(np.int64))
+        self.run_start = np.flatnonzero(np.append(True, (before[1:] != before[:-1]) | (before[1:] < 0))[:n])
         self.run_byte = before[self.run_start]
-        self.run_target = target[self.run_start]
-        ends = np.append(self.run_start[1:], n) - 1
-        self.head_sample, self.tail_sample = place[sa[self.run_start]], place[sa[ends]]
+        run_len = np.diff(np.append(self.run_start, n))
+        self.run_last = self.run_start + run_len - 1
+        self.head_sample, self.tail_sample = place[self.run_start], place[self.run_last]
+        # how many suffixes of length bytes or more begin with a smaller byte, and how many of a run's byte stand before the run
+        smaller = np.append(0, np.cumsum(np.bincount(text[place[~short]], minlength=256)))[:256]
+        by_byte = np.argsort(self.run_byte, kind="stable")
+        sums, byte = np.cumsum(run_len[by_byte]) - run_len[by_byte], self.run_byte[by_byte]
+        self.run_target = np.empty(len(byte), np.int64)
+        self.run_target[by_byte] = smaller[np.maximum(byte, 0)] + sums - sums[np.searchsorted(byte, byte)]
+        ranks = np.flatnonzero(short)
+        self.shorts = ranks - np.arange(len(ranks))
+        self.entry = np.empty(len(start), np.int64)
+        self.entry[stretch[ranks]] = ranks
         self.runs, self.threshold = Marks(self.run_start, n), Marks(heads, n)
-        self.threshold_sample = place[sa[heads]]
-        last = np.searchsorted(place, start + count - 1)
-        self.entry = rank_of[last]  # of each stretch, the rank of its last suffix
+        group = self.threshold.last(np.arange(n))
+        doc = np.where(short, np.iinfo(np.int64).max, owner[stretch])
+        best = np.lexsort((place, doc, group))
+        self.threshold_rank = best[np.searchsorted(group[best], np.arange(len(heads)))]
         self.n = n
 
-    def lf(self, rank: np.ndarray) -> np.ndarray:
-        """The rank of the suffix one byte further left; equal neighbours in a run stay neighbours."""
-        run = self.runs.last(rank)
-        return self.run_target[run] + rank - self.run_start[run]
-
-    def sources(self) -> tuple[np.ndarray, np.ndarray]:
-        """Streams all stretches right to left; (place, text position of the first equal string) in no special order."""
-        rank, at, left = self.entry.copy(), self.start + self.count - 1, self.count.copy()
-        places, found = [], []
+    def lf(self, rank: np.ndarray, run: np.ndarray) -> np.ndarray:
+        """The rank of the suffix one byte further left."""
+        among = self.run_target[run] + rank - self.run_start[run]
+        return among + np.searchsorted(self.shorts, among, side="right")
+
+    def locate(self, rank: np.ndarray) -> np.ndarray:
+        """Text positions of suffixes: LF steps until one is the first or last of a run."""
+        out = np.empty(len(rank), np.int64)
+        who, steps = np.arange(len(rank)), 0
+        while len(who):
+            run = self.runs.last(rank)
+            head, tail = rank == self.run_start[run], rank == self.run_last[run]
+            out[who[head]] = self.head_sample[run[head]] + steps
+            out[who[tail]] = self.tail_sample[run[tail]] + steps
+            go = ~(head | tail)
+            who, rank, steps = who[go], self.lf(rank[go], run[go]), steps + 1
+        return out
+
+    def _agree(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """In how many bytes, at most so many, the text agrees at two positions."""
+        out = np.zeros(len(a), np.int64)
+        live = np.flatnonzero(most > 0)
+        while len(live):
+            live = live[self.text[a[live] + out[live]] == self.text[b[live] + out[live]]]
+            out[live] += 1
+            live = live[out[live] < most[live]]
+        return out
+
+    def stream(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of all stretches, right to left: (place of a string of ``length`` bytes, the position of its first
+        place in its first document, the length of the match from there, up to the end of either stretch)."""
+        first = self.locate(self.threshold_rank)
+        ends = self.start + self.size
+        room = ends[np.searchsorted(ends, first, side="right")] if len(first) else first
+        rank, at, left = self.entry, ends - self.length + 1, self.size - self.length + 1
+        stop, source, far = ends, np.full(len(at), -2), np.zeros(len(at), np.int64)
+        places, sources, lengths = [], [], []
         while len(rank):
-            head = self.threshold.last(rank)
+            rank, at = self.lf(rank, self.runs.last(rank)), at - 1
+            t = self.threshold.last(rank)
+            now = first[t]
+            far = np.where(now + 1 == source, far + 1, 0)
+            fresh = np.flatnonzero(far == 0)  # another match: at least length bytes, and on from there
+            a, b = now[fresh] + self.length, at[fresh] + self.length
+            far[fresh] = self.length + self._agree(a, b, np.minimum(room[t[fresh]] - a, stop[fresh] - b))
+            source = now
             places.append(at)
-            found.append(self.threshold_sample[head])
+            sources.append(source)
+            lengths.append(far)
             more = left > 1
-            rank, at, left = self.lf(rank[more]), at[more] - 1, left[more] - 1
-        return (np.concatenate(places), np.concatenate(found)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            rank, at, left, stop, source, far = rank[more], at[more], left[more] - 1, stop[more], source[more], far[more]
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (places, sources, lengths))
 
 
-def _sort(text: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rank of each place, ranks at which a new string begins, the places' numbers by rank): by the first bytes, then by place.
+def _sort(text: np.ndarray, place: np.ndarray, end: np.ndarray, stretch: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the suffixes' numbers in order, the ranks at which another string of ``length`` bytes begins).
 
-    Eight bytes are compared at a time; only ties are looked at again."""
+    Eight bytes are compared at a time, a suffix's end being less than any byte; only ties are looked at again. Suffixes that are
+    equal to their end are in the order of their stretches."""
     n = len(place)
     if not n:
         z = np.zeros(0, np.int64)
-        return z, z, z
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    word = np.ndarray(len(text), ">u8", padded, strides=(1,))  # the eight bytes from each place on
-    key = word[place].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    new = np.append(True, key[1:] != key[:-1])
-    for at in range(8, length, 8):
-        group = np.cumsum(new) - 1
-        size = np.bincount(group)
-        tied = np.flatnonzero(size[group] > 1)
+        return z, z
+    word = np.ndarray(len(text) + 1, ">u8", np.concatenate([text, np.zeros(8, np.uint8)]), strides=(1,))  # the eight bytes from each place on
+    left = end - place
+    order = np.lexsort((stretch, left))  # what all sorts below leave alone: the shorter first
+    new = np.zeros(n, bool)
+    new[0] = True
+    heads, at = None, 0
+    steps = [*range(8, length, 8), length]
+    while True:
+        if at >= length and heads is None:
+            heads = np.flatnonzero(new)
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, n))
+        longest = np.maximum.reduceat(left[order], first)
+        tied = np.flatnonzero(np.repeat((size > 1) & (longest > at), size))
         if not len(tied):
-            break
-        key = word[place[order[tied]] + at].astype(np.uint64)
-        if at + 8 > length:
-            key = key >> np.uint64(8 * (at + 8 - length))
-        by = np.lexsort((key, group[tied]))
-        order[tied] = order[tied][by]
-        key, g = key[by], group[tied]
-        fresh = np.append(True, (key[1:] != key[:-1]) | (g[1:] != g[:-1]))
-        new[tied] |= fresh
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    return rank, np.flatnonzero(new), order
+            if heads is None:
+                heads = np.flatnonzero(new)
+            return order, heads
+        width = min(8, next((x for x in steps if x > at), at + 8) - at)
+        who = order[tied]
+        rest = np.minimum(left[who] - at, width)
+        key = np.where(rest > 0, word[np.minimum(place[who] + at, len(text))].astype(np.uint64), np.uint64(0))
+        key &= ~((np.uint64(1) << (np.uint64(8) * (np.uint64(8) - np.clip(rest, 1, 8).astype(np.uint64)))) - np.uint64(1))
+        group = (np.cumsum(new) - 1)[tied]
+        by = np.lexsort((key, group)) if at else np.argsort(key, kind="stable")
+        order[tied] = who[by]
+        key, g = key[by], group[by]
+        new[tied] |= np.append(True, (key[1:] != key[:-1]) | (g[1:] != g[:-1]))
+        at += width
 
 
 def _match(length: int):
@@ -331,11 +394,9 @@ def _match(length: int):
         which, one = rank[which], one[by_doc]
         text, size_d = gather(data, start[one], size[one]), size[one]
         start_d = np.cumsum(size_d) - size_d
-        index = RunIndex(text, start_d, size_d, length)
-        place, found = index.sources()
-        owner = doc[one][np.searchsorted(start_d, found, side="right") - 1]
-        by = np.argsort(place)
-        owner = owner[by]
+        index = RunIndex(text, start_d, size_d, doc[one], length)
+        place, found, _ = index.stream()
+        owner = doc[one][np.searchsorted(start_d, found[np.argsort(place)], side="right") - 1]
         # runs of places with one source, by stretch
         count = size_d - length + 1
         stretch = np.repeat(np.arange(len(one)), count)

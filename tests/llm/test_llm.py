@@ -80,22 +80,52 @@ def test_repeats(spark):
     assert runindex.duplicate_spans(frame(spark, [])).count() == 0
 
 
-def test_run_index_finds_first_sources():
+@pytest.mark.parametrize("letters", ["ab", "a", "abcd", "\0a", "\0"])
+def test_run_index_matches_like_brute_force(letters):
+    """Positions, first documents and lengths of matches from the index alone: it holds no suffix array."""
     rnd = random.Random(2)
-    for _ in range(20):
-        parts = ["".join(rnd.choice("ab") for _ in range(rnd.randrange(8, 60))) for _ in range(6)]
+    for _ in range(40):
+        n = rnd.choice([3, 8, 12])
+        parts = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(n, 60))) for _ in range(6)]
+        parts += [parts[0][: n + 1], parts[1]]
+        docs = np.array([rnd.randrange(5) for _ in parts])
         text = np.frombuffer("".join(parts).encode(), np.uint8)
         size = np.array([len(p) for p in parts])
         start = np.cumsum(size) - size
-        index = runindex.RunIndex(text, start, size, 8)
-        place, found = index.sources()
+        index = runindex.RunIndex(text, start, size, docs, n)
+        for name in ("rank_of", "order", "sa"):
+            assert not hasattr(index, name)
+        suffixes = sorted((p[k:], s, s + k) for s, p in zip(start.tolist(), parts, strict=True) for k in range(len(p) - n + 2))
+        assert index.locate(np.arange(index.n)).tolist() == [x[2] for x in suffixes]
+        place, source, length = index.stream()
         first = {}
-        for s, p in zip(start, parts, strict=True):
-            for k in range(len(p) - 7):
-                first.setdefault(p[k : k + 8], s + k)
-        want = {s + k: first[p[k : k + 8]] for s, p in zip(start, parts, strict=True) for k in range(len(p) - 7)}
-        assert dict(zip(place.tolist(), found.tolist(), strict=True)) == want
-        assert len(index.run_start) <= index.n
+        for d, s, p in zip(docs.tolist(), start.tolist(), parts, strict=True):
+            for k in range(len(p) - n + 1):
+                first[p[k : k + n]] = min(first.get(p[k : k + n], (9, 0)), (d, s + k))
+        want = {}
+        for s, p in zip(start.tolist(), parts, strict=True):
+            for k in range(len(p) - n + 1):
+                x = first[p[k : k + n]][1]
+                other = next(q[x - t :] for t, q in zip(start.tolist(), parts, strict=True) if t <= x < t + len(q))
+                m = 0
+                while m < min(len(other), len(p) - k) and other[m] == p[k + m]:
+                    m += 1
+                want[s + k] = (x, m)
+        assert {a: (b, c) for a, b, c in zip(place.tolist(), source.tolist(), length.tolist(), strict=True)} == want
+
+
+def test_runs_are_fewer_than_suffixes_in_repetitive_text():
+    base = RND.randbytes(300)
+    parts = [base[: 300 - k] for k in range(40)]
+    size = np.array([len(p) for p in parts])
+    index = runindex.RunIndex(np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size, np.arange(40), 50)
+    assert len(index.run_start) < index.n / 10
+
+
+def test_long_runs_of_one_byte(spark):
+    rows = [(1, "x" * 3000), (2, "x" * 5000 + "y" * 700), (3, "y" * 60 + "z"), (4, "ab" * 900), (5, "ba" * 900)]
+    got = runindex.duplicate_spans(frame(spark, rows).repartition(2)).drop("starts", "ends").collect()
+    assert counted(got) == counted(brute_repeats(rows))
 
 
 # --- 2
