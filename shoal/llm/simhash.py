@@ -9,9 +9,11 @@ number of buckets follows theirs, so neither a table entry nor a task grows with
 
 ``similar_rows`` finds texts whose sets of ``WORDS``-word shingles have a Jaccard similarity of ``SIMILARITY`` or more. A
 fingerprint that is wide enough for that (more segments for more texts, see ``segment_plan``) is searched by the same balls;
-candidates are verified first by the distance of 64 more bits, then by the exact similarity of the shingle sets. Where more
-than ``SMALL`` texts meet in a table, leaders are linked instead of all pairs; afterwards texts of such tables that are still in
-different groups are compared as well, so no link is lost to the short cut.
+candidates are verified first by the distance of 64 more bits, then by the exact similarity of the shingle sets. Texts that meet
+in a table are not paired with each other all: each becomes a candidate with the first and the nearest text there, and as it
+meets others in some twenty tables under some ten keys each, groups come together over many ways; where more than ``SMALL`` meet,
+with their leaders, and afterwards texts of such tables that are still in different groups are compared again. A link can be lost if
+none of these ways is similar enough; the tests and the README say what was measured against brute force.
 
 Links that meet are joined by alternating star contractions; only counts reach the driver.
 
@@ -52,6 +54,8 @@ SIMILARITY = 0.8
 CHECK_DISTANCE = 19
 #: Share of the pairs of the least similarity that may meet in no table.
 MISS = 0.01
+#: Times that large groups are looked through again for texts whose groups differ.
+ROUNDS = 4
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -306,23 +310,40 @@ def _sketches(rows: DataFrame, row: str, words: int, shingle: int) -> DataFrame:
     return rows.select(row, "text").mapInArrow(run, "node long, n int, c1 long, c2 long, check long, fps binary")
 
 
-def _leaders(key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Candidate pairs: all of small groups, of large ones each entry with the first leader within the distance; and the large groups."""
+def _neighbours(key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Candidate pairs of entries of an equal key: each entry with the least node before it within the distance, and with the nearest
+    one, so that pairs do not outnumber entries; in large groups with the first leader within the distance; and the large groups."""
     order = np.lexsort((node, key))
     key, fp, node = key[order], fp[order], node[order]
     new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])) if len(key) else np.zeros(0, bool)
     key, fp, node = key[new], fp[new], node[new]
-    a, b, first, size = _small_groups(key, fp, node, distance)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(key)))
+    small = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
+    k2, f2, n2 = key[small], fp[small], node[small]
+    least, near, best = np.full(len(small), -1), np.full(len(small), -1), np.full(len(small), distance + 1)
+    for shift in range(1, int(min(SMALL, size.max(initial=1)))):
+        later = np.flatnonzero(k2[shift:] == k2[:-shift]) + shift
+        d = np.bitwise_count(f2[later] ^ f2[later - shift]).astype(np.int64)
+        ok = d <= distance
+        least[later[ok]] = later[ok] - shift  # greater shifts lead to lesser nodes
+        closer = d < best[later]
+        near[later[closer]], best[later[closer]] = later[closer] - shift, d[closer]
+    a, b = [], []
+    for to in (least, near):
+        has = np.flatnonzero(to >= 0)
+        a.append(n2[to[has]])
+        b.append(n2[has])
     large = []
-    for i, m in zip(first.tolist(), size.tolist(), strict=True):
+    for i, m in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
         f, v = fp[i : i + m], node[i : i + m]
         large.append((v, f))
         left = np.arange(m)
         while len(left) > 1:
-            near = np.bitwise_count(f[left] ^ f[left[0]]) <= distance
-            a.append(np.full(int(near.sum()) - 1, v[left[0]]))
-            b.append(v[left[near][1:]])
-            left = left[~near]
+            close = np.bitwise_count(f[left] ^ f[left[0]]) <= distance
+            a.append(np.full(int(close.sum()) - 1, v[left[0]]))
+            b.append(v[left[close][1:]])
+            left = left[~close]
     return *_pairs(a, b), large
 
 
@@ -330,7 +351,7 @@ def _candidates(entries: DataFrame, distance: int) -> DataFrame:
     """Rows (a, b) of candidate pairs, and rows (nodes, checks) of the groups that were compared by their leaders only."""
 
     def meet(t: pa.Table) -> pa.Table:
-        a, b, large = _leaders(*_unpacked(t), distance)
+        a, b, large = _neighbours(*_unpacked(t), distance)
         k, n = len(a), len(large)
         blobs = [pa.array([None] * k + [x[i].tobytes() for x in large], pa.binary()) for i in (0, 1)]
         ab = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(n, pa.int64())]) for x in (a, b)]
@@ -363,7 +384,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, row: str, shingle: int, similar
 
 
 def _between(groups: DataFrame, labels: DataFrame, distance: int) -> DataFrame:
-    """Of large groups, the pairs within the distance whose labels differ."""
+    """Of large groups, pairs within the distance whose labels differ: each node outside the largest label with the least and the nearest."""
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -375,12 +396,15 @@ def _between(groups: DataFrame, labels: DataFrame, distance: int) -> DataFrame:
         label, node, fp = (t.column(c).to_numpy() for c in ("label", "node", "fp"))
         order = np.lexsort((node, label))
         label, node, fp = label[order], node[order], fp[order].view(np.uint64)
-        end = np.searchsorted(label, label, side="right")
+        names, size = np.unique(label, return_counts=True)
         a, b = [], []
-        for i in np.flatnonzero(end < len(label)).tolist():
-            near = end[i] + np.flatnonzero(np.bitwise_count(fp[end[i] :] ^ fp[i]) <= distance)
-            a.append(np.full(len(near), node[i]))
-            b.append(node[near])
+        for i in np.flatnonzero(label != names[size.argmax()]).tolist():  # every other label's nodes look round
+            d = np.where(label != label[i], np.bitwise_count(fp ^ fp[i]), 65)
+            close = np.flatnonzero(d <= distance)
+            if len(close):
+                to = np.array([node[close].min(), node[d.argmin()]])
+                a.append(np.full(2, node[i]))
+                b.append(to)
         a, b = _pairs(a, b)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -401,13 +425,16 @@ def similar_rows(rows: DataFrame, row: str, shingle: int = WORDS, similarity: fl
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
     distance = max(CHECK_DISTANCE, math.ceil(64 * differ + 3.2 * math.sqrt(64 * differ * (1 - differ))))
     met = materialise(_candidates(_deal(reps.where("n > 0").select("node", "check", "fps"), ("node", "check"), words, segments, buckets or _buckets(n, segments)), distance), "met")
-    first = met.where("a IS NOT NULL").select("a", "b")
-    links = _verified(first, rows, row, shingle, similarity)
+    tested = met.where("a IS NOT NULL").select("a", "b")
+    links = _verified(tested, rows, row, shingle, similarity)
     labels = materialise(components(links), "labels")
     groups = met.where("nodes IS NOT NULL").select(F.monotonically_increasing_id().alias("g"), "nodes", "checks")
-    if groups.head(1):
-        more = _between(groups, labels, distance).join(first.distinct(), ["a", "b"], "left_anti")
-        links = links.union(_verified(more, rows, row, shingle, similarity))
+    for _ in range(ROUNDS if groups.head(1) else 0):
+        asked = materialise(_between(groups, labels, distance).join(tested.distinct(), ["a", "b"], "left_anti").distinct(), "between")
+        more = _verified(asked, rows, row, shingle, similarity)
+        if not more.head(1):
+            break
+        tested, links = tested.union(asked), links.union(more)
         labels = materialise(components(links), "labels")
     of = reps.join(labels, "node", "left").select("n", "c1", "c2", F.coalesce("component", "node").alias("group"))
     of = materialise(of, "labels")
