@@ -7,13 +7,14 @@ of its segment values and of all values with up to radius more bits set - two va
 union of their bits - and what is fetched is verified on all 64 bits. Wider segments are used for more fingerprints, and the
 number of buckets follows theirs, so neither a table entry nor a task grows with the corpus. Equal fingerprints are one entry.
 
-``similar_rows`` finds texts whose sets of ``WORDS``-word shingles have a Jaccard similarity of ``SIMILARITY`` or more. A
-fingerprint that is wide enough for that (more segments for more texts, see ``segment_plan``) is searched by the same balls;
-candidates are verified first by the distance of 64 more bits, then by the exact similarity of the shingle sets. Texts that meet
-in a table are not paired with each other all: each becomes a candidate with the first and the nearest text there, and as it
-meets others in some twenty tables under some ten keys each, groups come together over many ways; where more than ``SMALL`` meet,
-with their leaders, and afterwards texts of such tables that are still in different groups are compared again. A link can be lost if
-none of these ways is similar enough; the tests and the README say what was measured against brute force.
+``similar_rows`` finds texts whose sets of ``WORDS``-word shingles have a Jaccard similarity of ``SIMILARITY`` or more, all of them,
+by prefix filtering. All shingles have one order, those that a sample found in many texts last; two sets of n shingles or fewer that
+are so similar share one of the first n - ceil(similarity * n) + 1 of each. Each distinct set is put under these first shingles.
+Where up to ``SMALL`` sets meet, all pairs that their sizes and the shingle's places in them allow are candidates; where more meet, all.
+What candidates connect is a block, in which each set stands once, however many shingles it shares. A block is searched for its links
+whole: a bitmap of each set bounds the difference of two from below, and what it lets through is verified on the whole sets. In blocks of
+more than ``BLOCK`` sets the pairs of the small meetings are verified one by one, and what the large ones alone connect is searched two
+parts at a time, every two parts. The order and the sample decide on the time only, never on the result.
 
 Links that meet are joined by alternating star contractions; only counts reach the driver.
 
@@ -41,7 +42,7 @@ DISTANCE = 4
 #: (first bit, bits, radius of the ball): for up to 2 ** 23 fingerprints, and for more.
 SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
 WIDE_SEGMENTS = ((0, 32, 2), (32, 32, 1))
-#: Groups up to this size are compared in all pairs; larger ones by their leaders.
+#: Groups up to this size are compared in all pairs; larger ones by their leaders (fingerprints) or in blocks (sets of shingles).
 SMALL = 48
 SEED = 42
 #: Fingerprints whose table entries are dealt to the buckets together, and entries for each bucket.
@@ -50,12 +51,18 @@ BUCKET_ENTRIES = 1 << 21
 
 WORDS = 5
 SIMILARITY = 0.8
-#: Bits of the check fingerprint that texts of the least similarity exceed once in about a thousand times.
-CHECK_DISTANCE = 19
-#: Share of the pairs of the least similarity that may meet in no table.
+#: Share of the pairs of the least similarity that may meet in no table of a ``segment_plan``.
 MISS = 0.01
-#: Times that large groups are looked through again for texts whose groups differ.
-ROUNDS = 4
+#: For the order of shingles: one text in so many is counted, at most, and of SAMPLE_TEXTS texts or fewer each; the shingles that
+#: are in so many of these are frequent, and so many of the most frequent are kept.
+SAMPLE_EVERY, SAMPLE_TEXTS, FREQUENT, MOST_FREQUENT = 16, 1 << 14, 3, 1 << 18
+#: Bytes of first shingles that are dealt to the buckets together, and entries for each bucket.
+DEAL_BYTES = 1 << 22
+PREFIX_ENTRIES = 1 << 19
+#: Sets of a block that one task compares (of two parts, each half), and sets of small blocks for each task.
+BLOCK, BLOCK_DEAL = 1 << 14, 1 << 12
+#: Row numbers that a join may broadcast.
+SMALL_TABLE = 1 << 20
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -188,33 +195,30 @@ def _pairs(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
     return pair[:, 0], pair[:, 1]
 
 
-def _deal(reps: DataFrame, columns: tuple[str, str], words: int, segments, buckets: int) -> DataFrame:
-    """The table entries of reps(node, fps binary, check long), packed: a row for each bucket of every DEAL_ROWS fingerprints."""
+def _dealt(key: np.ndarray, fp: np.ndarray, node: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Table entries, packed: a row for each bucket."""
+    bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    ids, first = np.unique(bucket, return_index=True)
+    ends = np.append(first[1:], len(bucket))
+    blobs = [[x[i:j].tobytes() for i, j in zip(first, ends, strict=True)] for x in (key[order], fp[order], node[order])]
+    return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "keys", "fps", "nodes"])
 
-    def deal(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        node, check = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in columns)
-        fps = check.view(np.uint64)
-        if words:
-            fps = np.frombuffer(b"".join(x for b in held for x in b.column("fps").to_pylist()), np.uint64).reshape(-1, words)
-        key, who = table_entries(fps, segments)
-        bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        bucket, key, who = bucket[order], key[order], who[order]
-        ids, first = np.unique(bucket, return_index=True)
-        ends = np.append(first[1:], len(bucket))
-        blobs = [[x[i:j].tobytes() for i, j in zip(first, ends, strict=True)] for x in (key, check[who], node[who])]
-        return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "keys", "fps", "nodes"])
+
+def _deal(reps: DataFrame, entries, full) -> DataFrame:
+    """The packed table entries of reps: of as many batches together as are full."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for b in batches:
             held.append(b)
-            if sum(x.num_rows for x in held) >= DEAL_ROWS:
-                yield deal(held)
+            if full(held):
+                yield entries(held)
                 held = []
                 release_memory()
         if held:
-            yield deal(held)
+            yield entries(held)
 
     return reps.mapInArrow(spread, "bucket int, keys binary, fps binary, nodes binary")
 
@@ -233,8 +237,13 @@ def link(reps: DataFrame, buckets: int, distance: int = DISTANCE, segments=SEGME
         a, b = forest(*_unpacked(t), distance)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    entries = _deal(reps.select("node", "fp"), ("node", "fp"), 0, segments, buckets)
-    return entries.groupBy("bucket").applyInArrow(tidy(meet), "a long, b long")
+    def entries(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        node, fp = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("node", "fp"))
+        key, who = table_entries(fp.view(np.uint64), segments)
+        return _dealt(key, fp[who], node[who], buckets)
+
+    dealt = _deal(reps.select("node", "fp"), entries, lambda held: sum(b.num_rows for b in held) >= DEAL_ROWS)
+    return dealt.groupBy("bucket").applyInArrow(tidy(meet), "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -291,79 +300,109 @@ def segment_plan(n: int, similarity: float = SIMILARITY, miss: float = MISS) ->
     return tuple((64 + k * bits, bits, 1) for k in range(math.ceil(math.log(miss) / math.log(1 - meet))))
 
 
-def _sketches(rows: DataFrame, row: str, words: int, shingle: int) -> DataFrame:
-    """(node, n, c1, c2, check, fps) of each row: the size and a 128-bit digest of its shingle set, and its wide fingerprint."""
+def _frequent(rows: DataFrame, row: str, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of shingles that many texts of a sample have, sorted, and the rank of each by frequency (1: the rarest)."""
+    every = min(SAMPLE_EVERY, max(1, n // SAMPLE_TEXTS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(_bytes(x), shingle)).view(np.int64))], names=["h"])
+            release_memory()
+
+    sample = rows.where(F.pmod(F.xxhash64(row), F.lit(every)) == 0).select("text")
+    counts = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    found = counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
+    h, count = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    rank = np.empty(len(h), np.int64)
+    rank[np.lexsort((h, count))] = np.arange(1, len(h) + 1)
+    order = np.argsort(h)
+    return h[order], rank[order]
+
+
+def prefix(h: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Of a sorted set of hashes the first ones in the common order: one of them is in every set that is similar enough."""
+    size = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
+    known, rank = frequent
+    if not len(known):
+        return h[:size]
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return h[np.argsort(np.where(known[at] == h, rank[at], 0), kind="stable")[:size]]
+
+
+def _sketches(rows: DataFrame, row: str, frequent: tuple[np.ndarray, np.ndarray], shingle: int, similarity: float) -> DataFrame:
+    """(node, n, c1, c2, prefix) of each row: the size and a 128-bit digest of its shingle set, and its first shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for x in b.column("text"):
                 h = np.unique(shingle_hashes(_bytes(x), shingle))
-                fp = majority(h, words)
                 c1, c2 = (int(mix(h + np.uint64(s)).sum(dtype=np.uint64).view(np.int64)) for s in (1, 2))
-                out.append((len(h), c1, c2, int(fp[:1].view(np.int64)[0]), fp.tobytes()))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([b.column(row), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["node", "n", "c1", "c2", "check", "fps"])
+                out.append((len(h), c1, c2, prefix(h, frequent, similarity).tobytes()))
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([b.column(row), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["node", "n", "c1", "c2", "prefix"])
             release_memory()
 
-    return rows.select(row, "text").mapInArrow(run, "node long, n int, c1 long, c2 long, check long, fps binary")
+    return rows.select(row, "text").mapInArrow(run, "node long, n int, c1 long, c2 long, prefix binary")
 
 
-def _neighbours(key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Candidate pairs of entries of an equal key: each entry with the least node before it within the distance, and with the nearest
-    one, so that pairs do not outnumber entries; in large groups with the first leader within the distance; and the large groups."""
-    order = np.lexsort((node, key))
-    key, fp, node = key[order], fp[order], node[order]
-    new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])) if len(key) else np.zeros(0, bool)
-    key, fp, node = key[new], fp[new], node[new]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(key)))
-    small = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
-    k2, f2, n2 = key[small], fp[small], node[small]
-    least, near, best = np.full(len(small), -1), np.full(len(small), -1), np.full(len(small), distance + 1)
-    for shift in range(1, int(min(SMALL, size.max(initial=1)))):
-        later = np.flatnonzero(k2[shift:] == k2[:-shift]) + shift
-        d = np.bitwise_count(f2[later] ^ f2[later - shift]).astype(np.int64)
-        ok = d <= distance
-        least[later[ok]] = later[ok] - shift  # greater shifts lead to lesser nodes
-        closer = d < best[later]
-        near[later[closer]], best[later[closer]] = later[closer] - shift, d[closer]
-    a, b = [], []
-    for to in (least, near):
-        has = np.flatnonzero(to >= 0)
-        a.append(n2[to[has]])
-        b.append(n2[has])
-    large = []
-    for i, m in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-        f, v = fp[i : i + m], node[i : i + m]
-        large.append((v, f))
-        left = np.arange(m)
-        while len(left) > 1:
-            close = np.bitwise_count(f[left] ^ f[left[0]]) <= distance
-            a.append(np.full(int(close.sum()) - 1, v[left[0]]))
-            b.append(v[left[close][1:]])
-            left = left[~close]
-    return *_pairs(a, b), large
+def _prefix_entries(buckets: int):
+    """Packed entries of sets under their first shingles, each with the shingle's place in the set and the set's size."""
 
+    def entries(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        node, n = (np.concatenate([b.column(c).to_numpy() for b in held]).astype(np.int64) for c in ("node", "n"))
+        parts = [np.frombuffer(x, np.uint64) for b in held for x in b.column("prefix").to_pylist()]
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        return _dealt(np.concatenate(parts), place << 32 | np.repeat(n, size), np.repeat(node, size), buckets)
 
-def _candidates(entries: DataFrame, distance: int) -> DataFrame:
-    """Rows (a, b) of candidate pairs, and rows (nodes, checks) of the groups that were compared by their leaders only."""
+    return entries
 
-    def meet(t: pa.Table) -> pa.Table:
-        a, b, large = _neighbours(*_unpacked(t), distance)
-        k, n = len(a), len(large)
-        blobs = [pa.array([None] * k + [x[i].tobytes() for x in large], pa.binary()) for i in (0, 1)]
-        ab = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(n, pa.int64())]) for x in (a, b)]
-        return pa.table([*ab, *blobs], names=["a", "b", "nodes", "checks"])
 
-    return entries.groupBy("bucket").applyInArrow(tidy(meet), "a long, b long, nodes binary, checks binary")
+def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least node reachable over the edges, node) for every node but these least ones."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    up = np.arange(len(nodes))
+    while True:
+        x, y = up[a], up[b]
+        if (x == y).all():
+            break
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while (up[up] != up).any():
+            up = up[up]
+    low = np.flatnonzero(up != np.arange(len(nodes)))
+    return nodes[up[low]], nodes[low]
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, row: str, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of row numbers whose shingle sets are similar enough."""
-    pairs = materialise(pairs.distinct(), "candidates")
-    nodes = pairs.select(F.col("a").alias(row)).union(pairs.select("b")).distinct()
+def _meetings(key: np.ndarray, place_size: np.ndarray, node: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries of an equal key: in small groups the pairs that can be similar enough, and large groups as a forest (a, b, a, b).
+
+    At the first shingle that two sets share, at most that one and the later ones of both are common."""
+    order = np.lexsort((node, key))
+    key, place_size, node = key[order], place_size[order], node[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(key)))
+    small = np.repeat((size > 1) & (size <= SMALL), size)
+    k, v = key[small], node[small]
+    n = (place_size[small] & 0xFFFFFFFF).astype(np.int64)
+    rest = n - (place_size[small] >> 32).astype(np.int64)
+    a, b = [], []
+    for shift in range(1, int(min(SMALL, size.max(initial=1)))):
+        i = np.flatnonzero(k[shift:] == k[:-shift])
+        j = i + shift
+        can = np.minimum(rest[i], rest[j]) * (1 + similarity) >= similarity * (n[i] + n[j]) - 1e-6
+        a.append(v[i[can]])
+        b.append(v[j[can]])
+    large = np.flatnonzero(np.repeat(size > SMALL, size))
+    lead = np.repeat(first, size)[large]
+    return *_pairs(a, b), *star_forest(node[lead], node[large])
+
+
+def _sets(rows: DataFrame, row: str, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, s): the shingle sets of those row numbers, sorted without sign."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -373,7 +412,17 @@ def _verified(pairs: DataFrame, rows: DataFrame, row: str, shingle: int, similar
             yield pa.RecordBatch.from_arrays([b.column(row), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat))], names=["node", "s"])
             release_memory()
 
-    sets = materialise(rows.select(row, "text").join(nodes, row, "left_semi").select(row, "text").mapInArrow(run, "node long, s array<long>"), "shingle-sets")
+    nodes = materialise(nodes.select(F.col("node").alias(row)).distinct(), "asked")
+    if nodes.count() <= SMALL_TABLE:
+        nodes = F.broadcast(nodes)
+    return materialise(rows.select(row, "text").join(nodes, row, "left_semi").select(row, "text").mapInArrow(run, "node long, s array<long>"), "shingle-sets")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, row: str, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of row numbers whose shingle sets are similar enough."""
+    pairs = materialise(pairs.distinct(), "candidates")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    sets = _sets(rows, row, nodes, shingle)
     a = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
     met = pairs.join(a, "a").join(b, "b")
@@ -383,59 +432,111 @@ def _verified(pairs: DataFrame, rows: DataFrame, row: str, shingle: int, similar
     return materialise(met.where(common >= least * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "similar")
 
 
-def _between(groups: DataFrame, labels: DataFrame, distance: int) -> DataFrame:
-    """Of large groups, pairs within the distance whose labels differ: each node outside the largest label with the least and the nearest."""
+def similar_forest(flat: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (numbers of sets) that connect whatever is similar enough; flat: the sorted sets, one after another.
+
+    A set's bitmap tells for each of its bits whether an odd number of its hashes falls there, so the bitmaps of two sets differ in
+    no more bits than the sets do in hashes."""
+    m = len(size)
+    order = np.argsort(size, kind="stable")
+    start = (np.cumsum(size) - size)[order]
+    n = size[order]
+    bits = 64 << min(6, max(2, int(np.median(n) * 4).bit_length() - 6)) if m else 64
+    maps = np.empty((m, bits // 64), np.uint64)
+    for i in range(m):
+        odd = np.bincount((mix(flat[start[i] : start[i] + n[i]]) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+        maps[i] = np.packbits(odd.astype(bool)).view(np.uint64)
+    least = similarity - 1e-12
+    a, b = [], []
+    left, queue = np.arange(m), []
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+        cur = queue.pop()
+        mine = flat[start[cur] : start[cur] + n[cur]]
+        lo, hi = np.searchsorted(n[left], [least * n[cur], n[cur] / least + 1])
+        some = left[lo:hi]
+        differ = np.bitwise_count(maps[some] ^ maps[cur]).sum(1, dtype=np.int64)
+        can = np.flatnonzero(differ * (1 + similarity) <= (1 - similarity) * (n[some] + n[cur]) + 1e-6)
+        for i in range(0, len(can), 512):
+            part = can[i : i + 512]
+            to = some[part]
+            at = np.arange(int(n[to].sum())) + np.repeat(start[to] - (np.cumsum(n[to]) - n[to]), n[to])
+            theirs = flat[at]
+            has = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+            common = np.add.reduceat(has, np.cumsum(n[to]) - n[to], dtype=np.int64)
+            near = common >= least * (n[to] + n[cur] - common)
+            can[i : i + 512] = np.where(near, part, -1)
+        got = can[can >= 0]
+        if len(got):
+            a.append(np.full(len(got), order[cur]))
+            b.append(order[some[got]])
+            queue += some[got].tolist()
+            left = np.delete(left, lo + got)
+    return _pairs(a, b)
 
-    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for g, v, f in zip(*(b.column(c).to_pylist() for c in ("g", "nodes", "checks")), strict=True):
-                v, f = np.frombuffer(v, np.int64), np.frombuffer(f, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), g)), pa.array(v), pa.array(f)], names=["g", "node", "fp"])
-
-    def cross(t: pa.Table) -> pa.Table:
-        label, node, fp = (t.column(c).to_numpy() for c in ("label", "node", "fp"))
-        order = np.lexsort((node, label))
-        label, node, fp = label[order], node[order], fp[order].view(np.uint64)
-        names, size = np.unique(label, return_counts=True)
+
+def _block_links(blocks: DataFrame, rows: DataFrame, row: str, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect whatever is similar enough within a block; blocks: (node, block, n), n: the block's sets.
+
+    A task takes some blocks, or two parts of one that is too large, each set with its text's shingles once."""
+    parts = F.when(F.col("n") <= BLOCK, F.lit(1)).otherwise(F.ceil(F.col("n") * 2 / F.lit(BLOCK)).cast("int"))
+    dealt = blocks.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("other <> part OR parts = 1")
+    tasks = max(8, -(-blocks.count() // BLOCK_DEAL))
+    task = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("block"), F.lit(tasks))).otherwise(-1 - F.col("block"))
+    dealt = dealt.select("node", "block", task.alias("task"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+
+    def search(t: pa.Table) -> pa.Table:
+        node, block, sets = t.column("node").to_numpy(), t.column("block").to_numpy(), t.column("s").combine_chunks()
+        flat, size = sets.flatten().to_numpy().view(np.uint64), np.diff(sets.offsets.to_numpy()).astype(np.int64)
+        start = np.cumsum(size) - size
+        order = np.argsort(block, kind="stable")
         a, b = [], []
-        for i in np.flatnonzero(label != names[size.argmax()]).tolist():  # every other label's nodes look round
-            d = np.where(label != label[i], np.bitwise_count(fp ^ fp[i]), 65)
-            close = np.flatnonzero(d <= distance)
-            if len(close):
-                to = np.array([node[close].min(), node[d.argmin()]])
-                a.append(np.full(2, node[i]))
-                b.append(to)
-        a, b = _pairs(a, b)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        for of in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+            x, y = similar_forest(np.concatenate([flat[start[k] : start[k] + size[k]] for k in of.tolist()]), size[of], similarity)
+            a.append(node[of[x]])
+            b.append(node[of[y]])
+        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+
+    sets = _sets(rows, row, blocks.select("node"), shingle)
+    found = sets.join(F.broadcast(dealt) if blocks.count() <= SMALL_TABLE else dealt, "node").select("task", "i", "j", "block", "node", "s")
+    return materialise(found.groupBy("task", "i", "j").applyInArrow(tidy(search), "a long, b long"), "similar")
+
 
-    entries = groups.mapInArrow(flat, "g long, node long, fp long").join(labels, "node", "left").select("g", "node", "fp", F.coalesce("component", "node").alias("label"))
-    entries = materialise(entries, "large-groups")
-    mixed = entries.groupBy("g").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("g")
-    return entries.join(mixed, "g", "left_semi").groupBy("g").applyInArrow(tidy(cross), "a long, b long")
+def _blocks(edges: DataFrame) -> DataFrame:
+    """(node, block, n): the components of the edges and their sizes."""
+    inner = components(edges).select("node", F.col("component").alias("block"))
+    of = inner.union(inner.select("block", "block").distinct())
+    sizes = inner.groupBy("block").agg((F.count("*") + 1).alias("n"))
+    return materialise(of.join(sizes, "block").select("node", "block", "n"), "blocks")
 
 
 def similar_rows(rows: DataFrame, row: str, shingle: int = WORDS, similarity: float = SIMILARITY, buckets: int | None = None) -> DataFrame:
     """(row, group): for every row number the least row number of the texts that are reachable over similar ones."""
-    n = rows.count()
-    segments = segment_plan(n, similarity)
-    words = -(-(segments[-1][0] + segments[-1][1]) // 64)
-    found = materialise(_sketches(rows, row, words, shingle), "sketches")
-    same = found.groupBy("n", "c1", "c2").agg(F.min("node").alias("node"), F.min("check").alias("check"), F.min("fps").alias("fps"))
-    reps = materialise(same, "sketches")
-    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    distance = max(CHECK_DISTANCE, math.ceil(64 * differ + 3.2 * math.sqrt(64 * differ * (1 - differ))))
-    met = materialise(_candidates(_deal(reps.where("n > 0").select("node", "check", "fps"), ("node", "check"), words, segments, buckets or _buckets(n, segments)), distance), "met")
-    tested = met.where("a IS NOT NULL").select("a", "b")
-    links = _verified(tested, rows, row, shingle, similarity)
+    found = materialise(_sketches(rows, row, _frequent(rows, row, rows.count(), shingle), shingle, similarity), "sketches")
+    same = materialise(found.groupBy("n", "c1", "c2").agg(F.min("node").alias("least")), "same")
+    copies = materialise(found.join(same, ["n", "c1", "c2"]).where("node <> least").select("node"), "copies")
+    if not buckets:
+        buckets = max(8, -(-(found.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) // (8 * PREFIX_ENTRIES)))
+
+    def meet(t: pa.Table) -> pa.Table:
+        key, place_size, node = _unpacked(t)
+        a, b, c, d = _meetings(key, place_size, node, similarity)
+        large = np.arange(len(a) + len(c)) >= len(a)
+        return pa.table({"a": pa.array(np.append(a, c), pa.int64()), "b": pa.array(np.append(b, d), pa.int64()), "large": pa.array(large)})
+
+    reps = found.where("n > 0").select("node", "n", "prefix").join(copies, "node", "left_anti")
+    dealt = _deal(reps, _prefix_entries(buckets), lambda held: sum(b.nbytes for b in held) >= DEAL_BYTES)
+    met = materialise(dealt.groupBy("bucket").applyInArrow(tidy(meet), "a long, b long, large boolean").distinct(), "met")
+    blocks = _blocks(met)
+    links = _block_links(blocks.where(F.col("n") <= BLOCK), rows, row, shingle, similarity)
+    wide = blocks.where(F.col("n") > BLOCK)
+    if wide.head(1):  # too many sets for a task: pair by pair where few meet, else only where many meet
+        rest = met.join(wide.select(F.col("node").alias("a")), "a", "left_semi")
+        links = links.union(_verified(rest.where("NOT large").select("a", "b"), rows, row, shingle, similarity))
+        links = links.union(_block_links(_blocks(rest.where("large").select("a", "b")), rows, row, shingle, similarity))
     labels = materialise(components(links), "labels")
-    groups = met.where("nodes IS NOT NULL").select(F.monotonically_increasing_id().alias("g"), "nodes", "checks")
-    for _ in range(ROUNDS if groups.head(1) else 0):
-        asked = materialise(_between(groups, labels, distance).join(tested.distinct(), ["a", "b"], "left_anti").distinct(), "between")
-        more = _verified(asked, rows, row, shingle, similarity)
-        if not more.head(1):
-            break
-        tested, links = tested.union(asked), links.union(more)
-        labels = materialise(components(links), "labels")
-    of = reps.join(labels, "node", "left").select("n", "c1", "c2", F.coalesce("component", "node").alias("group"))
+    of = same.join(labels, same["least"] == labels["node"], "left").select("n", "c1", "c2", F.coalesce("component", "least").alias("group"))
     of = materialise(of, "labels")
     return found.join(of, ["n", "c1", "c2"]).select(F.col("node").alias(free_name([], "row")), "group")

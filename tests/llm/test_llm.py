@@ -544,6 +544,36 @@ def test_similar_rows_find_what_brute_force_finds(spark, monkeypatch, small):
     assert found >= 0.98 * len(want) and all(want[got[k]] == want[k] for k in got)  # what is linked is similar
 
 
+@pytest.mark.parametrize(("small", "block"), [(48, 1 << 14), (3, 1 << 14), (3, 40)])
+def test_similar_rows_lose_no_link(spark, monkeypatch, small, block):
+    monkeypatch.setattr(simhash, "SMALL", small)  # 3: most groups are searched in blocks
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)  # 40: two parts of a block at a time
+    rnd = random.Random(4)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    texts = []
+    for _ in range(6):
+        base = [word() for _ in range(60)]
+        for _ in range(40):  # five-word shingles: two changed words are just near enough to the base, not to each other
+            copy = list(base)
+            for _ in range(rnd.randrange(1, 4)):
+                copy[rnd.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    rows = spark.createDataFrame(list(enumerate(texts)), "n bigint, text string").repartition(3)
+    got = {r["row"]: r["group"] for r in simhash.similar_rows(rows, "n").collect()}
+    assert got == similar_classes(texts)
+
+
+def test_a_block_is_searched_whole():
+    rnd = random.Random(6)
+    base = rnd.sample(range(10**9), 40)
+    sets = [set(rnd.sample(base, rnd.randrange(30, 41))) | {rnd.randrange(10**9) for _ in range(rnd.randrange(4))} for _ in range(70)]
+    flat, size = np.concatenate([np.array(sorted(x), np.uint64) for x in sets]), np.array([len(x) for x in sets])
+    a, b = simhash.similar_forest(flat, size, 0.8)
+    edges = set(zip(a.tolist(), b.tolist(), strict=True))
+    near = lambda x, y: 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])
+    assert classes(range(70), lambda x, y: (x, y) in edges) == classes(range(70), near) and all(near(x, y) for x, y in edges)
+
+
 def test_balls_meet_within_their_radius():
     rnd = random.Random(5)
     for radius in (0, 1, 2, 3):
