@@ -232,6 +232,21 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
+#: Row numbers that a join may broadcast.
+SMALL_TABLE = 1 << 20
+
+
+def only_few(keys: DataFrame, tag: str) -> DataFrame:
+    """keys, stored, and broadcast in joins if they are few, so that texts need not be shuffled to meet them."""
+    keys = materialise(keys, tag)
+    return F.broadcast(keys) if keys.count() <= SMALL_TABLE else keys
+
+
+def without(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """The rows whose numbers are not among the gone ones (in a column of the same name)."""
+    return rows.join(only_few(gone, "gone"), row, "left_anti")
+
+
 def record_batch(names_types: list[tuple[str, pa.DataType]], *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for (_, t), c in zip(names_types, cols, strict=True)], names=[n for n, _ in names_types])
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise, mix, release_memory, tidy
+from .common import SMALL_TABLE, free_name, materialise, mix, only_few, release_memory, tidy
 
 SHINGLE = 4
 DISTANCE = 4
@@ -61,8 +61,6 @@ DEAL_BYTES = 1 << 22
 PREFIX_ENTRIES = 1 << 19
 #: Sets of a block that one task compares (of two parts, each half), and sets of small blocks for each task.
 BLOCK, BLOCK_DEAL = 1 << 14, 1 << 12
-#: Row numbers that a join may broadcast.
-SMALL_TABLE = 1 << 20
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -412,9 +410,7 @@ def _sets(rows: DataFrame, row: str, nodes: DataFrame, shingle: int) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(row), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat))], names=["node", "s"])
             release_memory()
 
-    nodes = materialise(nodes.select(F.col("node").alias(row)).distinct(), "asked")
-    if nodes.count() <= SMALL_TABLE:
-        nodes = F.broadcast(nodes)
+    nodes = only_few(nodes.select(F.col("node").alias(row)).distinct(), "asked")
     return materialise(rows.select(row, "text").join(nodes, row, "left_semi").select(row, "text").mapInArrow(run, "node long, s array<long>"), "shingle-sets")
 
 

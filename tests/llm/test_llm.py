@@ -949,6 +949,18 @@ def test_stages_on_odd_rows(spark, small):
         assert stage(spark, docs.limit(0), small).count() == 0
 
 
+def test_stages_shuffle_no_texts_to_drop_a_few_rows(spark, small):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, -1)  # as if the tables were large
+    try:
+        for stage in (stages.drop_near_duplicates, stages.drop_contaminated):
+            plan = stage(spark, frame(spark), small)._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_stages_judge_rows_and_not_ids(spark, small):
     item = next(t for (t,) in duckdb.sql(f"SELECT text FROM '{small}/benchmark.parquet'").fetchall() if len(t.split()) > 12)
     a, b, c = prose(80), prose(80), prose(80)
