@@ -14,7 +14,7 @@ strings, so strings are dealt to buckets by minimizer:
    goes on. Matches of ``LENGTH`` bytes and more are sent back to the lots as runs;
 3. every lot marks the bytes of matches whose source is a smaller id.
 
-Identical stretches are indexed once a bucket with their smallest document, so thousands of copies cost a lot each, not
+Some buckets travel as one group, a row for each lot, and are indexed one by one. Identical stretches are indexed once a bucket with their smallest document, so thousands of copies cost a lot each, not
 a pair each; a stretch of one repeated minimizer is cut into parts of ``PART`` strings, so a long run of one byte is a few equal
 stretches. Matches never cross documents. Rows with a null id keep all bytes and are no source; rows that share an id are no
 source for each other; null texts are empty. Very long texts are a lot of their own. Extra columns are ignored; an empty table gives
@@ -43,6 +43,9 @@ PART = 256
 HASH_BITS = 48
 #: Input bytes for each bucket.
 BUCKET_BYTES = 1 << 20
+#: Buckets that travel together at most, and groups of them that are made before a group gets more than one: a row for every lot and
+#: group is sent, so this keeps the rows' own cost, which grows with the square of the input, small.
+GROUP, GROUPS = 16, 64
 #: Bytes of a lot, and bytes that one kernel call hashes.
 LOT_BYTES = 4 << 20
 STEP = 1 << 19
@@ -125,6 +128,12 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(HASH_BITS - 24)) * np.uint64(buckets)) >> np.uint64(24)
 
 
+def grouping(buckets: int) -> tuple[int, int]:
+    """(buckets of a group, groups)."""
+    each = min(GROUP, max(1, buckets // GROUPS))
+    return each, -(-buckets // each)
+
+
 def _distinct(lot: Lot, s: Stretches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The lot's minimizers, sorted; whether more than one document of the lot has each; and which of them each stretch has."""
     order = np.argsort(s.hash, kind="stable")
@@ -139,13 +148,15 @@ def _distinct(lot: Lot, s: Stretches) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _ask(buckets: int, length: int):
+    each, groups = grouping(buckets)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 lot = Lot(row)
                 keys, many, _ = _distinct(lot, Stretches.of(lot, length))
-                bucket = _bucket(keys, buckets)  # grows with the key
-                rows = [(k, row["lot"], pack(np.diff(keys[s], prepend=np.uint64(0))), squeeze(np.packbits(many[s]).tobytes())) for k, s in by_bucket(bucket, buckets)]
+                group = _bucket(keys, buckets) // np.uint64(each)  # grows with the key
+                rows = [(k, row["lot"], pack(np.diff(keys[s], prepend=np.uint64(0))), squeeze(np.packbits(many[s]).tobytes())) for k, s in by_bucket(group, groups)]
                 yield from table_of(rows, ASK).to_batches()
                 release_memory()
 
@@ -180,7 +191,8 @@ class Sent:
     def of(cls, lot: Lot, answers: pa.Table, buckets: int, length: int) -> Sent:
         s = Stretches.of(lot, length)
         keys, _, of = _distinct(lot, s)
-        cut = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
+        each, groups = grouping(buckets)
+        cut = np.searchsorted(_bucket(keys, buckets) // np.uint64(each), np.arange(groups + 1))
         shared = np.zeros(len(keys), bool)
         for r in answers.select(["kind", "bucket", "first"]).to_pylist():
             if r["kind"] == 1:
@@ -211,9 +223,11 @@ def _send(buckets: int, length: int):
             lot = Lot(row)
             s = Sent.of(lot, answers, buckets, length)
             size = s.stretches.count[s.first] + length - 1
-            for k, sl in by_bucket(s.bucket, buckets):
+            each, groups = grouping(buckets)
+            for k, sl in by_bucket(s.bucket // each, groups):
                 data = gather(lot.data, s.stretches.start[s.first[sl]], size[sl])
-                rows.append((k, row["lot"], pack(s.doc[sl]), pack(size[sl]), squeeze(data.tobytes())))
+                count = np.bincount(s.bucket[sl] - k * each, minlength=each)
+                rows.append((k, row["lot"], pack(np.concatenate([count, s.doc[sl]])), pack(size[sl]), squeeze(data.tobytes())))
         return table_of(rows, TEXT)
 
     return tidy(run)
@@ -373,46 +387,65 @@ def _sort(text: np.ndarray, place: np.ndarray, end: np.ndarray, stretch: np.ndar
         at += width
 
 
-def _match(length: int):
+def _runs(data: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a bucket's stretches, the number of each one's runs of places with one source; and all runs' lengths and sources."""
+    content = span_hashes(data, start, size)
+    order = np.lexsort((doc, content))
+    c = content[order]
+    new = np.append(True, c[1:] != c[:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    one = order[new]  # of each distinct stretch, the one with the smallest document
+    by_doc = np.argsort(doc[one], kind="stable")
+    rank = np.empty(len(one), np.int64)
+    rank[by_doc] = np.arange(len(one))
+    which, one = rank[which], one[by_doc]
+    text, size_d = gather(data, start[one], size[one]), size[one]
+    start_d = np.cumsum(size_d) - size_d
+    index = RunIndex(text, start_d, size_d, doc[one], length)
+    place, found, _ = index.stream()
+    owner = doc[one][np.searchsorted(start_d, found[np.argsort(place)], side="right") - 1]
+    # runs of places with one source, by stretch
+    stretch = np.repeat(np.arange(len(one)), size_d - length + 1)
+    fresh = np.append(True, (owner[1:] != owner[:-1]) | (stretch[1:] != stretch[:-1]))
+    head = np.flatnonzero(fresh)
+    runs_of = np.searchsorted(stretch[head], np.arange(len(one) + 1))
+    run_len = np.diff(np.append(head, len(owner)))
+    n_runs = np.diff(runs_of)[which]
+    r = np.arange(int(n_runs.sum())) + np.repeat(runs_of[which] - (np.cumsum(n_runs) - n_runs), n_runs)
+    return n_runs, run_len[r], owner[head[r]]
+
+
+def _match(buckets: int, length: int):
+    each, _ = grouping(buckets)
+
     def run(t: pa.Table) -> pa.Table:
-        lots, bucket = t.column("lot").to_pylist(), t.column("bucket")[0].as_py()
+        lots, group = t.column("lot").to_pylist(), t.column("bucket")[0].as_py()
         docs = [unpack(x) for x in t.column("docs").to_pylist()]
-        sizes = [unpack(x) for x in t.column("sizes").to_pylist()]
+        inside = np.concatenate([np.repeat(np.arange(each), d[:each]) for d in docs])  # the bucket of each stretch
+        docs = [d[each:] for d in docs]
+        doc, size = np.concatenate(docs), np.concatenate([unpack(x) for x in t.column("sizes").to_pylist()])
         data = np.concatenate([np.frombuffer(unsqueeze(x), np.uint8) for x in t.column("data").to_pylist()])
-        doc, size = np.concatenate(docs), np.concatenate(sizes)
         start = np.cumsum(size) - size
-        content = span_hashes(data, start, size)
-        order = np.lexsort((doc, content))
-        c = content[order]
-        new = np.append(True, c[1:] != c[:-1])
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        one = order[new]  # of each distinct stretch, the one with the smallest document
-        by_doc = np.argsort(doc[one], kind="stable")
-        rank = np.empty(len(one), np.int64)
-        rank[by_doc] = np.arange(len(one))
-        which, one = rank[which], one[by_doc]
-        text, size_d = gather(data, start[one], size[one]), size[one]
-        start_d = np.cumsum(size_d) - size_d
-        index = RunIndex(text, start_d, size_d, doc[one], length)
-        place, found, _ = index.stream()
-        owner = doc[one][np.searchsorted(start_d, found[np.argsort(place)], side="right") - 1]
-        # runs of places with one source, by stretch
-        count = size_d - length + 1
-        stretch = np.repeat(np.arange(len(one)), count)
-        fresh = np.append(True, (owner[1:] != owner[:-1]) | (stretch[1:] != stretch[:-1]))
-        head = np.flatnonzero(fresh)
-        runs_of = np.searchsorted(stretch[head], np.arange(len(one) + 1))
-        run_len = np.diff(np.append(head, len(owner)))
+        order = np.argsort(inside, kind="stable")
+        parts = []
+        for of in np.split(order, np.flatnonzero(np.diff(inside[order])) + 1):
+            parts.append(_runs(data, start[of], size[of], doc[of], length))
+            release_memory()
+        # the runs by stretch as the lots sent them
+        by_bucket_runs, run_len, source = (np.concatenate(x) for x in zip(*parts, strict=True))
+        n_runs, first = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        n_runs[order], first[order] = by_bucket_runs, np.cumsum(by_bucket_runs) - by_bucket_runs
         rows, at = [], 0
         for lot, d in zip(lots, docs, strict=True):
-            w = which[at : at + len(d)]
+            n, f = n_runs[at : at + len(d)], first[at : at + len(d)]
             at += len(d)
-            n_runs = runs_of[w + 1] - runs_of[w]
-            r = np.arange(int(n_runs.sum())) + np.repeat(runs_of[w] - (np.cumsum(n_runs) - n_runs), n_runs)
+            ends = np.cumsum(n)
+            r = np.arange(int(n.sum())) + np.repeat(f - (ends - n), n)
             # the last run's length follows from the stretch
-            inner = r[np.arange(len(r)) != np.repeat(np.cumsum(n_runs) - 1, n_runs)]
-            rows.append((2, lot, bucket, pack(n_runs), pack(run_len[inner]), pack(owner[head[r]] - np.repeat(d, n_runs))))
+            inner = np.ones(len(r), bool)
+            inner[ends - 1] = False
+            rows.append((2, lot, group, pack(n), pack(run_len[r[inner]]), pack(source[r] - np.repeat(d, n))))
         return table_of(rows, ANSWER)
 
     return tidy(run)
@@ -477,6 +510,6 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     asked = lots.mapInArrow(_ask(buckets, length), ASK_SCHEMA)
     shared = materialise(asked.groupBy("bucket").applyInArrow(tidy(_shared), ANSWER_SCHEMA), "shared-minimizers")
     texts = lots.groupBy("lot").cogroup(shared.groupBy("lot")).applyInArrow(_send(buckets, length), TEXT_SCHEMA)
-    found = materialise(texts.groupBy("bucket").applyInArrow(_match(length), ANSWER_SCHEMA), "matches")
+    found = materialise(texts.groupBy("bucket").applyInArrow(_match(buckets, length), ANSWER_SCHEMA), "matches")
     answers = shared.unionByName(found)
     return lots.groupBy("lot").cogroup(answers.groupBy("lot")).applyInArrow(_mark(buckets, length), RESULT_SCHEMA)

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from shoal.llm import decontam, katz, langid, packing, pii, queries, runindex, simhash, stages, topk, toxicity, warc
+from shoal.llm import decontam, katz, langid, lots, packing, pii, queries, runindex, simhash, stages, topk, toxicity, warc
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, flag string, lot int, score double, fp string"
 RND = random.Random(11)
@@ -128,6 +128,25 @@ def test_long_runs_of_one_byte(spark):
     assert counted(got) == counted(brute_repeats(rows))
 
 
+def test_rows_of_a_lot_do_not_follow_the_number_of_buckets():
+    rnd = np.random.default_rng(8)
+    data = rnd.integers(97, 123, 1 << 18).astype(np.uint8).tobytes()
+    held = {"ids": np.arange(2), "null_ids": np.zeros(2, bool), "flags": np.zeros(2, bool), "sizes": np.full(2, 1 << 17)}
+    row = {"lot": 0, "n": 2} | {k: lots.squeeze(v.tobytes()) for k, v in held.items()} | {"data": lots.squeeze(data)}
+    rows = [b.num_rows for b in runindex._ask(6000, 50)(iter([pa.RecordBatch.from_pylist([row])]))]
+    assert 0 < sum(rows) <= 6000 // 16  # 6 GB have 6000 buckets and 1500 lots
+
+
+def test_buckets_of_a_group_are_matched_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(runindex, "input_bytes", lambda docs: 700 * runindex.BUCKET_BYTES)
+    rnd = random.Random(12)
+    bits = ["".join(rnd.choices("abcdef ", k=rnd.randrange(40, 200))) for _ in range(60)]
+    rows = [(i, "".join(rnd.choices(bits, k=4))) for i in range(80)]
+    assert runindex.grouping(700)[0] > 1
+    got = runindex.duplicate_spans(frame(spark, rows).repartition(3)).drop("starts", "ends").collect()
+    assert counted(got) == counted(brute_repeats(rows)) and sum(r.n_removed for r in got) > 0
+
+
 # --- 2
 
 
@@ -553,7 +572,7 @@ def test_similar_rows_lose_no_link(spark, monkeypatch, small, block):
     texts = []
     for _ in range(6):
         base = [word() for _ in range(60)]
-        for _ in range(40):  # five-word shingles: two changed words are just near enough to the base, not to each other
+        for _ in range(70):  # more than meet in a small group; five-word shingles: two changed words are just near enough to the base, not to each other
             copy = list(base)
             for _ in range(rnd.randrange(1, 4)):
                 copy[rnd.randrange(len(copy))] = word()
