@@ -42,24 +42,46 @@ def _local(opts: Options):
     return run
 
 
-def _first_independent_set(points: DataFrame, radius: float) -> DataFrame:
-    """The lexicographically first maximal independent set by num, in rounds. points(collection, num, qx, qy, cat)."""
-    side = radius / math.sqrt(2)  # two points of one cell always conflict
-    undecided = materialise(with_cell(points, side * 0.999999), "undecided")
-    side *= 0.999999
+def _most(points: DataFrame) -> int:
+    """Rows of the largest collection."""
+    return points.groupBy("collection").count().agg(F.max("count")).first()[0] or 0
+
+
+def _local_set(radius: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("num", ignore_index=True)
+        chosen = bulk.first_independent_set(pdf["qx"].to_numpy(np.int64), pdf["qy"].to_numpy(np.int64), radius)
+        return pdf.loc[chosen, ["collection", "num"]]
+
+    return run
+
+
+def _first_independent_set(points: DataFrame, radius: float, local_limit: int) -> DataFrame:
+    """The lexicographically first maximal independent set by num, in rounds. points(collection, num, qx, qy, cat).
+
+    Only the earliest point of each cell so small that its points always conflict goes to others, four coarse cells a point at
+    most. Once collections have at most local_limit undecided points, a task each does the rest. No side of a join goes to the
+    driver: both grow with the input."""
+    fine, side = radius / math.sqrt(2) * 0.999999, 2 * radius
+    undecided = points.select("collection", "num", "qx", "qy")
     chosen = []
-    while undecided.head(1):
-        ahead = undecided.groupBy("collection", "cx", "cy").agg(F.min_by(F.struct("num", "qx", "qy"), "num").alias("p")).select("collection", "p.*")
+    while left := _most(undecided):
+        if left <= local_limit:
+            chosen.append(undecided.groupBy("collection").applyInPandas(_local_set(radius), "collection string, num bigint"))
+            break
+        ahead = with_cell(undecided, fine).groupBy("collection", "cx", "cy").agg(F.min_by(F.struct("num", "qx", "qy"), "num").alias("p")).select("collection", "p.*")
+        ahead = materialise(ahead, "ahead")
+        open_ = with_cell(undecided, side)
         probe = with_near_cells(ahead, radius, side).withColumnsRenamed({"num": "probe", "qx": "px", "qy": "py"})
         d2 = squared_distance(F.col("px"), F.col("py"), F.col("qx"), F.col("qy")).cast("double")
-        near = undecided.join(probe, ["collection", "cx", "cy"]).where(d2 <= radius * radius)
+        near = open_.join(probe.hint("merge"), ["collection", "cx", "cy"]).where(d2 <= radius * radius)
         waiting = near.where("num < probe").select("collection", F.col("probe").alias("num")).distinct()
-        joins = materialise(ahead.join(waiting, ["collection", "num"], "left_anti"), "chosen")
+        joins = materialise(ahead.join(waiting.hint("merge"), ["collection", "num"], "left_anti"), "chosen")
         chosen.append(joins.select("collection", "num"))
         cover = with_near_cells(joins, radius, side).withColumnsRenamed({"num": "center", "qx": "px", "qy": "py"})
-        gone = undecided.join(cover, ["collection", "cx", "cy"]).where(d2 <= radius * radius).select("collection", "num").distinct()
-        undecided = materialise(undecided.join(gone, ["collection", "num"], "left_anti").select(undecided.columns), "undecided")
-    return points.join(reduce(DataFrame.unionByName, chosen), ["collection", "num"], "left_semi")
+        gone = open_.join(cover.hint("merge"), ["collection", "cx", "cy"]).where(d2 <= radius * radius).select("collection", "num").distinct()
+        undecided = materialise(undecided.join(gone.hint("merge"), ["collection", "num"], "left_anti"), "undecided")
+    return points.join(reduce(DataFrame.unionByName, chosen).hint("merge"), ["collection", "num"], "left_semi")
 
 
 def _hang(children: DataFrame, centers: DataFrame, radius: float) -> DataFrame:
@@ -68,7 +90,7 @@ def _hang(children: DataFrame, centers: DataFrame, radius: float) -> DataFrame:
     p = with_near_cells(children, radius, side)
     c = with_cell(centers.select("collection", F.col("num").alias("center"), F.col("qx").alias("px"), F.col("qy").alias("py"), "qx", "qy"), side).drop("qx", "qy")
     d2 = squared_distance(F.col("px"), F.col("py"), F.col("qx"), F.col("qy"))
-    met = p.join(c, ["collection", "cx", "cy"]).withColumn("d2", d2).where((F.col("d2").cast("double") <= radius * radius) & (F.col("center") < F.col("num")))
+    met = p.join(c.hint("merge"), ["collection", "cx", "cy"]).withColumn("d2", d2).where((F.col("d2").cast("double") <= radius * radius) & (F.col("center") < F.col("num")))
     best = F.min(F.struct("d2", F.col("center").cast("string").alias("t"), "center")).alias("b")
     return met.groupBy("collection", "num").agg(best).select("collection", "num", F.col("b.center").alias("parent"))
 
@@ -78,14 +100,14 @@ def build_nodes(points: DataFrame, opts: Options, local_limit: int = LOCAL_LIMIT
     points = materialise(points.select("collection", F.col("num").cast("bigint"), F.col("qx").cast("bigint"), F.col("qy").cast("bigint"), F.coalesce("cat", F.lit(0)).cast("int").alias("cat")), "points")
     out = []
     for z in range(opts.max_zoom, -1, -1):
-        if (points.groupBy("collection").count().agg(F.max("count")).first()[0] or 0) <= local_limit:
+        if _most(points) <= local_limit:
             coarse = Options(max_zoom=z, radius=opts.radius, extent=opts.extent, hysteresis=opts.hysteresis)
             out.append(points.groupBy("collection").applyInPandas(_local(coarse), NODE_SCHEMA))
             return materialise(reduce(DataFrame.unionByName, out), "nodes")
-        centers = materialise(_first_independent_set(points, opts.scale(z)), "centers")
-        rest = points.join(centers.select("collection", "num"), ["collection", "num"], "left_anti")
+        centers = materialise(_first_independent_set(points, opts.scale(z), local_limit), "centers")
+        rest = points.join(centers.select("collection", "num").hint("merge"), ["collection", "num"], "left_anti")
         hung = _hang(rest, centers, opts.scale(z))
-        out.append(rest.join(hung, ["collection", "num"]).select("collection", "num", "qx", "qy", "cat", F.lit(z + 1).alias("tz"), "parent"))
+        out.append(rest.join(hung.hint("merge"), ["collection", "num"]).select("collection", "num", "qx", "qy", "cat", F.lit(z + 1).alias("tz"), "parent"))
         points = centers
     out.append(points.select("collection", "num", "qx", "qy", "cat", F.lit(0).alias("tz"), F.lit(None).cast("bigint").alias("parent")))
     return materialise(reduce(DataFrame.unionByName, out), "nodes")
@@ -118,17 +140,18 @@ def segments(nodes: DataFrame, opts: Options, local_limit: int = LOCAL_LIMIT) ->
 
     Collections of at most local_limit points are walked each in one task. For larger ones it is one join a step up the
     hierarchy, on the ancestor; each step is stored, and steps end when all walks are at a root."""
-    if (nodes.groupBy("collection").count().agg(F.max("count")).first()[0] or 0) <= local_limit:
+    if _most(nodes) <= local_limit:
         return materialise(nodes.groupBy("collection").applyInPandas(_walks(opts), SEGMENT_SCHEMA), "segments")
     up = nodes.select("collection", F.col("num").alias("rep"), F.col("tz").alias("low"), F.col("parent"))
     walk = nodes.select("collection", "num", "qx", "qy", "cat", F.col("num").alias("rep"), F.col("tz").alias("low"), F.lit(opts.max_zoom).alias("high"), "parent")
     out = []
-    while True:
+    for _ in range(opts.max_zoom + 3):  # levels fall towards a root, unless a number stands twice
         out.append(walk.where("low <= high").select("collection", "num", "qx", "qy", "cat", "rep", "low", "high"))
         climbing = walk.where("parent IS NOT NULL").select("collection", "num", "qx", "qy", "cat", F.col("parent").alias("rep"), (F.col("low") - 1).alias("high"))
-        walk = materialise(climbing.join(up, ["collection", "rep"]), "walk")
+        walk = materialise(climbing.join(up.hint("merge"), ["collection", "rep"]), "walk")
         if not walk.head(1):
             return materialise(reduce(DataFrame.unionByName, out), "segments")
+    raise ValueError("parents do not lead to roots: numbers of points must be unique in a collection")
 
 
 def at_zoom(segs: DataFrame, zoom: int) -> DataFrame:

@@ -226,3 +226,32 @@ def test_replay_insert_only_equals_build(spark):
     r = p.select("collection", F.col("num").alias("seq"), F.timestamp_seconds("num").alias("ts"), F.lit("upsert").alias("op"), F.col("num").cast("string").alias("id"), "qx", "qy", "cat")
     a = {(x.num, x.tz, x.parent) for x in replay.replay_nodes(r, opts).collect()}
     assert a == {(x.num, x.tz, x.parent) for x in net.build_nodes(p, opts).collect()}
+
+
+def plans_of(monkeypatch, module):
+    """The plans of all tables that a module stores from now on."""
+    plans, store = [], module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, tag: plans.append(df._jdf.queryExecution().executedPlan().toString()) or store(df, tag))
+    return plans
+
+
+def test_no_table_of_the_build_goes_through_the_driver(spark, monkeypatch):
+    plans, opts = plans_of(monkeypatch, net), Options(max_zoom=5)
+    p = points(spark, 150)
+    nodes = net.build_nodes(p, opts, local_limit=40)
+    net.segments(nodes, opts, local_limit=0)
+    assert any("SortMergeJoin" in x for x in plans) and not any("Broadcast" in x for x in plans)
+
+
+def test_numbers_that_stand_twice_do_not_walk_for_ever(spark):
+    rows = [("a", 1, 0, 0, 0, 1, 2), ("a", 2, 0, 0, 0, 1, 1)]
+    nodes = spark.createDataFrame(rows, net.NODE_SCHEMA)
+    with pytest.raises(ValueError):
+        net.segments(nodes, Options(max_zoom=2), local_limit=0)
+
+
+def test_a_probe_of_the_build_goes_to_four_cells_at_most(spark, monkeypatch):
+    seen, spread = [], net.with_near_cells
+    monkeypatch.setattr(net, "with_near_cells", lambda df, radius, side: seen.append((df.count(), spread(df, radius, side).count())) or spread(df, radius, side))
+    net.build_nodes(points(spark, 300), Options(), local_limit=60)
+    assert seen and all(after <= 4 * before for before, after in seen)
