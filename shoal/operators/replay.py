@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from shoal.functions.geometry import Options
@@ -12,6 +15,8 @@ from shoal.operators.kernel import Net
 
 NODE_SCHEMA = "collection string, id string, num bigint, qx bigint, qy bigint, cat int, tz int, parent bigint"
 COUNT_SCHEMA = "collection string, devices bigint, inserts bigint, removes bigint, moves bigint, moves_fast bigint, moves_rebuilt bigint, promotions bigint, reparents bigint, probes bigint, expired bigint, reports bigint"
+#: Reports that are turned into Python's objects at a time.
+STEP = 1 << 12
 DEVICE_SCHEMA = "collection string, id string, num bigint, qx bigint, qy bigint, cat int, last_seen timestamp_ntz, props string, live boolean"
 
 
@@ -87,12 +92,19 @@ class Collection:
             self.last_seen[num] = at
             heapq.heappush(self.silent, (at, num))
 
-    def apply_all(self, pdf: pd.DataFrame) -> None:
-        pdf = pdf.sort_values("seq")
-        at = (pdf["ts"].astype("datetime64[us]")).astype("int64")
-        props = pdf["props"] if "props" in pdf else [None] * len(pdf)
-        for op, ident, x, y, cat, t, p in zip(pdf["op"], pdf["id"], pdf["qx"], pdf["qy"], pdf["cat"], at, props, strict=True):
-            self.apply(op, ident, int(x), int(y), int(cat), int(t), p if isinstance(p, str) else None)
+    def apply_all(self, reports: pa.Table) -> None:
+        """Apply reports in the order of seq. They stay in Arrow's columns, but for STEP at a time."""
+        seq = reports.column("seq").to_numpy()
+        if not (seq[1:] >= seq[:-1]).all():
+            reports = reports.take(np.argsort(seq, kind="stable"))
+        cols = [reports.column(c) for c in ("op", "id", "qx", "qy", "cat")]
+        cols.append(reports.column("ts").cast(pa.timestamp("us")).cast(pa.int64()))
+        props = reports.column("props") if "props" in reports.column_names else None
+        for i in range(0, len(seq), STEP):
+            lists = [c.slice(i, STEP).to_pylist() for c in cols]
+            lists.append(props.slice(i, STEP).to_pylist() if props is not None else [None] * len(lists[0]))
+            for op, ident, x, y, cat, t, p in zip(*lists, strict=True):
+                self.apply(op, ident, x, y, cat, t, p)
 
     def nodes(self, name: str) -> pd.DataFrame:
         rows = [(name, self.names[num], num, *rest) for num, *rest in self.net.rows()]
@@ -122,15 +134,38 @@ class Collection:
 
 
 def _run(reports: DataFrame, opts: Options, schema: str, pick: str, as_of: int | None) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = Collection(opts)
-        c.apply_all(pdf)
-        if as_of is not None:
-            c.sweep(as_of)
-        return getattr(c, pick)(pdf["collection"].iloc[0])
-
-    cols = ["collection", "seq", "ts", "op", "id", "qx", "qy", "cat", *(["props"] if "props" in reports.columns else [])]
-    return reports.select(*cols).groupBy("collection").applyInPandas(run, schema)
+    """Spark sorts the reports, and spills if need be; a worker sees a batch of them at a time and keeps one collection."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, c = None, None
+
+        def result() -> Iterator[pa.RecordBatch]:
+            if as_of is not None:
+                c.sweep(as_of)
+            rows = getattr(c, pick)(name)
+            yield from pa.Table.from_pandas(rows, _arrow(schema), preserve_index=False).to_batches(STEP)
+
+        for b in batches:
+            names = b.column("collection").to_pylist()
+            ends = [k for k in range(1, len(names)) if names[k] != names[k - 1]] + [len(names)]
+            for i, j in zip([0, *ends], ends, strict=False):
+                if i < j and (c is None or names[i] != name):
+                    if c is not None:
+                        yield from result()
+                    name, c = names[i], Collection(opts)
+                if i < j:
+                    c.apply_all(pa.Table.from_batches([b.slice(i, j - i)]))
+        if c is not None:
+            yield from result()
+
+    needs_props = pick == "devices" and "props" in reports.columns
+    cols = ["collection", "seq", "ts", "op", "id", "qx", "qy", "cat", *(["props"] if needs_props else [])]
+    return reports.select(*cols).repartition("collection").sortWithinPartitions("collection", "seq").mapInArrow(run, schema)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "timestamp_ntz": pa.timestamp("us")}
+    return pa.schema([(c, kinds[k]) for c, k in (x.split() for x in schema.split(", "))])
 
 
 def replay_nodes(reports: DataFrame, opts: Options, as_of: int | None = None) -> DataFrame:
