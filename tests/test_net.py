@@ -264,3 +264,34 @@ def test_pairs_of_the_nearest_search_follow_the_points(spark, monkeypatch):
     got = search.nearest(p, p, 300_000.0).collect()
     assert len(got) == n and {r.d2 for r in got} == {1}
     assert sum(pairs) <= 49 * n
+
+
+def test_replay_sees_reports_a_batch_at_a_time(spark):
+    opts = Options(ttl_seconds=40)
+    rows = [(c, k, "remove" if k % 11 == 5 else "upsert", f"d{k * 7 % 13}", 450_000_000 + k * k % 97 * 1000, 600_000_000 + k * 37, 1) for k in range(300) for c in ("a", "b", "c")]
+    r = spark.createDataFrame(rows, "collection string, seq bigint, op string, id string, qx bigint, qy bigint, cat int").selectExpr("*", "timestamp_seconds(seq * 3) AS ts")
+    assert "Grouped" not in (plan := replay.replay_nodes(r, opts)._jdf.queryExecution().executedPlan().toString()) and "FlatMapGroups" not in plan
+    want = []
+    for name in ("a", "b", "c"):
+        c = replay.Collection(opts)
+        for k in range(300):
+            _, _, op, ident, x, y, cat = rows[3 * k]
+            c.apply(op, ident, x, y, cat, k * 3_000_000)
+        want += [(name, c.names[num], num, *rest) for num, *rest in c.net.rows()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert counted(replay.replay_nodes(r, opts)) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_reports_of_a_micro_batch_are_held_in_columns():
+    import pandas as pd
+
+    from shoal.streaming import live
+
+    n = 10_000
+    pdf = pd.DataFrame({"seq": range(n), "ts": pd.Timestamp("2024-01-01"), "op": "upsert", "id": [f"dev-{k}" for k in range(n)], "qx": 1, "qy": 2, "cat": 3, "props": ['{"k": 12}', None] * (n // 2)})
+    held = live._packed(pdf)
+    assert held.num_rows == n and held.nbytes < 100 * n < pdf.memory_usage(deep=True).sum()
+    assert held.column("props").null_count == n // 2
