@@ -334,8 +334,7 @@ def radius_scan_pairs(spark, sf):
 
 @query("radius_scan_count", _PAIRS + "SELECT probe, count(*) AS n FROM pairs GROUP BY probe")
 def radius_scan_count(spark, sf):
-    s = views.sites(spark, sf)
-    return search.within(s, s, _R8).where("probe <> other").groupBy("probe").agg(F.count(F.lit(1)).alias("n"))
+    return search.counts(views.sites(spark, sf), _R8).select(F.col("num").alias("probe"), "n")
 
 
 @query("covered_semi_join", _PAIRS + "SELECT DISTINCT probe AS num FROM pairs")

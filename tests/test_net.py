@@ -295,3 +295,19 @@ def test_reports_of_a_micro_batch_are_held_in_columns():
     held = live._packed(pdf)
     assert held.num_rows == n and held.nbytes < 100 * n < pdf.memory_usage(deep=True).sum()
     assert held.column("props").null_count == n // 2
+
+
+def test_counts_within_a_radius_without_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(search, "LOT", 40)
+    monkeypatch.setattr(search, "within", None)  # no pair of points is made
+    rnd = random.Random(5)
+    rows = [(c, k, *(rnd.choice(((500, 500), (1500, 800), (0, 0)))[i] + rnd.randrange(-w, w) for i in (0, 1))) for c in "ab" for k in range(400) for w in (rnd.choice((3, 90, 900)),)]
+    rows += [("a", 900 + k, 500, 500) for k in range(100)] + [("c", 1, 9, 9)]
+    p = spark.createDataFrame(rows, "collection string, num bigint, qx bigint, qy bigint")
+    for radius in (40.0, 1000.0):
+        want = {}
+        for c, num, x, y in rows:
+            n = sum(c == d and (x - u) ** 2 + (y - v) ** 2 <= radius**2 for d, _, u, v in rows) - 1
+            if n:
+                want[c, num] = n
+        assert {(r.collection, r.num): r.n for r in search.counts(p, radius).collect()} == want
