@@ -311,3 +311,11 @@ def test_counts_within_a_radius_without_all_pairs(spark, monkeypatch):
             if n:
                 want[c, num] = n
         assert {(r.collection, r.num): r.n for r in search.counts(p, radius).collect()} == want
+
+
+def test_pairs_of_a_full_cell_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(search, "DEAL", 10)
+    p = spark.range(120).selectExpr("'a' AS collection", "id AS num", "id % 7 AS qx", "IF(id < 100, 0, id * 40) AS qy")
+    met = search.within_dealt(p, p, 5.0)
+    assert counted(met) == counted(search.within(p, p, 5.0))
+    assert "lot" in met._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[1].split("]")[0]
