@@ -496,7 +496,8 @@ def _block_links(blocks: DataFrame, rows: DataFrame, row: str, shingle: int, sim
         return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
     sets = _sets(rows, row, blocks.select("node"), shingle)
-    found = sets.join(F.broadcast(dealt) if blocks.count() <= SMALL_TABLE else dealt, "node").select("task", "i", "j", "block", "node", "s")
+    dealt = materialise(dealt, "dealt")  # a set of a large block is asked for once for each other part
+    found = sets.join(F.broadcast(dealt) if dealt.count() <= SMALL_TABLE else dealt.hint("merge"), "node").select("task", "i", "j", "block", "node", "s")
     return materialise(found.groupBy("task", "i", "j").applyInArrow(tidy(search), "a long, b long"), "similar")
 
 

@@ -1001,3 +1001,19 @@ def test_column_bytes_slices():
     data, offs = column_bytes(pa.array(["ab", "cd", "ab"]))
     starts, ends, h, per = words(data, offs)
     assert per.tolist() == [1, 1, 1] and h[0] == h[2] != h[1] and ends.tolist() == [2, 4, 6]
+
+
+def test_what_large_blocks_ask_for_is_not_broadcast_if_it_is_much(spark, monkeypatch):
+    from shoal.llm import simhash
+    from shoal.llm.common import numbered
+
+    plans, store = [], simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df, tag: plans.append((tag, df._jdf.queryExecution().executedPlan().toString())) or store(df, tag))
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    monkeypatch.setattr(simhash, "SMALL_TABLE", 60)
+    texts = [(k, " ".join(f"w{j}" for j in range(40)) + f" x{k % 7} y{k}") for k in range(40)]
+    rows, row = numbered(spark.createDataFrame(texts, "doc_id long, text string"))
+    blocks = rows.select(F.col(row).alias("node"), F.lit(0).cast("long").alias("block"), F.lit(40).alias("n"))
+    links = simhash._block_links(blocks, rows, row, 5, 0.8)
+    assert simhash.components(links).count() == 39
+    assert not any("BroadcastHashJoin" in x.split("Scan parquet")[0] for tag, x in plans if tag == "similar")
